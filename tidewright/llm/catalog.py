@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bpe import bpe_digest
+from tidewright.llm.langid import held_out, identify, learn_profiles
+from tidewright.llm.quality import learn_quality, score_quality
 from tidewright.registry import Registry
 from tidewright.session import table
 
@@ -24,3 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe_digest(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@REGISTRY.query("op2_language_profiles")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = learn_profiles(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), profiles).drop("text")
+
+
+@REGISTRY.query("op7_subword_quality")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    aside = held_out(folds=5, fold=0)
+    model = learn_quality(docs, table(spark, sf_dir, "labels").where(~aside))
+    return score_quality(docs.withColumn("held_out", aside), model).drop("text")
