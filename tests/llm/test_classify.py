@@ -16,8 +16,10 @@ ROWS = [
 
 
 def test_ngrams():
-    at = [ord(c) for c in "ab"]
-    assert sorted(ngrams("A1b")) == sorted([at[0], at[1], *(x << 21 for x in at), *at, *(x << 21 for x in at)])
+    def code(gram):
+        return sum((1 if c == "_" else ord(c)) << 21 * i for i, c in enumerate(reversed(gram)))
+
+    assert sorted(ngrams("Ab1c")) == sorted(map(code, "a b c _a ab b_ _c c_ _ab ab_ _c_".split()))
     assert list(ranking("aab", 2)) == [ord("a"), ord("b")]
 
 

@@ -28,6 +28,7 @@ PROFILE = 400
 #: Texts, about, from which each language's profile is learned; all its texts, if it has fewer.
 TRAIN_PER_LANGUAGE = 1500
 _BITS = 21
+_BLANK = 1
 
 
 @lru_cache(maxsize=1)
@@ -36,18 +37,18 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """The letter 1- to 3-grams of a text, each as one integer of three code points, unsorted."""
+    """The letter 1- to 3-grams of a text, each as one integer of its code points, unsorted."""
     x = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     x = np.concatenate([[0], np.where(_letters()[x], x, 0), [0]])
     keep = x != 0
     keep[1:] |= keep[:-1]
     keep[0] = True
-    x = x[keep]
+    x = np.where(x[keep] != 0, x[keep], _BLANK)
     if len(x) < 2:
         return np.empty(0, np.int64)
     pairs = x[:-1] << _BITS | x[1:]
-    triples = (pairs[:-1] << _BITS | x[2:])[x[1:-1] != 0]
-    return np.concatenate([x[x != 0], pairs, triples])
+    triples = (pairs[:-1] << _BITS | x[2:])[x[1:-1] != _BLANK]
+    return np.concatenate([x[x != _BLANK], pairs, triples])
 
 
 def ranking(text: str | None, size: int = PROFILE) -> np.ndarray:
