@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bpe import bpe_digest
 from tidewright.llm.langid import held_out, identify, learn_profiles
+from tidewright.llm.paritysketch import jaccard_components
 from tidewright.llm.quality import learn_quality, score_quality
 from tidewright.registry import Registry
 from tidewright.session import table
@@ -41,3 +42,8 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     aside = held_out(folds=5, fold=0)
     model = learn_quality(docs, table(spark, sf_dir, "labels").where(~aside))
     return score_quality(docs.withColumn("held_out", aside), model).drop("text")
+
+
+@REGISTRY.query("op6_parity_sketch_join")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))

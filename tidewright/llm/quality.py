@@ -122,12 +122,12 @@ def learn_quality(
             cut = np.searchsorted(key >> BUCKET_BITS, np.arange(1, rows.stop - rows.start))
             bucket += np.split(key & ((1 << BUCKET_BITS) - 1), cut)
             count += np.split(n, cut)
-        ints = pa.list_(pa.int64())
-        return {"bucket": pa.array(bucket, ints), "n": pa.array(count, ints)}
+        packed = [[x.astype(np.int32).tobytes() for x in column] for column in (bucket, count)]
+        return {"bucket": pa.array(packed[0], pa.binary()), "n": pa.array(packed[1], pa.binary())}
 
-    found = with_arrow_columns(rows.dropDuplicates(["id"]), featurise, "bucket array<long>, n array<long>", ("text",))
-    samples = [(np.array(r["bucket"], int), np.array(r["n"], int), r["label"]) for r in sorted(found.collect(), key=lambda r: r["id"])]
-    return train(samples)
+    found = with_arrow_columns(rows.dropDuplicates(["id"]), featurise, "bucket binary, n binary", ("text",))
+    rows = sorted(found.collect(), key=lambda r: r["id"])
+    return train([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["n"], np.int32), r["label"]) for r in rows])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
