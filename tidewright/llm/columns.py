@@ -28,3 +28,43 @@ def with_arrow_columns(
             yield pa.RecordBatch.from_arrays([*columns, *(made[x] for x in new.names)], schema.names)
 
     return df.mapInArrow(batches, schema)
+
+
+def map_sorted_groups(
+    df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: tuple[str, ...] = ()
+) -> DataFrame:
+    """``f`` of the rows of each key, dealt out by key and sorted by ``order`` within a key.
+
+    A group is held in memory whole, so callers bound the size of a group by their choice of keys.
+    """
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        out: list[pa.RecordBatch] = []
+
+        def close() -> None:
+            made = f(pa.Table.from_batches(held)) if held else None
+            if made is not None and len(made):
+                out.append(made.select(names))
+
+        for batch in batches:
+            columns = [batch[k].to_pylist() for k in keys]
+            start = 0
+            for i, key in enumerate(zip(*columns, strict=True)):
+                if key != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    close()
+                    held.clear()
+                    last, start = key, i
+            if len(batch) > start:
+                held.append(batch.slice(start))
+            if sum(map(len, out)) > 1000:
+                yield from out
+                out.clear()
+        close()
+        yield from out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

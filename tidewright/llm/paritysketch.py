@@ -13,9 +13,9 @@ Shingles that many documents share are left out of the blocks: leaving any fixed
 so no pair is lost and the set steers cost alone. A document left with fewer than D + 1 blocks also emits
 its first D + 1 shingles, the shared ones included; of two such documents one shares an emitted shingle.
 
-A group of documents that share a block is not paired out. Each is verified against the group's first (a star); only
-between components that this leaves apart are the group's remaining pairs compared, by the Hamming distance of dense
-sketches in blocks of bounded size, and those within D are verified. Verification intersects the sets of 64-bit
+A group of documents that share a block is not paired out. Each document is verified against the first of one of its
+groups; only between components that this leaves apart are a group's pairs compared, by the Hamming distance of dense
+sketches in pieces of bounded size, and those within D are verified. Verification intersects the sets of 64-bit
 shingle hashes. Documents of equal sets are one class throughout.
 
 Null texts and texts without a word have no shingle and link with nothing. Rows of one id are each kept, with the
@@ -28,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.columns import map_sorted_groups
 from tidewright.llm.shared import checkpoint, connected_components
 from tidewright.llm.text import SPACE, U64, mix, words
 
@@ -44,7 +46,7 @@ _SHORT = U64(0x5851F42D4C957F2D)
 FLUSH = 2_000_000
 BUCKET_ENTRIES = 250_000
 #: Documents whose shared shingles steer the blocks, and how many of them must share one.
-COMMON_SAMPLE, COMMON_IN = 6000, 6
+COMMON_SAMPLE, COMMON_IN = 3000, 4
 #: Members of a group that are compared with each other at a time.
 BLOCK = 1024
 
@@ -238,55 +240,53 @@ def _batch(schema: pa.Schema, length: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+_ROWS = "key long, first long, slot long, id long, n long, class long, sketch binary"
+_ROW_SCHEMA = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()),
+                         ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary())])
+
+
+def _shared_blocks(parts: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
+    """(key of a group, its first slot, slot) for each slot of a block that several share; equal groups once."""
+    entry = np.concatenate([np.frombuffer(b, U64) for _, b in parts])
+    unit = np.repeat(np.array([u for u, _ in parts], np.int64), [len(b) // 8 for _, b in parts])
+    slot = unit << 16 | (entry & U64(0xFFFF)).astype(np.int64)
+    name = entry >> U64(16)
+    order = np.lexsort((slot, name))
+    name, slot = name[order], slot[order]
+    at = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    size = np.diff(at, append=len(name))
+    slot, size = slot[np.repeat(size > 1, size)], size[size > 1]
+    if not len(slot):
+        return None
+    at = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        key = mix(np.add.reduceat(mix(slot.view(U64)), at) + size.astype(U64)).view(np.int64)
+    keep = np.zeros(len(size), bool)
+    keep[np.unique(key, return_index=True)[1]] = True
+    keep = np.repeat(keep, size)
+    return _batch(_ROW_SCHEMA, keep.sum(), key=np.repeat(key, size)[keep], first=np.repeat(slot[at], size)[keep], slot=slot[keep])
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """Documents' rows as they are, and (unit: group, id: first slot, slot) for each slot of a block that several share."""
-
-    def of_bucket(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        entry = np.concatenate([np.frombuffer(b, U64) for _, b in parts])
-        unit = np.repeat(np.array([u for u, _ in parts], np.int64), [len(b) // 8 for _, b in parts])
-        slot = unit << 16 | (entry & U64(0xFFFF)).astype(np.int64)
-        name = entry >> U64(16)
-        order = np.argsort(name, kind="stable")
-        name, slot = name[order], slot[order]
-        at = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        size = np.diff(at, append=len(name))
-        several = np.repeat(size > 1, size)
-        slot, size = slot[several], size[size > 1]
-        if not len(slot):
-            return None
-        group = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((slot, group))
-        slot = slot[order]
-        at = np.cumsum(size) - size
-        with np.errstate(over="ignore"):
-            key = mix(np.add.reduceat(mix(slot.view(U64)), at) + size.astype(U64)).view(np.int64)
-        first = np.unique(key, return_index=True)[1]
-        keep = np.zeros(len(size), bool)
-        keep[first] = True
-        return key, slot, at, size, keep
+    """The documents' rows as they are, and those of the groups that share a block; rows come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            found = of_bucket(parts) if parts else None
-            if found is not None:
-                key, slot, at, size, keep = found
-                chosen = np.repeat(keep, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(key, size)[chosen]), pa.array(np.repeat(slot[at], size)[chosen]), pa.array(slot[chosen])],
-                    ["key", "first", "slot"],
-                )
-
         for batch in batches:
-            for bucket, unit, entries in zip(batch["bucket"].to_pylist(), batch["unit"].to_pylist(), batch["entries"].to_pylist(), strict=True):
+            packed = batch["entries"].is_valid()
+            plain = batch.filter(pc.invert(packed))
+            yield _batch(_ROW_SCHEMA, len(plain), **{k: plain[k] for k in ("id", "n", "class", "slot", "sketch")})
+            batch = batch.filter(packed)
+            for bucket, unit, entries in zip(*(batch[k].to_pylist() for k in ("bucket", "unit", "entries")), strict=True):
                 if bucket != current:
-                    yield from close()
+                    if parts and (found := _shared_blocks(parts)) is not None:
+                        yield found
                     current, parts = bucket, []
                 parts.append((unit, entries))
-        yield from close()
+        if parts and (found := _shared_blocks(parts)) is not None:
+            yield found
 
-    return rows.mapInArrow(run, "key long, first long, slot long")
+    return rows.mapInArrow(run, _ROWS)
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -303,60 +303,99 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.select("h").collect()], np.int64).view(U64))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(class, its sorted shingle hashes packed) of documents (text)."""
+def _hamming_within(batch: pa.RecordBatch) -> np.ndarray:
+    """Which pairs (n, sketch) and (m, other) lie within the largest difference of a link by size and sketch."""
+    n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
+    near = np.zeros(len(n), bool)
+    for i, (x, y) in enumerate(zip(batch["sketch"].to_pylist(), batch["other"].to_pylist(), strict=True)):
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        k = min(len(x), len(y))
+        d = np.bitwise_xor.reduce(x.reshape(-1, k), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, k), axis=0)
+        near[i] = np.bitwise_count(d).sum() <= largest_difference(n[i], m[i])
+    return near & (np.maximum(n, m) * OVER <= np.minimum(n, m) * UNDER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, sizes, sets in shingle_sets(batch["text"]):
-                packed = [s.tobytes() for s in np.split(sets, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sizes, sets)), pa.array(packed, pa.binary())], ["class", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "class long, shingles binary")
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b) of classes."""
+def near_pairs(pairs: DataFrame, leads: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes that their sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = UNDER * both >= OVER * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(linked))
+            yield batch.select(["a", "b"]).filter(pa.array(_hamming_within(batch)))
 
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = leads.selectExpr("class AS a", "n", "sketch")
+    right = leads.selectExpr("class AS b", "n AS m", "sketch AS other")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Pairs of different components that share a group and whose sketches lie within the largest difference.
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (a, b) of classes, by their whole sets.
 
-    Large groups are cut into pieces of ``BLOCK`` members, and each pair of pieces is compared in a task of its own.
+    Every document that is needed makes its set once and sends it to the pairs of each ``a`` that it is in; an ``a``
+    with many partners is cut into pieces that each get its set.
+    """
+    pairs = checkpoint(pairs)
+    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+    members = pairs.join(pieces, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
+    heads = pieces.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    places = members.union(heads).groupBy("class").agg(F.collect_list(F.struct("a", "piece")).alias("places"))
+    wanted = docs.join(reps.join(places, "class").select("id", "class", "places"), "id")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            expected, places = batch["class"].to_pylist(), batch["places"].to_pylist()
+            for rows, sizes, sets in shingle_sets(batch["text"]):
+                own, parts = set_hashes(sizes, sets).tolist(), np.split(sets, np.cumsum(sizes)[:-1])
+                for k, part in enumerate(parts):
+                    i = rows.start + k
+                    if own[k] == expected[i]:
+                        at, data = places[i], part.tobytes()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([p["a"] for p in at], pa.int64()), pa.array([p["piece"] for p in at], pa.int32()),
+                             pa.array([own[k]] * len(at), pa.int64()), pa.array([data] * len(at), pa.binary())],
+                            ["a", "piece", "class", "shingles"],
+                        )
+
+    def intersect(group: pa.Table) -> pa.RecordBatch:
+        head, found = group["a"][0].as_py(), []
+        sets = {c: np.frombuffer(b, U64) for c, b in zip(group["class"].to_pylist(), group["shingles"].to_pylist(), strict=True)}
+        x = sets.pop(head, None)
+        for c, y in sets.items() if x is not None else ():
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if UNDER * both >= OVER * (len(x) + len(y) - both):
+                found.append(c)
+        return pa.RecordBatch.from_arrays([pa.array([head] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
+
+    sent = wanted.select("text", "class", "places").mapInArrow(make, "a long, piece int, class long, shingles binary")
+    return map_sorted_groups(sent, ["a", "piece"], intersect, "a long, b long")
+
+
+def _apart(groups: DataFrame, parts: DataFrame, leads: DataFrame) -> DataFrame:
+    """Pairs of different components that share a group and that sizes and sketches do not rule out.
+
+    Large groups are cut into pieces of about ``BLOCK`` members, and each pair of pieces is compared on its own.
     """
+    members = groups.select("key", "class").distinct().join(parts.withColumnRenamed("node", "class"), "class", "left")
+    members = members.withColumn("component", F.coalesce("component", "class"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = members.join(sizes.where("lo <> hi").select("key", "size"), "key")
-    pieces = F.ceil(F.col("size") / BLOCK)
-    members = members.withColumn("piece", F.pmod(F.xxhash64("class"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces.cast("int") - 1)))
-    members = members.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other"))
-
-    def compare(key, frame):
-        import pandas as pd
-
-        n, piece = frame["n"].to_numpy(), frame["piece"].to_numpy()
-        component, name = frame["component"].to_numpy(), frame["class"].to_numpy()
-        far = hamming([np.frombuffer(s, np.uint8) for s in frame["sketch"]])
+    members = members.join(sizes.where("lo <> hi").select("key", "size"), "key").join(leads, "class")
+    pieces = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = members.withColumn("piece", F.pmod(F.xxhash64("class"), pieces).cast("int"))
+    members = members.withColumn("other_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    members = members.withColumn("p", F.least("piece", "other_piece")).withColumn("q", F.greatest("piece", "other_piece"))
+
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        n, piece, component, name = (group[k].to_numpy() for k in ("n", "piece", "component", "class"))
+        if len(set(component.tolist())) < 2:
+            return None
+        far = hamming([np.frombuffer(s, np.uint8) for s in group["sketch"].to_pylist()])
         i, j = np.nonzero(np.triu(far <= largest_difference(n[:, None], n[None, :]), 1))
-        _, p, q = key
         fits = (component[i] != component[j]) & (np.maximum(n[i], n[j]) * OVER <= np.minimum(n[i], n[j]) * UNDER)
-        fits &= (piece[i] != piece[j]) | (p == q)
-        i, j = i[fits], j[fits]
-        return pd.DataFrame({"a": np.minimum(name[i], name[j]), "b": np.maximum(name[i], name[j])})
+        fits &= (piece[i] != piece[j]) | (group["p"][0].as_py() == group["q"][0].as_py())
+        i, j = name[i[fits]], name[j[fits]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
-    return members.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    members = members.select("key", "p", "q", "piece", "component", "class", "n", "sketch")
+    return map_sorted_groups(members, ["key", "p", "q"], compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -365,34 +404,27 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     common = common_shingles(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(512, int(size / 12) // BUCKET_ENTRIES)
-    emitted = checkpoint(_emit(docs, buckets, common))
-    rows = emitted.where("entries IS NULL").select("id", "n", "class", "slot", "sketch")
-    entries = emitted.where("entries IS NOT NULL").select("bucket", "unit", "entries")
-    groups = _groups(entries.repartition("bucket").sortWithinPartitions("bucket")).distinct()
-    leads = rows.where("slot IS NOT NULL").select("slot", "class", "n", "sketch")
+    emitted = _emit(docs, buckets, common)
+    rows = checkpoint(_groups(emitted.repartition("bucket").sortWithinPartitions("bucket")))
+    groups = rows.where("key IS NOT NULL").select("key", "first", "slot").distinct()
+    rows = rows.where("key IS NULL").select("id", "n", "class", "slot", "sketch")
+    leads = rows.where("slot IS NOT NULL")
     groups = checkpoint(
         groups.join(leads.select("slot", "class"), "slot")
         .join(leads.select(F.col("slot").alias("first"), F.col("class").alias("head")), "first")
         .select("key", "head", "class").distinct()
     )
-    star = groups.where("head <> class").selectExpr("least(head, class) AS a", "greatest(head, class) AS b").distinct()
-    # One document of each class that is in a group stands for it.
-    classes = groups.select("class").distinct()
-    chosen = rows.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
-    chosen = chosen.join(classes, "class", "left_semi").select("id").distinct()
-    found = _sets(docs.join(chosen, "id", "left_semi"))
-    sets = checkpoint(found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")))
-    links = checkpoint(verify(star, sets))
+    grouped = groups.select("class").distinct()
+    leads = leads.join(grouped, "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    leads = checkpoint(leads)
+    reps = rows.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id")).join(grouped, "class", "left_semi")
+    reps = checkpoint(reps)
+    star = groups.groupBy("class").agg(F.min("head").alias("head")).where("head <> class")
+    star = star.selectExpr("head AS a", "class AS b")
+    links = checkpoint(verify(near_pairs(star, leads), docs, reps))
     parts = connected_components(links)
-    sketches = leads.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    members = (
-        groups.select("key", "class").distinct()
-        .join(parts.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
-        .join(sketches, "class")
-    )
-    more = verify(_apart(members).join(star, ["a", "b"], "left_anti"), sets)
-    parts = connected_components(links.union(more))
+    more = _apart(groups, parts, leads).join(links.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"), ["a", "b"], "left_anti")
+    parts = connected_components(links.union(verify(more, docs, reps)))
     named = rows.where("id IS NOT NULL AND n > 0").join(parts.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class")).select("id", "n", "component")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
