@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bpe import bpe_digest
 from tidewright.llm.langid import held_out, identify, learn_profiles
+from tidewright.llm.lattice import near_duplicates
 from tidewright.llm.paritysketch import jaccard_components
 from tidewright.llm.quality import learn_quality, score_quality
 from tidewright.registry import Registry
@@ -47,3 +48,8 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op6_parity_sketch_join")
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+@REGISTRY.query("op10_lattice_near_duplicates")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
