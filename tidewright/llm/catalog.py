@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm.bpe import bpe_digest
 from tidewright.llm.langid import held_out, identify, learn_profiles
 from tidewright.llm.lattice import near_duplicates
+from tidewright.llm.mixing import mix_decisions
 from tidewright.llm.paritysketch import jaccard_components
 from tidewright.llm.quality import learn_quality, score_quality
 from tidewright.registry import Registry
@@ -53,3 +54,9 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op10_lattice_near_duplicates")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@REGISTRY.query("op3_cube_mixing")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_decisions(documents(spark, sf_dir))
+    return out.select(out["id"].alias("doc_id"), "size", "source_size", "target", "taken", "source", "repeats")
