@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm import dialogue
 from tidewright.llm.bpe import bpe_digest
 from tidewright.llm.langid import held_out, identify, learn_profiles
 from tidewright.llm.lattice import near_duplicates
+from tidewright.llm.licenses import scan_licenses
 from tidewright.llm.mixing import mix_decisions
 from tidewright.llm.paritysketch import jaccard_components
 from tidewright.llm.quality import learn_quality, score_quality
@@ -60,3 +62,13 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_decisions(documents(spark, sf_dir))
     return out.select(out["id"].alias("doc_id"), "size", "source_size", "target", "taken", "source", "repeats")
+
+
+@REGISTRY.query("op4_license_containment_join")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "blocks")
+
+
+@REGISTRY.query("op5_perspective_rotation", dialogue.ORACLE_SQL)
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.rotate(table(spark, sf_dir, "conversations"))
