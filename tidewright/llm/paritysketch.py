@@ -13,10 +13,12 @@ Shingles that many documents share are left out of the blocks: leaving any fixed
 so no pair is lost and the set steers cost alone. A document left with fewer than D + 1 blocks also emits
 its first D + 1 shingles, the shared ones included; of two such documents one shares an emitted shingle.
 
-A group of documents that share a block is not paired out. Each document is verified against the first of one of its
-groups; only between components that this leaves apart are a group's pairs compared, by the Hamming distance of dense
-sketches in pieces of bounded size, and those within D are verified. Verification intersects the sets of 64-bit
-shingle hashes. Documents of equal sets are one class throughout.
+Documents that share a block are not paired out. A document's group is led by the first document of a block it is in,
+and a group's documents are compared in memory by sizes and by the Hamming distance of dense sketches, in pieces of
+bounded size; each yields its nearest partner within D. Those pairs are verified by intersecting the sets of 64-bit
+shingle hashes, then the nearest pairs of the components that result, twice. What then lies within D of another component
+of its group is verified in full, so no link between different texts is lost. Documents of equal sets are one class
+throughout.
 
 Null texts and texts without a word have no shingle and link with nothing. Rows of one id are each kept, with the
 component of their own text. Rows without an id get no component, and join nothing. Extra columns are not carried.
@@ -303,99 +305,75 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.select("h").collect()], np.int64).view(U64))
 
 
-def _hamming_within(batch: pa.RecordBatch) -> np.ndarray:
-    """Which pairs (n, sketch) and (m, other) lie within the largest difference of a link by size and sketch."""
-    n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
-    near = np.zeros(len(n), bool)
-    for i, (x, y) in enumerate(zip(batch["sketch"].to_pylist(), batch["other"].to_pylist(), strict=True)):
-        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        k = min(len(x), len(y))
-        d = np.bitwise_xor.reduce(x.reshape(-1, k), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, k), axis=0)
-        near[i] = np.bitwise_count(d).sum() <= largest_difference(n[i], m[i])
-    return near & (np.maximum(n, m) * OVER <= np.minimum(n, m) * UNDER)
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(class, its sorted shingle hashes packed) of the classes whose documents ``reps`` (id, class) name."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sizes, sets in shingle_sets(batch["text"]):
+                packed = [x.tobytes() for x in np.split(sets, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sizes, sets)), pa.array(packed, pa.binary())], ["class", "shingles"])
+
+    found = docs.join(reps.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(run, "class long, shingles binary")
+    found = found.join(reps.select("class"), "class", "left_semi")
+    return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
-def near_pairs(pairs: DataFrame, leads: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes that their sizes and sketches do not rule out."""
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (a, b) of classes, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["a", "b"]).filter(pa.array(_hamming_within(batch)))
+            linked = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked[i] = UNDER * both >= OVER * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    left = leads.selectExpr("class AS a", "n", "sketch")
-    right = leads.selectExpr("class AS b", "n AS m", "sketch AS other")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b) of classes, by their whole sets.
+def near_pairs(groups: DataFrame, leads: DataFrame, parts: DataFrame | None, nearest: bool) -> DataFrame:
+    """Pairs of a group and of different components that sizes and sketches do not rule out.
 
-    Every document that is needed makes its set once and sends it to the pairs of each ``a`` that it is in; an ``a``
-    with many partners is cut into pieces that each get its set.
-    """
-    pairs = checkpoint(pairs)
-    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
-    members = pairs.join(pieces, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
-    heads = pieces.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    places = members.union(heads).groupBy("class").agg(F.collect_list(F.struct("a", "piece")).alias("places"))
-    wanted = docs.join(reps.join(places, "class").select("id", "class", "places"), "id")
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            expected, places = batch["class"].to_pylist(), batch["places"].to_pylist()
-            for rows, sizes, sets in shingle_sets(batch["text"]):
-                own, parts = set_hashes(sizes, sets).tolist(), np.split(sets, np.cumsum(sizes)[:-1])
-                for k, part in enumerate(parts):
-                    i = rows.start + k
-                    if own[k] == expected[i]:
-                        at, data = places[i], part.tobytes()
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([p["a"] for p in at], pa.int64()), pa.array([p["piece"] for p in at], pa.int32()),
-                             pa.array([own[k]] * len(at), pa.int64()), pa.array([data] * len(at), pa.binary())],
-                            ["a", "piece", "class", "shingles"],
-                        )
-
-    def intersect(group: pa.Table) -> pa.RecordBatch:
-        head, found = group["a"][0].as_py(), []
-        sets = {c: np.frombuffer(b, U64) for c, b in zip(group["class"].to_pylist(), group["shingles"].to_pylist(), strict=True)}
-        x = sets.pop(head, None)
-        for c, y in sets.items() if x is not None else ():
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if UNDER * both >= OVER * (len(x) + len(y) - both):
-                found.append(c)
-        return pa.RecordBatch.from_arrays([pa.array([head] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
-
-    sent = wanted.select("text", "class", "places").mapInArrow(make, "a long, piece int, class long, shingles binary")
-    return map_sorted_groups(sent, ["a", "piece"], intersect, "a long, b long")
-
-
-def _apart(groups: DataFrame, parts: DataFrame, leads: DataFrame) -> DataFrame:
-    """Pairs of different components that share a group and that sizes and sketches do not rule out.
-
-    Large groups are cut into pieces of about ``BLOCK`` members, and each pair of pieces is compared on its own.
+    Of each class only the pair with its nearest such partner, where ``nearest`` is set. Without ``parts`` each class
+    is a component. Large groups are cut into pieces of about ``BLOCK`` members, and each pair of pieces is compared
+    on its own.
     """
-    members = groups.select("key", "class").distinct().join(parts.withColumnRenamed("node", "class"), "class", "left")
-    members = members.withColumn("component", F.coalesce("component", "class"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = members.join(sizes.where("lo <> hi").select("key", "size"), "key").join(leads, "class")
+    members = groups
+    if parts is None:
+        members = members.withColumn("component", F.col("class"))
+    else:
+        members = members.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    sizes = members.groupBy("head").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    members = members.join(sizes.where("lo <> hi").select("head", "size"), "head").join(leads, "class")
     pieces = F.ceil(F.col("size") / BLOCK).cast("int")
     members = members.withColumn("piece", F.pmod(F.xxhash64("class"), pieces).cast("int"))
-    members = members.withColumn("other_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    members = members.withColumn("p", F.least("piece", "other_piece")).withColumn("q", F.greatest("piece", "other_piece"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    members = members.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other"))
 
-    def compare(group: pa.Table) -> pa.RecordBatch:
+    def compare(group: pa.Table) -> pa.RecordBatch | None:
         n, piece, component, name = (group[k].to_numpy() for k in ("n", "piece", "component", "class"))
-        if len(set(component.tolist())) < 2:
+        if len(name) < 2:
             return None
-        far = hamming([np.frombuffer(s, np.uint8) for s in group["sketch"].to_pylist()])
-        i, j = np.nonzero(np.triu(far <= largest_difference(n[:, None], n[None, :]), 1))
-        fits = (component[i] != component[j]) & (np.maximum(n[i], n[j]) * OVER <= np.minimum(n[i], n[j]) * UNDER)
-        fits &= (piece[i] != piece[j]) | (group["p"][0].as_py() == group["q"][0].as_py())
-        i, j = name[i[fits]], name[j[fits]]
+        far = hamming([np.frombuffer(x, np.uint8) for x in group["sketch"].to_pylist()])
+        near = (far <= largest_difference(n[:, None], n[None, :])) & (component[:, None] != component[None, :])
+        near &= np.maximum(n[:, None], n[None, :]) * OVER <= np.minimum(n[:, None], n[None, :]) * UNDER
+        if group["p"][0].as_py() != group["q"][0].as_py():
+            near &= piece[:, None] != piece[None, :]
+        if nearest:
+            i = np.flatnonzero(near.any(1))
+            j = np.where(near[i], far[i], far.max() + 1).argmin(1) if len(i) else i
+        else:
+            i, j = np.nonzero(np.triu(near, 1))
+        i, j = name[i], name[j]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
-    members = members.select("key", "p", "q", "piece", "component", "class", "n", "sketch")
-    return map_sorted_groups(members, ["key", "p", "q"], compare, "a long, b long").distinct()
+    members = members.select("head", "p", "q", "piece", "component", "class", "n", "sketch")
+    return map_sorted_groups(members, ["head", "p", "q"], compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -406,25 +384,28 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     buckets = max(512, int(size / 12) // BUCKET_ENTRIES)
     emitted = _emit(docs, buckets, common)
     rows = checkpoint(_groups(emitted.repartition("bucket").sortWithinPartitions("bucket")))
-    groups = rows.where("key IS NOT NULL").select("key", "first", "slot").distinct()
+    groups = rows.where("key IS NOT NULL").select("first", "slot").distinct()
     rows = rows.where("key IS NULL").select("id", "n", "class", "slot", "sketch")
     leads = rows.where("slot IS NOT NULL")
     groups = checkpoint(
         groups.join(leads.select("slot", "class"), "slot")
         .join(leads.select(F.col("slot").alias("first"), F.col("class").alias("head")), "first")
-        .select("key", "head", "class").distinct()
+        .select("head", "class").distinct()
     )
-    grouped = groups.select("class").distinct()
-    leads = leads.join(grouped, "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    leads = checkpoint(leads)
-    reps = rows.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id")).join(grouped, "class", "left_semi")
-    reps = checkpoint(reps)
-    star = groups.groupBy("class").agg(F.min("head").alias("head")).where("head <> class")
-    star = star.selectExpr("head AS a", "class AS b")
-    links = checkpoint(verify(near_pairs(star, leads), docs, reps))
-    parts = connected_components(links)
-    more = _apart(groups, parts, leads).join(links.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"), ["a", "b"], "left_anti")
-    parts = connected_components(links.union(verify(more, docs, reps)))
+    leads = leads.join(groups.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    pairs = checkpoint(near_pairs(groups, leads, None, nearest=True))
+    near = checkpoint(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+    leads = checkpoint(leads.join(near, "class", "left_semi"))
+    groups = checkpoint(groups.join(near, "class", "left_semi"))
+    reps = rows.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id")).join(near, "class", "left_semi")
+    sets = checkpoint(_sets(docs, checkpoint(reps)))
+    links = checkpoint(verify(pairs, sets))
+    for _ in range(2):
+        parts = connected_components(links)
+        pairs = checkpoint(near_pairs(groups, leads, parts, nearest=True))
+        links = checkpoint(links.union(verify(pairs, sets)))
+    more = near_pairs(groups, leads, connected_components(links), nearest=False)
+    parts = connected_components(links.union(verify(more.join(pairs, ["a", "b"], "left_anti"), sets)))
     named = rows.where("id IS NOT NULL AND n > 0").join(parts.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class")).select("id", "n", "component")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
