@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import dialogue
 from tidewright.llm.bpe import bpe_digest
+from tidewright.llm.html import extract
 from tidewright.llm.langid import held_out, identify, learn_profiles
 from tidewright.llm.lattice import near_duplicates
 from tidewright.llm.licenses import scan_licenses
@@ -72,3 +73,9 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op5_perspective_rotation", dialogue.ORACLE_SQL)
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.rotate(table(spark, sf_dir, "conversations"))
+
+
+@REGISTRY.query("op8_crf_main_text")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return extract(table(spark, sf_dir, "pages")).drop("html")
