@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewright.llm import dialogue
 from tidewright.llm.bpe import bpe_digest
+from tidewright.llm.chroma import align, fingerprint
 from tidewright.llm.html import extract
 from tidewright.llm.langid import held_out, identify, learn_profiles
 from tidewright.llm.lattice import near_duplicates
@@ -79,3 +81,11 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return extract(table(spark, sf_dir, "pages")).drop("html")
+
+
+@REGISTRY.query("op1_chroma_alignment")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The tables hold no sound: a text's bytes are taken as a recording of unsigned 8-bit PCM.
+    recordings = documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("pcm"))
+    prints = fingerprint(recordings).drop("pcm")
+    return align(prints, F.col("doc_id") % 50 == 0, "doc_id")
