@@ -34,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = Fraction(3, 2), 2
 #: Documents of a block.
 BLOCK = 4000
+#: Sources up to which their table, which the driver has anyway, is sent to all tasks.
+SENT_SOURCES = 50_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST) -> dict[str | None, Fraction]:
@@ -126,6 +128,7 @@ def mix_decisions(
         ratio = wanted[s] / words if words else Fraction(0)
         table.append(("n" if s is None else f"s{s}", words, float(wanted[s]), int(ratio), float(ratio - int(ratio)), n))
     plan = spark.createDataFrame(table, "group string, source_size long, target double, whole int, fraction double, n long")
+    plan = F.broadcast(plan) if len(table) <= SENT_SOURCES else plan
     units = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).drop("m")
     units = units.join(plan.select("group", F.col("fraction").alias("p")), "group").select("id", "source", "size", "hash", "k", "p", "group")
     counts, level, done = plan.select("group", "n"), 0, []
@@ -139,6 +142,7 @@ def mix_decisions(
         done.append(state.where("p = 0 OR p = 1"))
         units = state.where("p > 0 AND p < 1")
         counts = checkpoint(units.groupBy("group").agg(F.count("*").alias("n")))
+        counts = F.broadcast(counts) if len(table) <= SENT_SOURCES else counts
         largest = counts.agg(F.max("n")).first()[0] or 0
         level += 1
     out = done[0]
