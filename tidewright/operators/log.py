@@ -1,10 +1,39 @@
-"""The sequenced log: scans, recovery, sequence audit, gap ranges, repair and resume."""
+"""The sequenced log: scans, recovery, sequence audit, gap ranges, repair, resume and catch-up.
+
+A log is a table with one row per ``seq``; channels number their rows apart. Every order is total: ties of arrival
+fall to the sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a subscriber is sent in one round.
+BATCH = 10
+#: Requests for repair beyond which a subscriber asks for regrouping.
+NACK_LIMIT = 5
+
+
+def point(log: DataFrame, seq: int) -> DataFrame:
+    """The row of one sequence; no row if it is missing."""
+    return log.where(F.col("seq") == seq)
+
+
+def between(log: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows of an inclusive range of sequences, ascending. The range reaches the Parquet scan."""
+    return log.where(F.col("seq").between(start, end)).orderBy("seq")
+
+
+def recover(log: DataFrame) -> DataFrame:
+    """The sequence at which a log goes on: the largest stored, or 0."""
+    return log.agg(F.coalesce(F.max("seq"), F.lit(0).cast("long")).alias("current_seq"))
+
+
+def assign(messages: DataFrame, channel: str, *order: str) -> DataFrame:
+    """Number each channel's messages from 1 in the given total order."""
+    return messages.withColumn("seq", F.row_number().over(Window.partitionBy(channel).orderBy(*order)).cast("long"))
+
 
 def verdict(seq: Column, expected: Column) -> list[Column]:
     """Audit columns of a message against the sequence its channel expects next."""
@@ -26,3 +55,78 @@ def sequence_audit(arrivals: DataFrame) -> DataFrame:
     expected = F.coalesce(F.max("seq").over(before), F.lit(0)) + 1
     seen = arrivals.withColumn("expected", expected)
     return seen.select("channel", "arrival", "seq", "expected", *verdict(F.col("seq"), F.col("expected")))
+
+
+def nack_ranges(audit: DataFrame) -> DataFrame:
+    """The ranges to ask for again, in the order in which the gaps were seen."""
+    return audit.where("verdict = 'gap'").select("channel", "arrival", "nack_start", "nack_end")
+
+
+def retransmit(nacks: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows of the log inside any requested range, once each.
+
+    Ranges become sequences and meet the log by equality, so the join hashes on (channel, seq) whatever the number
+    of ranges.
+    """
+    wanted = nacks.select("channel", F.explode(F.sequence("nack_start", "nack_end")).alias("seq")).distinct()
+    return log.join(wanted, ["channel", "seq"], "left_semi")
+
+
+def repair(arrivals: DataFrame, log: DataFrame) -> DataFrame:
+    """What a channel holds once its gaps are filled: every sequence once, delivered or sent again."""
+    audit = sequence_audit(arrivals)
+    delivered = audit.select("channel", "seq").distinct().withColumn("repaired", F.lit(False))
+    again = retransmit(nack_ranges(audit), log).select("channel", "seq").withColumn("repaired", F.lit(True))
+    both = delivered.unionByName(again)
+    return both.groupBy("channel", "seq").agg(F.min("repaired").alias("repaired"))
+
+
+def contiguity(rows: DataFrame) -> DataFrame:
+    """Per channel: distinct sequences, first, last, and whether none is missing between."""
+    out = rows.groupBy("channel").agg(
+        F.countDistinct("seq").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    )
+    return out.withColumn("contiguous", F.col("last_seq") - F.col("first_seq") + 1 == F.col("n"))
+
+
+def resume(log: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """What each subscriber (subscriber, channel, last_recv) is still to get: all of its channel after ``last_recv``.
+
+    A subscriber that never received anything has 0 or null and replays from the start.
+    """
+    from_seq = F.coalesce("last_recv", F.lit(0))
+    return log.join(subscribers, "channel").where(F.col("seq") > from_seq).select("subscriber", "channel", "seq")
+
+
+def catch_up(log: DataFrame, sessions: DataFrame, batch: int = BATCH) -> DataFrame:
+    """One round of each active session (subscriber, next_send, target, active): up to ``batch`` rows from ``next_send``.
+
+    Missing sequences are skipped. A session's range holds at most ``batch`` numbers, so it is spread out and met by
+    equality, not by a nested loop.
+    """
+    due = sessions.where("active AND next_send <= target")
+    last = F.least("target", F.col("next_send") + batch - 1)
+    wanted = due.select("subscriber", F.explode(F.sequence("next_send", last)).alias("seq"))
+    return wanted.join(log, "seq").select("subscriber", "seq", *[c for c in log.columns if c != "seq"])
+
+
+def progress(sessions: DataFrame, acks: DataFrame, nacks: DataFrame) -> DataFrame:
+    """Each session's next sequence: moved on by acknowledgements only, then back to the least one asked for again.
+
+    ``needs_regroup`` marks sessions that asked more than ``NACK_LIMIT`` times.
+    """
+    acked = acks.groupBy("subscriber").agg(F.max("last_recv").alias("last_recv"))
+    asked = nacks.groupBy("subscriber").agg(F.min("nack_start").alias("nack_start"), F.count("*").alias("nack_count"))
+    moved = sessions.join(acked, "subscriber", "left").join(asked, "subscriber", "left")
+    ahead = F.greatest("next_send", F.coalesce(F.col("last_recv") + 1, F.col("next_send")))
+    count = F.coalesce("nack_count", F.lit(0))
+    return moved.select(
+        "subscriber", F.least(ahead, F.coalesce("nack_start", ahead)).alias("next_send"), count.alias("nack_count"),
+        (count > NACK_LIMIT).alias("needs_regroup"),
+    )
+
+
+def due_now(sends: DataFrame, spacing_us: int = 1000) -> DataFrame:
+    """Whether each send (subscriber, at_us) keeps the least spacing from the one before."""
+    before = F.lag("at_us").over(Window.partitionBy("subscriber").orderBy("at_us"))
+    return sends.withColumn("due", F.coalesce(F.col("at_us") - before >= spacing_us, F.lit(True)))

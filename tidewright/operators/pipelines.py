@@ -1,0 +1,103 @@
+"""Versioned pipeline definitions and execution history as DataFrames.
+
+"Now" is always a parameter, so results can be reproduced. Deleted rows are those with a deletion stamp.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+FINISHED = ("success", "failed")
+NOT_STARTED = ("skipped", "pending")
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+#: Error codes of the response envelope and their messages (fixed values).
+ERRORS = {0: "success", 400: "bad request", 401: "unauthorized", 403: "forbidden", 404: "not found", 500: "internal error"}
+
+
+def live(rows: DataFrame) -> DataFrame:
+    """Rows without a deletion stamp."""
+    return rows.where("deleted_at IS NULL")
+
+
+def one(rows: DataFrame, **equal) -> DataFrame:
+    """The row of least id with these column values, if any."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value)
+    return rows.orderBy("id").limit(1)
+
+
+def history(executions: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """Executions of the last ``days``, running ones first, then the latest."""
+    recent = executions.where(F.col("created_at") > now - F.expr(f"INTERVAL {days} DAYS"))
+    return recent.orderBy(F.when(F.col("status") == "running", 0).otherwise(1), F.desc("created_at"), "id")
+
+
+def with_pipeline(executions: DataFrame, versions: DataFrame) -> DataFrame:
+    """Executions with the pipeline of their version, 0 where the version is unknown."""
+    known = versions.select(F.col("id").alias("version_id"), "pipeline_id")
+    joined = executions.join(known, executions["pipeline_version_id"] == known["version_id"], "left").drop("version_id")
+    return joined.withColumn("pipeline_id", F.coalesce("pipeline_id", F.lit(0)))
+
+
+def times(rows: DataFrame) -> DataFrame:
+    """``start_time`` unless skipped or pending, ``end_time`` once finished, as text."""
+    start = F.when(~F.col("status").isin(*NOT_STARTED), F.date_format("created_at", TIME_FORMAT))
+    end = F.when(F.col("status").isin(*FINISHED), F.date_format("updated_at", TIME_FORMAT))
+    return rows.withColumn("start_time", start).withColumn("end_time", end)
+
+
+def latest_versions(pipelines: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each pipeline with its latest version's row, in one join on (id, latest_version)."""
+    own = versions.select("pipeline_id", F.col("version").alias("latest_version"), F.col("id").alias("version_id"), "config")
+    return pipelines.withColumnRenamed("id", "pipeline_id").join(own, ["pipeline_id", "latest_version"])
+
+
+def version_numbers(versions: DataFrame, *order: str) -> DataFrame:
+    """Number each pipeline's versions from 0 in the given total order."""
+    number = F.row_number().over(Window.partitionBy("pipeline_id").orderBy(*order)) - 1
+    return versions.withColumn("version", number)
+
+
+def detail(executions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Each execution with its tasks, as a count and one text of name and status in order of name."""
+    listed = tasks.groupBy("execution_id").agg(
+        F.count("*").alias("n_tasks"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("task_name", "status"))), lambda t: F.concat_ws(":", t["task_name"], t["status"])), ",").alias("tasks"),
+    )
+    joined = executions.join(listed, executions["id"] == listed["execution_id"], "left").drop("execution_id")
+    return joined.withColumn("n_tasks", F.coalesce("n_tasks", F.lit(0))).withColumn("tasks", F.coalesce("tasks", F.lit("")))
+
+
+def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``current`` with each change inserted or put over its key's row; the greatest ``order`` of a key wins."""
+    both = current.unionByName(changes)
+    rest = [c for c in current.columns if c not in key]
+    last = both.groupBy(*key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("last"))
+    return last.select(*key, *[F.col(f"last.{c}").alias(c) for c in rest])
+
+
+def insert_absent(current: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is not there yet."""
+    return rows.join(current, key, "left_anti")
+
+
+def roll_up(tasks: DataFrame) -> DataFrame:
+    """An execution fails with any of its tasks."""
+    failed = F.bool_or(F.col("status") == "failed")
+    return tasks.groupBy("execution_id").agg(F.when(failed, "failed").otherwise("success").alias("status"), F.count("*").alias("n_tasks"))
+
+
+def latest_status(events: DataFrame) -> DataFrame:
+    """Each (execution_id, task_name)'s last status by event number."""
+    return events.groupBy("execution_id", "task_name").agg(F.max_by("status", "event_seq").alias("status"), F.max("event_seq").alias("event_seq"))
+
+
+def envelope(rows: DataFrame, code: int = 0) -> DataFrame:
+    """Each row as a JSON response of code, message and data."""
+    return rows.select(F.to_json(F.struct(F.lit(code).alias("code"), F.lit(ERRORS[code]).alias("message"), F.struct(*rows.columns).alias("data"))).alias("response"))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """History rows as lines of fixed width."""
+    return rows.select(F.format_string("%-8d %-8d %-8s %s", "id", "pipeline_id", "status", "start_time").alias("line"))

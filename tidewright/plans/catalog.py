@@ -1,40 +1,856 @@
-"""The registered queries of the library itself."""
+"""The registered queries of the library itself, with the DuckDB text that each must agree with.
+
+The driver's tables stand for the library's: ``events`` for ticks, log rows and heartbeats (user: security, subscriber or
+client; event type: channel), ``orders`` for executions, ``lineitem`` for tasks, ``customer`` for pipelines, ``documents``
+for blobs and messages. Values come from the tables whole; nothing is sampled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.operators.log import sequence_audit
+from tidewright.operators import codecs, dag, extensions, log, pipelines, sessions, snapshots, ticks, triggers
 from tidewright.registry import Registry
 from tidewright.session import table
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+# ---------------------------------------------------------------- ordered streams
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr("user_id AS skey", "ts", "event_id + 1 AS seq", "value AS price", "event_type AS side")
+
+
+@query(
+    "merged_ticks",
+    "SELECT user_id AS skey, ts, event_id + 1 AS seq, value AS price, event_type AS side FROM events "
+    "WHERE user_id IN (1, 2, 3, 4, 5) ORDER BY ts, skey, seq",
+)
+def _merged_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.merged(_ticks(spark, sf_dir), [1, 2, 3, 4, 5])
+
+
+@query(
+    "tick_positions",
+    "SELECT user_id AS skey, event_id + 1 AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events",
+)
+def _tick_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.positions(_ticks(spark, sf_dir)).selectExpr("skey", "seq", "cast(pos AS long) AS pos")
+
+
+@query(
+    "tick_monotonic",
+    """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY (event_id * 7919) % 1009, event_id) AS p FROM events)
+    SELECT user_id AS skey, count(*) AS n, count(*) FILTER (ts < p) AS violations FROM o GROUP BY user_id""",
+)
+def _tick_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ticks(spark, sf_dir).withColumn("o", F.expr("((seq - 1) * 7919) % 1009"))
+    return ticks.violations(rows, "o", "seq")
+
+
+@query("stream_counts", "SELECT user_id AS skey, count(*) AS n FROM events GROUP BY user_id")
+def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.counts(_ticks(spark, sf_dir))
 
 
-@REGISTRY.query(
-    "sequence_audit",
-    """
-    WITH arrivals AS (
+@query(
+    "key_listing",
+    "SELECT DISTINCT 'mdl/mbd/order/' || strftime(ts, '%Y%m%d') || '/' || user_id || '.parquet' AS key FROM events "
+    "WHERE strftime(ts, '%Y%m%d') = '20240103'",
+)
+def _key_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.listing(_ticks(spark, sf_dir), "mdl/mbd/order/20240103/")
+
+
+@query(
+    "day_discovery",
+    "SELECT strftime(ts, '%Y%m%d') AS day, count(DISTINCT user_id) AS streams, min(user_id) AS first_key, max(user_id) AS last_key "
+    "FROM events GROUP BY 1",
+)
+def _day_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.discovery(_ticks(spark, sf_dir))
+
+
+@query("full_sort_desc", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey")
+def _full_sort_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return rows.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
+# ---------------------------------------------------------------- the log
+
+_ARRIVALS = """arrivals AS (
       SELECT event_type AS channel, event_id + 1 AS seq, event_id + (event_id * 7919) % 11 AS arrival
       FROM events WHERE event_id % 37 <> 5
-    ), seen AS (
+    )"""
+_AUDIT = f"""{_ARRIVALS}, seen AS (
       SELECT *, coalesce(max(seq) OVER (PARTITION BY channel ORDER BY arrival, seq
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS expected
       FROM arrivals
-    )
-    SELECT channel, arrival, seq, expected,
-           CASE WHEN seq = expected THEN 'in_order' WHEN seq > expected THEN 'gap' ELSE 'stale' END AS verdict,
-           CASE WHEN seq > expected THEN expected END AS nack_start,
-           CASE WHEN seq > expected THEN seq - 1 END AS nack_end
-    FROM seen
-    """,
-)
-def _sequence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence_audit(arrivals(spark, sf_dir))
+    ), audit AS (
+      SELECT channel, arrival, seq, expected,
+             CASE WHEN seq = expected THEN 'in_order' WHEN seq > expected THEN 'gap' ELSE 'stale' END AS verdict,
+             CASE WHEN seq > expected THEN expected END AS nack_start,
+             CASE WHEN seq > expected THEN seq - 1 END AS nack_end
+      FROM seen
+    )"""
+_CHANNEL_LOG = "SELECT event_type AS channel, event_id + 1 AS seq FROM events"
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a lossy, reordered delivery of a sequenced log."""
-    return table(spark, sf_dir, "events").where("event_id % 37 <> 5").selectExpr(
+    return _events(spark, sf_dir).where("event_id % 37 <> 5").selectExpr(
         "event_type AS channel", "event_id + 1 AS seq", "event_id + (event_id * 7919) % 11 AS arrival"
     )
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr("event_type AS channel", "event_id + 1 AS seq", "value", "user_id")
+
+
+@query("log_point", "SELECT event_id + 1 AS seq, event_type AS channel, value, user_id FROM events WHERE event_id = 41")
+def _log_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.point(_log(spark, sf_dir), 42)
+
+
+@query("log_range", "SELECT event_id + 1 AS seq, event_type AS channel, value, user_id FROM events WHERE event_id BETWEEN 299 AND 699")
+def _log_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.between(_log(spark, sf_dir), 300, 700)
+
+
+@query("log_recover", "SELECT coalesce(max(event_id + 1), 0) AS current_seq FROM events")
+def _log_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.recover(_log(spark, sf_dir))
+
+
+@query("seq_assign", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq FROM events")
+def _seq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.assign(_events(spark, sf_dir), "event_type", "ts", "event_id").select("event_id", "event_type", "seq")
+
+
+@query("sequence_audit", f"WITH {_AUDIT} SELECT * FROM audit")
+def _sequence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.sequence_audit(arrivals(spark, sf_dir))
+
+
+@query("nack_ranges", f"WITH {_AUDIT} SELECT channel, arrival, nack_start, nack_end FROM audit WHERE verdict = 'gap'")
+def _nack_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.nack_ranges(log.sequence_audit(arrivals(spark, sf_dir)))
+
+
+@query(
+    "retransmit",
+    f"""WITH {_AUDIT}, log AS ({_CHANNEL_LOG})
+    SELECT DISTINCT log.channel, log.seq FROM log JOIN audit a ON a.channel = log.channel AND log.seq BETWEEN a.nack_start AND a.nack_end""",
+)
+def _retransmit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channel_log = _log(spark, sf_dir).select("channel", "seq")
+    return log.retransmit(log.nack_ranges(log.sequence_audit(arrivals(spark, sf_dir))), channel_log)
+
+
+@query(
+    "repaired_log",
+    f"""WITH {_AUDIT}, log AS ({_CHANNEL_LOG}), held AS (
+      SELECT channel, seq, false AS repaired FROM arrivals
+      UNION ALL
+      SELECT log.channel, log.seq, true FROM log JOIN audit a ON a.channel = log.channel AND log.seq BETWEEN a.nack_start AND a.nack_end
+    ) SELECT channel, seq, bool_and(repaired) AS repaired FROM held GROUP BY channel, seq""",
+)
+def _repaired_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.repair(arrivals(spark, sf_dir), _log(spark, sf_dir).select("channel", "seq"))
+
+
+@query(
+    "contiguity",
+    f"""WITH {_ARRIVALS} SELECT channel, count(DISTINCT seq) AS n, min(seq) AS first_seq, max(seq) AS last_seq,
+    max(seq) - min(seq) + 1 = count(DISTINCT seq) AS contiguous FROM arrivals GROUP BY channel""",
+)
+def _contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.contiguity(arrivals(spark, sf_dir))
+
+
+@query(
+    "subscribe_resume",
+    """WITH s AS (SELECT user_id AS subscriber, event_type AS channel, CASE WHEN user_id % 5 = 0 THEN NULL ELSE max(event_id) - 20 END AS last_recv
+                  FROM events GROUP BY 1, 2)
+    SELECT s.subscriber, s.channel, e.event_id + 1 AS seq FROM s JOIN events e ON e.event_type = s.channel AND e.user_id = s.subscriber
+    WHERE e.event_id + 1 > coalesce(s.last_recv, 0)""",
+)
+def _subscribe_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir).withColumn("own", F.concat_ws("/", "user_id", "event_type"))
+    subscribers = events.groupBy("own").agg(F.min("user_id").alias("subscriber"), F.min("event_type").alias("type"), F.max("event_id").alias("last"))
+    subscribers = subscribers.selectExpr("own AS channel", "subscriber", "type", "CASE WHEN subscriber % 5 <> 0 THEN last - 20 END AS last_recv")
+    out = log.resume(events.selectExpr("own AS channel", "event_id + 1 AS seq"), subscribers)
+    return out.selectExpr("subscriber", "split(channel, '/')[1] AS channel", "seq")
+
+
+_SESSIONS = """s AS (SELECT user_id AS subscriber, min(event_id) + 1 AS next_send, min(event_id) + 1 + user_id % 15 AS target,
+                        user_id % 7 <> 3 AS active FROM events GROUP BY user_id)"""
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.min("event_id").alias("e")).selectExpr(
+        "user_id AS subscriber", "e + 1 AS next_send", "e + 1 + user_id % 15 AS target", "user_id % 7 <> 3 AS active"
+    )
+
+
+@query(
+    "catchup_batch",
+    f"""WITH {_SESSIONS} SELECT s.subscriber, e.event_id + 1 AS seq, e.value FROM s
+    JOIN (SELECT * FROM events WHERE event_id % 37 <> 5) e ON e.event_id + 1 BETWEEN s.next_send AND least(s.target, s.next_send + 9)
+    WHERE s.active AND s.next_send <= s.target""",
+)
+def _catchup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _log(spark, sf_dir).where("(seq - 1) % 37 <> 5").select("seq", "value")
+    return log.catch_up(rows, _sessions(spark, sf_dir))
+
+
+@query(
+    "ack_progress",
+    f"""WITH {_SESSIONS}, acks AS (SELECT user_id AS subscriber, event_id + 1 AS last_recv FROM events WHERE event_type = 'click'),
+    nacks AS (SELECT user_id AS subscriber, event_id AS nack_start FROM events WHERE event_type = 'view'),
+    a AS (SELECT subscriber, max(last_recv) AS last_recv FROM acks GROUP BY 1),
+    k AS (SELECT subscriber, min(nack_start) AS nack_start, count(*) AS n FROM nacks GROUP BY 1)
+    SELECT s.subscriber,
+      least(greatest(s.next_send, coalesce(a.last_recv + 1, s.next_send)),
+            coalesce(k.nack_start, greatest(s.next_send, coalesce(a.last_recv + 1, s.next_send)))) AS next_send,
+      coalesce(k.n, 0) AS nack_count, coalesce(k.n, 0) > 5 AS needs_regroup
+    FROM s LEFT JOIN a USING (subscriber) LEFT JOIN k USING (subscriber)""",
+)
+def _ack_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    acks = events.where("event_type = 'click'").selectExpr("user_id AS subscriber", "event_id + 1 AS last_recv")
+    nacks = events.where("event_type = 'view'").selectExpr("user_id AS subscriber", "event_id AS nack_start")
+    return log.progress(_sessions(spark, sf_dir), acks, nacks)
+
+
+@query(
+    "send_pacing",
+    """WITH t AS (SELECT user_id AS subscriber, event_id, epoch_us(ts) AS at_us FROM events)
+    SELECT subscriber, event_id, coalesce(at_us - lag(at_us) OVER (PARTITION BY subscriber ORDER BY at_us) >= 3600000000, true) AS due FROM t""",
+)
+def _send_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sends = _events(spark, sf_dir).selectExpr("user_id AS subscriber", "event_id", "unix_micros(cast(ts AS timestamp)) AS at_us")
+    return log.due_now(sends, 3_600_000_000).select("subscriber", "event_id", "due")
+
+
+# ---------------------------------------------------------------- sessions and groups
+
+
+@query(
+    "heartbeat_timeout",
+    """SELECT user_id AS subscriber, max(ts) AS last_seen, max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE * 24 AS active
+    FROM events GROUP BY user_id""",
+)
+def _heartbeat_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    now = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    return sessions.heartbeat_timeout(events.selectExpr("user_id AS subscriber", "ts AS at"), now, "INTERVAL 12 HOURS")
+
+
+_MEMBERS = """m AS (SELECT 'all' AS channel, CAST(user_id AS VARCHAR) AS subscriber, max(event_id) AS next_send, user_id % 7 <> 3 AS active,
+      '10.0.' || (user_id % 4) || '.' || (user_id % 250 + 1) AS ip, CAST(user_id % 3 AS INTEGER) AS priority
+    FROM events GROUP BY user_id)"""
+_GROUPS = f"""{_MEMBERS}, o AS (
+      SELECT *, row_number() OVER (PARTITION BY channel ORDER BY next_send, subscriber) AS i FROM m
+    ), g AS (
+      SELECT channel, subscriber, next_send, active, i, next_send AS anchor, 1 AS size, 0 AS n FROM o WHERE i = 1
+      UNION ALL
+      SELECT o.channel, o.subscriber, o.next_send, o.active, o.i,
+             CASE WHEN o.next_send - g.anchor > 100 OR g.size >= 50 THEN o.next_send ELSE g.anchor END,
+             CASE WHEN o.next_send - g.anchor > 100 OR g.size >= 50 THEN 1 ELSE g.size + 1 END,
+             CASE WHEN o.next_send - g.anchor > 100 OR g.size >= 50 THEN g.n + 1 ELSE g.n END
+      FROM g JOIN o ON o.channel = g.channel AND o.i = g.i + 1
+    ), b AS (
+      SELECT channel, 'progress_' || n AS group_id, min(next_send) AS min_seq, max(next_send) AS max_seq, count(*) AS members,
+             bool_and(active) AS all_active FROM g GROUP BY channel, n
+    )"""
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.max("event_id").alias("next_send")).selectExpr(
+        "'all' AS channel", "cast(user_id AS string) AS subscriber", "next_send", "user_id % 7 <> 3 AS active",
+        "concat('10.0.', user_id % 4, '.', user_id % 250 + 1) AS ip", "cast(user_id % 3 AS int) AS priority",
+    )
+
+
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _members(spark, sf_dir)
+    return sessions.group_bounds(sessions.progress_groups(members).join(members.select("channel", "subscriber", "active"), ["channel", "subscriber"]))
+
+
+@query("progress_groups", f"WITH RECURSIVE {_GROUPS} SELECT channel, subscriber, next_send, 'progress_' || n AS group_id FROM g")
+def _progress_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.progress_groups(_members(spark, sf_dir))
+
+
+@query("group_bounds", f"WITH RECURSIVE {_GROUPS} SELECT * FROM b")
+def _group_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(spark, sf_dir)
+
+
+@query("regroup_needed", f"WITH RECURSIVE {_GROUPS} SELECT *, max_seq - min_seq > 80 AS regroup FROM b")
+def _regroup_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.regroup_needed(_bounds(spark, sf_dir), 40)
+
+
+@query(
+    "group_send",
+    f"WITH RECURSIVE {_GROUPS} SELECT channel, group_id, min_seq AS from_seq, least(max_seq, min_seq + 9) AS to_seq, members FROM b WHERE all_active",
+)
+def _group_send(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.group_send(_bounds(spark, sf_dir))
+
+
+@query(
+    "subnet_groups",
+    f"""WITH {_MEMBERS}, s AS (SELECT *, regexp_extract(ip, '^(.*)\\.[0-9]+$', 1) AS subnet FROM m)
+    SELECT channel, subnet, count(*) AS members, string_agg(DISTINCT subscriber, ',' ORDER BY subscriber) AS subscribers,
+           '239.' || subnet AS multicast FROM s GROUP BY channel, subnet HAVING count(*) >= 2""",
+)
+def _subnet_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.subnet_groups(_members(spark, sf_dir))
+
+
+_PRIORITY = f"""{_MEMBERS}, p AS (SELECT channel, subscriber, priority,
+    CASE priority WHEN 2 THEN 'vip_' || subscriber WHEN 1 THEN 'high_priority' END AS group_id FROM m)"""
+
+
+@query("priority_groups", f"WITH {_PRIORITY} SELECT * FROM p")
+def _priority_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.priority_groups(_members(spark, sf_dir))
+
+
+@query("ungrouped", f"WITH {_PRIORITY} SELECT channel, subscriber, next_send FROM m WHERE subscriber NOT IN (SELECT subscriber FROM p WHERE group_id IS NOT NULL)")
+def _ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _members(spark, sf_dir)
+    return sessions.ungrouped(members, sessions.priority_groups(members)).select("channel", "subscriber", "next_send")
+
+
+@query(
+    "packet_session",
+    f"""WITH {_MEMBERS}, a AS (SELECT ip, 9000 AS port, min(subscriber) AS subscriber FROM m GROUP BY ip)
+    SELECT e.event_id, a.subscriber FROM events e LEFT JOIN a ON a.ip = '10.0.' || (e.event_id % 4) || '.' || (e.event_id % 250 + 1)
+      AND a.port = CASE WHEN e.event_id % 9 = 0 THEN 1 ELSE 9000 END""",
+)
+def _packet_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = _events(spark, sf_dir).selectExpr("event_id", "concat('10.0.', event_id % 4, '.', event_id % 250 + 1) AS ip", "CASE WHEN event_id % 9 = 0 THEN 1 ELSE 9000 END AS port")
+    return sessions.session_of_packet(packets, _members(spark, sf_dir).withColumn("port", F.lit(9000))).select("event_id", "subscriber")
+
+
+# ---------------------------------------------------------------- pipelines and execution history
+
+_EXECUTIONS = """x AS (SELECT o_orderkey AS id, o_custkey AS pipeline_version_id, o_orderdate AS created_at, o_orderdate + INTERVAL 90 SECOND AS updated_at,
+    CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'success' ELSE 'failed' END AS status FROM orders)"""
+_STATUS = "CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'success' END"
+
+
+def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "o_custkey AS pipeline_version_id", "o_orderdate AS created_at", "o_orderdate + INTERVAL 90 SECOND AS updated_at",
+        "CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'success' ELSE 'failed' END AS status",
+    )
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS execution_id", "concat_ws('-', 'task', l_linenumber, l_partkey, l_suppkey) AS task_name", f"{_STATUS} AS status"
+    )
+
+
+@query(
+    "history_90d",
+    f"""WITH {_EXECUTIONS} SELECT id, status, CASE WHEN status NOT IN ('skipped', 'pending') THEN strftime(created_at, '%Y-%m-%d %H:%M:%S') END AS start_time,
+      CASE WHEN status IN ('success', 'failed') THEN strftime(updated_at, '%Y-%m-%d %H:%M:%S') END AS end_time
+    FROM x WHERE created_at > (SELECT max(created_at) FROM x) - INTERVAL 90 DAY""",
+)
+def _history_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _executions(spark, sf_dir)
+    now = F.lit(rows.agg(F.max("created_at")).first()[0]).cast("timestamp_ntz")
+    return pipelines.times(pipelines.history(rows, now)).select("id", "status", "start_time", "end_time")
+
+
+@query(
+    "history_join",
+    f"""WITH {_EXECUTIONS}, v AS (SELECT c_custkey AS id, c_nationkey AS pipeline_id FROM customer WHERE c_custkey % 4 <> 0)
+    SELECT x.id, x.status, coalesce(v.pipeline_id, 0) AS pipeline_id FROM x LEFT JOIN v ON v.id = x.pipeline_version_id""",
+)
+def _history_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").selectExpr("c_custkey AS id", "c_nationkey AS pipeline_id")
+    return pipelines.with_pipeline(_executions(spark, sf_dir), versions).select("id", "status", "pipeline_id")
+
+
+_VERSIONS = """v AS (SELECT o_orderkey AS id, o_custkey AS pipeline_id, o_orderpriority AS config,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS version FROM orders)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS pipeline_id", "o_orderpriority AS config", "o_orderdate AS created_at")
+    return pipelines.version_numbers(rows, "created_at", "id")
+
+
+@query("version_number", f"WITH {_VERSIONS} SELECT id, pipeline_id, version FROM v")
+def _version_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir).selectExpr("id", "pipeline_id", "cast(version AS long) AS version")
+
+
+@query(
+    "latest_version",
+    f"""WITH {_VERSIONS}, p AS (SELECT pipeline_id, max(version) AS latest_version FROM v GROUP BY 1)
+    SELECT p.pipeline_id, p.latest_version, v.id AS version_id, v.config FROM p JOIN v ON v.pipeline_id = p.pipeline_id AND v.version = p.latest_version""",
+)
+def _latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = _versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    known = versions.groupBy(F.col("pipeline_id").alias("id")).agg(F.max("version").alias("latest_version"))
+    return pipelines.latest_versions(known, versions)
+
+
+@query(
+    "execution_detail",
+    f"""WITH {_EXECUTIONS}, t AS (SELECT l_orderkey AS execution_id, concat_ws('-', 'task', l_linenumber, l_partkey, l_suppkey) AS task_name, {_STATUS} AS status FROM lineitem),
+    l AS (SELECT execution_id, count(*) AS n_tasks, string_agg(task_name || ':' || status, ',' ORDER BY task_name, status) AS tasks FROM t GROUP BY 1)
+    SELECT x.id, x.status, coalesce(l.n_tasks, 0) AS n_tasks, coalesce(l.tasks, '') AS tasks FROM x LEFT JOIN l ON l.execution_id = x.id""",
+)
+def _execution_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.detail(_executions(spark, sf_dir), _tasks(spark, sf_dir)).select("id", "status", "n_tasks", "tasks")
+
+
+@query(
+    "upsert_status",
+    f"""WITH {_EXECUTIONS}, c AS (SELECT id, status, 0 AS version FROM x UNION ALL SELECT id + CASE WHEN id % 10 = 0 THEN 100000000 ELSE 0 END, 'success', 1 FROM x WHERE status = 'running')
+    SELECT id, arg_max(status, version) AS status, max(version) AS version FROM c GROUP BY id""",
+)
+def _upsert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _executions(spark, sf_dir)
+    current = rows.select("id", "status", F.lit(0).alias("version"))
+    changes = rows.where("status = 'running'").selectExpr("id + CASE WHEN id % 10 = 0 THEN 100000000 ELSE 0 END AS id", "'success' AS status", "1 AS version")
+    return pipelines.upsert(current, changes, ["id"], "version")
+
+
+@query("insert_absent", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def _insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return pipelines.insert_absent(current, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), ["id"])
+
+
+@query(
+    "status_rollup",
+    f"""WITH t AS (SELECT l_orderkey AS execution_id, {_STATUS} AS status FROM lineitem)
+    SELECT execution_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'success' END AS status, count(*) AS n_tasks FROM t GROUP BY 1""",
+)
+def _status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.roll_up(_tasks(spark, sf_dir))
+
+
+@query(
+    "latest_status",
+    """SELECT CAST(user_id AS VARCHAR) AS execution_id, event_type AS task_name, arg_max(props, event_id) AS status, max(event_id) AS event_seq
+    FROM events GROUP BY 1, 2""",
+)
+def _latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).selectExpr("cast(user_id AS string) AS execution_id", "event_type AS task_name", "props AS status", "event_id AS event_seq")
+    return pipelines.latest_status(rows)
+
+
+@query("soft_delete", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'")
+def _soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at")
+    return pipelines.live(rows).select("id")
+
+
+@query("keyed_fetch", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_name = 'Customer#000000042' ORDER BY id LIMIT 1")
+def _keyed_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.one(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name"), name="Customer#000000042")
+
+
+@query(
+    "history_report",
+    f"""WITH {_EXECUTIONS} SELECT printf('%-8d %-8d %-8s %s', id, pipeline_version_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S')) AS line FROM x""",
+)
+def _history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.report(pipelines.times(_executions(spark, sf_dir)).withColumnRenamed("pipeline_version_id", "pipeline_id"))
+
+
+# ---------------------------------------------------------------- task graphs and triggers
+
+_CHAIN = """c AS (SELECT l_orderkey AS dag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS level,
+      CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'success' END AS outcome FROM lineitem)"""
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", f"{_STATUS} AS outcome")
+    numbered = log.assign(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return numbered.selectExpr("l_orderkey AS dag", "concat('t', seq) AS task", "CASE WHEN seq > 1 THEN array(concat('t', seq - 1)) ELSE array() END AS depends_on", "outcome", "seq")
+
+
+@query("dag_levels", f"WITH {_CHAIN} SELECT dag, 't' || (level + 1) AS task, CAST(level AS INTEGER) AS level FROM c")
+def _dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.levels(_chain(spark, sf_dir))
+
+
+@query("dag_adjacency", f"WITH {_CHAIN} SELECT dag, 't' || level AS parent, 't' || (level + 1) AS children FROM c WHERE level > 0")
+def _dag_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.adjacency(_chain(spark, sf_dir)).selectExpr("dag", "parent", "array_join(children, ',') AS children")
+
+
+@query("dag_roots", "SELECT DISTINCT l_orderkey AS dag, 't1' AS task FROM lineitem")
+def _dag_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.roots(_chain(spark, sf_dir))
+
+
+@query(
+    "dag_validate",
+    f"WITH {_CHAIN}, k AS (SELECT * FROM c WHERE NOT (dag % 11 = 0 AND level = 1)) "
+    "SELECT k.dag, 'unknown_parent' AS problem, 't2' AS task FROM k WHERE k.level = 2 AND k.dag % 11 = 0",
+)
+def _dag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.problems(_chain(spark, sf_dir).where("NOT (dag % 11 = 0 AND seq = 2)"))
+
+
+@query(
+    "dag_fail_fast",
+    f"""WITH {_CHAIN}, f AS (SELECT *, min(CASE WHEN outcome = 'failed' THEN level END) OVER (PARTITION BY dag) AS first FROM c)
+    SELECT dag, 't' || (level + 1) AS task, level, CASE WHEN level > first THEN 'skipped' ELSE outcome END AS status FROM f""",
+)
+def _dag_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.fail_fast(_chain(spark, sf_dir).withColumn("level", F.col("seq") - 1))
+
+
+@query(
+    "dag_ready",
+    f"""WITH {_CHAIN} SELECT c.dag, 't' || (c.level + 1) AS task FROM c LEFT JOIN c p ON p.dag = c.dag AND p.level = c.level - 1
+    WHERE c.level % 2 = 0 AND (c.level = 0 OR p.outcome = 'success')""",
+)
+def _dag_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = _chain(spark, sf_dir)
+    return dag.ready(chain, chain.selectExpr("dag", "task", "CASE WHEN (seq - 1) % 2 = 0 THEN 'pending' ELSE outcome END AS status"))
+
+
+@query(
+    "webhook_verify",
+    """WITH r AS (SELECT event_id, 1700000000 - event_id % 700 + 100 AS sent_at, props AS payload,
+        CASE WHEN event_id % 5 = 0 THEN 'no' ELSE sha256((1700000000 - event_id % 700 + 100) || '.' || props || '.' || 'key') END AS sig FROM events)
+    SELECT event_id, 1700000000 - sent_at BETWEEN 0 AND 300 AS fresh, sig = sha256(sent_at || '.' || payload || '.key') AS signed,
+           1700000000 - sent_at BETWEEN 0 AND 300 AND sig = sha256(sent_at || '.' || payload || '.key') AS accepted FROM r""",
+)
+def _webhook_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = _events(spark, sf_dir).selectExpr("event_id", "1700000000 - event_id % 700 + 100 AS sent_at", "props AS payload")
+    signed = F.when(F.col("event_id") % 5 == 0, "no").otherwise(triggers.signature(F.col("sent_at"), F.col("payload"), F.lit("key")))
+    return triggers.verify(sent.withColumn("sig", signed), F.lit(1_700_000_000), F.lit("key")).select("event_id", "fresh", "signed", "accepted")
+
+
+_DEFINED = "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE (c_custkey % 60) || ' * * * *' END"
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cron = "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(c_custkey % 60, ' * * * *') END"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", f"array(named_struct('cron', '', 'webhook', concat('/hook/', c_nationkey)), named_struct('cron', {cron}, 'webhook', '')) AS triggers"
+    )
+
+
+@query("trigger_match", "SELECT c_custkey AS id FROM customer WHERE list_contains(['/hook/' || c_nationkey, ''], '/hook/7')")
+def _trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.matching(_definitions(spark, sf_dir), F.lit("/hook/7")).select("id")
+
+
+@query("cron_schedules", f"SELECT c_custkey AS id, {_DEFINED} AS cron FROM customer WHERE {_DEFINED} <> ''")
+def _cron_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.schedules(_definitions(spark, sf_dir)).select("id", "cron")
+
+
+@query("input_validation", """SELECT event_id, (event_id % 300) <= 255 AND (event_id * 13) % 70000 BETWEEN 1 AND 65535 AS valid FROM events""")
+def _input_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).selectExpr("event_id", "concat('10.0.0.', event_id % 300) AS ip", "(event_id * 13) % 70000 AS port")
+    return rows.select("event_id", triggers.valid_address(F.col("ip"), F.col("port")).alias("valid"))
+
+
+# ---------------------------------------------------------------- codecs
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr("user_id AS series", "event_id AS i", "event_id * 3 - (event_id % 10) * 7 AS v")
+
+
+_DELTA = """d AS (SELECT user_id AS series, event_id AS i, event_id * 3 - (event_id % 10) * 7 AS v,
+    event_id * 3 - (event_id % 10) * 7 - coalesce(lag(event_id * 3 - (event_id % 10) * 7) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM events)"""
+
+
+@query(
+    "delta_encode",
+    f"WITH {_DELTA} SELECT series, i, d, greatest(1, CAST(ceil(length(bin(CASE WHEN d >= 0 THEN d * 2 ELSE -d * 2 - 1 END)) / 7.0) AS INTEGER)) AS n_bytes FROM d",
+)
+def _delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.delta_encode(_points(spark, sf_dir))
+
+
+@query("delta_decode", f"WITH {_DELTA} SELECT series, i, v FROM d")
+def _delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.delta_decode(codecs.delta_encode(_points(spark, sf_dir)))
+
+
+_RUNS = """o AS (SELECT user_id AS series, event_id AS i, event_type AS v,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events),
+    r AS (SELECT series, v AS value, min(i) AS start, count(*) AS n FROM o GROUP BY series, v, g)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.run_length_encode(_events(spark, sf_dir).selectExpr("user_id AS series", "event_id AS i", "event_type AS v"))
+
+
+@query("rle_encode", f"WITH {_RUNS} SELECT series, value, start, n FROM r")
+def _rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select("series", "value", "start", "n")
+
+
+@query("rle_decode", f"WITH {_RUNS} SELECT series, value, start, CAST(unnest(generate_series(0, n - 1)) AS INTEGER) AS k FROM r")
+def _rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    return codecs.run_length_decode(runs).join(runs.select("series", "run", "start"), ["series", "run"]).select("series", "value", "start", "k")
+
+
+@query("top8_values", f"WITH {_RUNS} SELECT value, CAST(sum(n) AS BIGINT) AS freq FROM r GROUP BY value ORDER BY freq DESC, value LIMIT 8")
+def _top8_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.top_values(_runs(spark, sf_dir))
+
+
+@query(
+    "ngram_dictionary",
+    """WITH g AS (SELECT substr(name, CAST(i AS BIGINT), 4) AS gram FROM (SELECT c_name AS name, unnest(generate_series(1, length(c_name) - 3)) AS i FROM customer))
+    SELECT gram, count(*) AS freq FROM g GROUP BY gram HAVING count(*) > 2""",
+)
+def _ngram_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.ngrams(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS text"), 4)
+
+
+@query(
+    "kv_codec_auto",
+    """SELECT doc_id, CASE WHEN octet_length(encode(text)) < 100 THEN 'none' WHEN octet_length(encode(text)) < 1024 THEN 'snappy'
+      WHEN octet_length(encode(text)) < 10240 THEN 'lz4' ELSE 'by_content' END AS codec FROM documents""",
+)
+def _kv_codec_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", codecs.choose_by_size(F.octet_length("text")).alias("codec"))
+
+
+@query(
+    "kv_stats",
+    """WITH m AS (SELECT octet_length(encode(text)) AS o, n_chars AS c, CASE WHEN octet_length(encode(text)) < 100 THEN 'none'
+      WHEN octet_length(encode(text)) < 1024 THEN 'snappy' WHEN octet_length(encode(text)) < 10240 THEN 'lz4' ELSE 'by_content' END AS codec FROM documents)
+    SELECT codec, count(*) AS puts, CAST(sum(o) AS BIGINT) AS original, CAST(sum(c) AS BIGINT) AS compressed, round(coalesce(sum(o) / nullif(sum(c), 0), 1.0), 6) AS ratio FROM m GROUP BY codec""",
+)
+def _kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    meta = docs.select(codecs.choose_by_size(F.octet_length("text")).alias("codec"), F.octet_length("text").cast("long").alias("original_size"), F.col("n_chars").alias("compressed_size"))
+    return codecs.statistics(meta).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("codec_features")
+def _codec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "UTF-8").alias("value"))
+    shape = codecs.features(blobs)
+    return shape.withColumn("codec", codecs.choose(*map(F.col, ("size", "series", "byte_count", "gram_count")))).drop("value")
+
+
+@query("codec_matrix")
+def _codec_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All codecs over three shapes of the part table: numbers as 64-bit series, flags as runs, names as text."""
+    part = table(spark, sf_dir, "part").withColumn("key", (F.col("p_partkey") / 100).cast("long").cast("string"))
+    grouped = part.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("p_name")), ";").alias("names"), F.array_join(F.transform(F.sort_array(F.collect_list("p_size")), lambda x: F.repeat(F.char(x + 32), 20)), "").alias("runs"))
+    shapes = grouped.selectExpr("key", "explode(map('text', encode(names, 'UTF-8'), 'runs', encode(runs, 'UTF-8'))) AS (shape, value)")
+    return codecs.matrix(shapes)
+
+
+@query(
+    "lru_eviction",
+    """WITH r AS (SELECT doc_id AS key, n_chars AS size, sum(n_chars) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS newer FROM documents)
+    SELECT key, size, CAST(newer AS BIGINT) AS newer, newer > 1000000 AS evicted FROM r""",
+)
+def _lru_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "documents").selectExpr("doc_id AS key", "n_chars AS size", "doc_id AS at")
+    return codecs.eviction(items, 1_000_000).select("key", "size", "newer", "evicted")
+
+
+# ---------------------------------------------------------------- snapshots, fragments, pacing
+
+_DIFF = """d AS (SELECT user_id AS entity, event_id AS seq, row_number() OVER w = 1 AS full,
+      row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w AS c0,
+      row_number() OVER w = 1 OR floor(value) IS DISTINCT FROM lag(floor(value)) OVER w AS c1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    e AS (SELECT entity, seq, "full", c0::INTEGER + 2 * c1::INTEGER AS mask, CASE WHEN c1 THEN 2 WHEN c0 THEN 1 ELSE 0 END AS last_changed FROM d)"""
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _events(spark, sf_dir).selectExpr("user_id AS entity", "event_id AS seq", "event_type", "floor(value) AS v")
+    return snapshots.field_delta(states, ["event_type", "v"])
+
+
+@query("field_delta", f'WITH {_DIFF} SELECT entity, seq, "full", mask, last_changed FROM e')
+def _field_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark, sf_dir)
+
+
+@query(
+    "field_frequencies",
+    f"WITH {_DIFF} SELECT 'event_type' AS field, count(*) FILTER (mask & 1 <> 0) AS changes FROM e UNION ALL SELECT 'v', count(*) FILTER (mask & 2 <> 0) FROM e",
+)
+def _field_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.field_frequencies(_diff(spark, sf_dir), ["event_type", "v"])
+
+
+@query(
+    "snapshot_match",
+    """WITH a AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % 5 <> 0),
+    b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS n FROM customer WHERE c_custkey % 7 <> 0)
+    SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.k = b.k""",
+)
+def _snapshot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_nationkey AS n")
+    new = rows.where("k % 7 <> 0").withColumn("n", F.when(F.col("k") % 3 == 0, 0).otherwise(F.col("n")))
+    return snapshots.match_snapshots(rows.where("k % 5 <> 0"), new, "k", ["n"])
+
+
+@query(
+    "delta_base",
+    """SELECT user_id AS client, event_id AS seq, event_id - event_id % 40 AS acked,
+    CASE WHEN event_id - event_id % 40 > 0 AND event_id % 40 < 29 THEN 'delta' ELSE 'full' END AS kind FROM events""",
+)
+def _delta_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.delta_base(_events(spark, sf_dir).selectExpr("user_id AS client", "event_id AS seq", "event_id - event_id % 40 AS acked"))
+
+
+_PIECES = """p AS (SELECT doc_id AS id, CAST(unnest(generate_series(0, octet_length(encode(text)) // 1300)) AS INTEGER) AS piece, octet_length(encode(text)) AS total FROM documents),
+    f AS (SELECT id, piece, least(1300, total - piece * 1300) AS length FROM p)"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.fragments(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("length")))
+
+
+@query("fragments", f"WITH {_PIECES} SELECT id, piece, CAST(length AS BIGINT) AS length FROM f")
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+@query(
+    "reassembly",
+    f"""WITH {_PIECES}, k AS (SELECT * FROM f WHERE (id * 31 + piece * 17) % 23 <> 4)
+    SELECT id, CAST(sum(length) AS BIGINT) AS length FROM k GROUP BY id HAVING count(*) = max(piece) + 1 AND arg_max(length, piece) < 1300""",
+)
+def _reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.reassemble(_pieces(spark, sf_dir).where("(id * 31 + piece * 17) % 23 <> 4"))
+
+
+@query(
+    "unacked_ring",
+    """WITH a AS (SELECT user_id AS client, max(event_id) - user_id * 10 AS ack FROM events GROUP BY 1)
+    SELECT e.user_id AS client, count(*) AS n_open, min(event_id) AS first_open, max(event_id) AS last_open, count(*) >= 64 AS dropped
+    FROM events e JOIN a ON a.client = e.user_id WHERE e.event_id > a.ack GROUP BY 1""",
+)
+def _unacked_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = _events(spark, sf_dir).selectExpr("user_id AS client", "event_id AS seq")
+    clients = commands.groupBy("client").agg((F.max("seq") - F.col("client") * 10).alias("ack"))
+    return snapshots.unacknowledged(clients, commands)
+
+
+@query("redundancy_dedupe", "SELECT user_id AS client, event_id AS seq, event_id AS packet, 3::BIGINT AS times FROM events")
+def _redundancy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.redundant(_events(spark, sf_dir).selectExpr("user_id AS client", "event_id AS seq"))
+
+
+@query(
+    "choke_buckets",
+    "SELECT user_id AS client, CAST(floor((epoch_us(ts) // 1000) / 33.0) AS BIGINT) AS slot, count(*) AS n, max((epoch_us(ts) // 1000)) AS last_ms FROM events GROUP BY 1, 2",
+)
+def _choke_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.choke(_events(spark, sf_dir).selectExpr("user_id AS client", "unix_millis(cast(ts AS timestamp)) AS at_ms"), 30)
+
+
+@query(
+    "rate_shape",
+    """WITH RECURSIVE o AS (SELECT user_id AS client, event_id AS seq, (epoch_us(ts) // 1000) AS at_ms, 100 + event_id % 5000 AS bytes,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    s AS (
+      SELECT client, seq, i, at_ms AS leaves_ms, at_ms + greatest(bytes * 1000 // 2, 60000) AS free FROM o WHERE i = 1
+      UNION ALL
+      SELECT o.client, o.seq, o.i, greatest(o.at_ms, s.free), greatest(o.at_ms, s.free) + greatest(o.bytes * 1000 // 2, 60000)
+      FROM s JOIN o ON o.client = s.client AND o.i = s.i + 1
+    ) SELECT client, seq, leaves_ms FROM s""",
+)
+def _rate_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sends = _events(spark, sf_dir).selectExpr("user_id AS client", "event_id AS seq", "unix_millis(cast(ts AS timestamp)) AS at_ms", "100 + event_id % 5000 AS bytes")
+    return snapshots.rate_shape(sends, 2, 60_000)
+
+
+@query("matrix_fill", "SELECT i, array_to_string([i * 7 + j FOR j IN generate_series(0, 6)], ',') AS row FROM generate_series(0, 99) t(i)")
+def _matrix_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.matrix_fill(spark, 100, 7).selectExpr("i", "array_join(transform(row, x -> cast(x AS string)), ',') AS row")
+
+
+# ---------------------------------------------------------------- extensions
+
+
+def _relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr("user_id", "(event_id * 7919) % 150 AS to_user_id").distinct()
+
+
+_RELATION = "rel AS (SELECT DISTINCT user_id, (event_id * 7919) % 150 AS to_user_id FROM events)"
+
+
+@query(
+    "social_counts",
+    f"""WITH {_RELATION}, u AS (SELECT user_id AS id, 1 AS a, 0 AS b FROM rel UNION ALL SELECT to_user_id, 0, 1 FROM rel)
+    SELECT id, CAST(sum(a) AS BIGINT) AS follow_count, CAST(sum(b) AS BIGINT) AS follower_count FROM u GROUP BY id""",
+)
+def _social_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.follow_counts(_relation(spark, sf_dir))
+
+
+@query("social_mutual", f"WITH {_RELATION} SELECT x.user_id AS a, x.to_user_id AS b FROM rel x JOIN rel y ON x.user_id = y.to_user_id AND x.to_user_id = y.user_id WHERE x.user_id < x.to_user_id")
+def _social_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.mutual(_relation(spark, sf_dir))
+
+
+@query(
+    "tumbling_hours",
+    "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+)
+def _tumbling_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.tumbling(_events(spark, sf_dir), "1 hour", "event_type").withColumn("total", F.round("total", 4))
+
+
+@query(
+    "user_sessions",
+    """WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS new FROM events),
+    s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def _user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.sessions(_events(spark, sf_dir), "6 hours", "user_id")
+
+
+@query(
+    "as_of_value",
+    """WITH l AS (SELECT * FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, value AS v FROM events WHERE event_type = 'view')
+    SELECT l.event_id, r.v FROM l ASOF LEFT JOIN r ON r.user_id = l.user_id AND r.ts <= l.ts""",
+)
+def _as_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    right = events.where("event_type = 'view'").selectExpr("user_id", "ts", "value AS v")
+    return extensions.as_of(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), right, "user_id", "ts", "v").select("event_id", "v")
+
+
+@query(
+    "line_rollup",
+    """SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level, count(*) AS n, round(sum(l_quantity), 2) AS total
+    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
+)
+def _line_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.roll_up(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity").withColumn("total", F.round("total", 2))
