@@ -1,7 +1,5 @@
 """E8 lattice hashing: exact decoding, recall and precision against all pairs, edge rows."""
 
-import itertools
-
 import numpy as np
 import pytest
 
@@ -16,7 +14,7 @@ def brute(rows, limit=0.9):
     x /= np.linalg.norm(x, axis=1)[:, None]
     links = x @ x.T >= limit
     np.fill_diagonal(links, False)
-    label = L._forest(links)
+    label = L.spanning_roots(len(ids), *np.nonzero(links))
     return {i: (int(n), min(ids[k] for k in np.flatnonzero(label == c))) for i, n, c in zip(ids, links.sum(1), label, strict=True)}
 
 
@@ -34,6 +32,7 @@ def test_decoding_is_nearest():
 @pytest.mark.parametrize("piece", [8, 1024])
 def test_families(spark, monkeypatch, piece):
     monkeypatch.setattr(L, "PIECE", piece)
+    monkeypatch.setattr(L, "ROWS", piece * 3)
     rng = np.random.default_rng(4)
     rows = []
     for size in (1, 1, 2, 3, 40, 1, 5) + (1,) * 100:
@@ -42,8 +41,9 @@ def test_families(spark, monkeypatch, piece):
             v = base + rng.normal(size=64) * 0.2
             rows.append((3 * len(rows) + 2, (v * rng.uniform(0.1, 9)).astype(np.float32).tolist(), 0, ""))
     rows += [(1_000_000, rows[5][1], 1, ""), (1, rows[5][1], 1, "")]
-    out = {r.vec_id: (r.n_links, r.component_id) for r in L.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out == brute(rows)
+    short = [(2_000_000 + i, [1.0 + i / 100, 1.0, 0.5 * (i % 2)], 0, "") for i in range(30)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in L.near_duplicates(spark.createDataFrame(rows + short, SCHEMA)).collect()}
+    assert out == brute(rows) | brute(short)
 
 
 def test_recall_at_the_threshold():
@@ -80,8 +80,15 @@ def test_table(spark):
     assert all(out[i][0] <= n for i, (n, _) in expected.items())
 
 
-def test_forest():
-    m = np.zeros((5, 5), bool)
-    for i, j in itertools.pairwise((0, 3, 1)):
-        m[i, j] = m[j, i] = True
-    assert list(L._forest(m)) == [0, 0, 2, 0, 4]
+def test_spanning_roots():
+    assert list(L.spanning_roots(5, np.array([0, 3]), np.array([3, 1]))) == [0, 0, 2, 0, 4]
+
+
+def test_candidates_both_ways(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8)) + 1.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    group = np.repeat([0, 1, 2, 3], [1, 20, 4, 35])
+    one = sorted(zip(*L._candidates(x, group, 0.9), strict=True))
+    monkeypatch.setattr(L, "SMALL", 3)
+    assert one == sorted(zip(*L._candidates(x, group, 0.9), strict=True)) and len(one) > 10

@@ -24,10 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.columns import map_sorted_groups
 from tidewright.llm.shared import checkpoint, connected_components
 from tidewright.llm.text import U64, mix
 
@@ -37,6 +37,8 @@ STEP = 2.0
 MIN_COSINE = 0.9
 #: Members of a cell that are compared with each other at a time.
 PIECE = 1024
+#: Members up to which a group's pairs are compared one by one, and rows that are compared in one go.
+SMALL, ROWS = 48, 20_000
 
 
 @lru_cache(maxsize=1)
@@ -104,17 +106,40 @@ def cells(unit: np.ndarray, tables: int, blocks: int, probes: int, step: float)
     return out
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
-    """The least member that each member of a symmetric boolean matrix of links reaches."""
-    label = np.arange(len(links))
+def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the ``n`` places that each place reaches over the links (i, j)."""
+    label = np.arange(n)
     while True:
-        near = np.minimum(label, np.where(links, label[None, :], len(links)).min(1))
-        near = np.minimum(near, near[near])
+        near = label.copy()
+        np.minimum.at(near, i, label[j])
+        np.minimum.at(near, j, label[i])
+        near = near[near]
         if (near == label).all():
             return label
         label = near
 
 
+def _candidates(x: np.ndarray, group: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one group whose cosine reaches the limit. Groups lie together; large ones go by a matrix product."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(starts, append=len(group))
+    out = []
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for k in range(1, int(sizes[sizes <= SMALL].max(initial=0))):
+        i = small[small + k < len(group)]
+        i = i[group[i] == group[i + k]]
+        for part in np.split(i, range(20_000, len(i), 20_000)):
+            hit = np.einsum("ij,ij->i", x[part], x[part + k]) >= min_cosine
+            out.append((part[hit], part[hit] + k))
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        u = x[start : start + size]
+        i, j = np.nonzero(np.triu(u @ u.T >= min_cosine, 1))
+        out.append((i + start, j + start))
+    if not out:
+        return np.empty(0, int), np.empty(0, int)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", min_cosine: float = MIN_COSINE,
     tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, step: float = STEP,
@@ -127,13 +152,16 @@ def near_duplicates(
     classes = checkpoint(valid.groupBy("class").agg(F.first("v").alias("v"), F.count("*").alias("copies")))
 
     def unit(column: pa.Array) -> np.ndarray:
-        x = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+        """The vectors scaled to unit length, shorter ones filled up by zeros."""
+        size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        x = np.zeros((len(size), size.max(initial=0)))
+        x[np.arange(x.shape[1]) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
         x = x / np.abs(x).max(1)[:, None]
         return x / np.sqrt((x * x).sum(1))[:, None]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch["v"].to_pylist()])
+            lengths = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
                 name = cells(unit(part["v"]), tables, blocks, probes, step)
@@ -155,44 +183,64 @@ def near_duplicates(
     )
     members = places.join(classes, "class")
 
-    def compare(group: pa.Table) -> pa.RecordBatch | None:
-        own, piece, name = (np.array(group[k].to_pylist()) for k in ("own", "piece", "class"))
-        p, q, t, cell = (group[k][0].as_py() for k in ("p", "q", "t", "cell"))
-        if not own.any() or (p != q and len(np.unique(piece)) < 2):
-            return None
-        u = unit(group["v"].combine_chunks() if isinstance(group["v"], pa.ChunkedArray) else group["v"])
-        met = (u @ u.T >= min_cosine) & (own[:, None] | own[None, :])
-        if p != q:
-            met &= piece[:, None] != piece[None, :]
-        i, j = np.nonzero(np.triu(met, 1))
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        """Links of the groups in ``rows``: per member with any, its links' copies and the root of its spanning tree."""
+        name, cell, t, p, q, piece, copies = (rows[k].to_numpy() for k in ("class", "cell", "t", "p", "q", "piece", "copies"))
+        own = np.array(rows["own"].to_pylist(), bool)
+        new = (cell[1:] != cell[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        vectors = rows["v"].combine_chunks()
+        x = unit(vectors)
+        i, j = _candidates(x, np.concatenate([[0], np.cumsum(new)]), min_cosine)
+        fits = (own[i] | own[j]) & ((p[i] == q[i]) | (piece[i] != piece[j]))
+        i, j = i[fits], j[fits]
         if not len(i):
             return None
-        name_of = cells(u, tables, blocks, probes, step)
+        some, place = np.unique(name, return_index=True)
+        place = place[np.isin(some, name[np.concatenate([i, j])])]
+        some = name[place]
+        size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)[place]
+        known = np.empty((len(place), tables, 1 + probes), np.int64)
+        for d in np.unique(size):
+            known[size == d] = cells(x[place][size == d, :d], tables, blocks, probes, step)
         first = np.ones(len(i), bool)
         for k in range(0, len(i), 50_000):
-            a, b = name_of[i[k : k + 50_000]], name_of[j[k : k + 50_000]]
-            away = (a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)
-            earliest = away.argmax(1) == t
-            here = np.where((a[:, t, :1] == b[:, t]).any(1), a[:, t, 0], b[:, t, 0])
-            both = (a[:, t, :1] == b[:, t]).any(1) & (b[:, t, :1] == a[:, t]).any(1)
-            here = np.where(both, np.minimum(a[:, t, 0], b[:, t, 0]), here)
-            first[k : k + 50_000] = earliest & (here == cell)
+            part = slice(k, k + 50_000)
+            a, b = known[np.searchsorted(some, name[i[part]])], known[np.searchsorted(some, name[j[part]])]
+            b_visits, a_visits = (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
+            at = (b_visits | a_visits).argmax(1)
+            row = np.arange(len(at))
+            home, away = a[row, at, 0], b[row, at, 0]
+            met = np.where(b_visits[row, at], home, away)
+            met = np.where(b_visits[row, at] & a_visits[row, at], np.minimum(home, away), met)
+            first[part] = (at == t[i[part]]) & (met == cell[i[part]])
         i, j = i[first], j[first]
         if not len(i):
             return None
-        copies = group["copies"].to_numpy()
         n = np.bincount(i, copies[j], len(name)) + np.bincount(j, copies[i], len(name))
-        links = np.zeros(met.shape, bool)
-        links[i, j] = links[j, i] = True
-        root = name[_forest(links)]
-        some = n > 0
+        root = name[spanning_roots(len(name), i, j)]
+        linked = n > 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(name[some]), pa.array(root[some]), pa.array(n[some].astype(np.int64))], ["class", "root", "n"]
+            [pa.array(name[linked]), pa.array(root[linked]), pa.array(n[linked].astype(np.int64))], ["class", "root", "n"]
         )
 
-    found = checkpoint(
-        map_sorted_groups(members.select("cell", "p", "q", "t", "class", "own", "piece", "v", "copies"), ["cell", "p", "q"], compare, "class long, root long, n long")
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if sum(map(len, held)) >= ROWS:
+                key = [(batch[k][0].as_py()) for k in ("cell", "p", "q")]
+                rows = pa.Table.from_batches(held)
+                same = np.all([rows[k].to_numpy() == x for k, x in zip(("cell", "p", "q"), key, strict=True)], axis=0)
+                cut = len(rows) - int(same.sum())
+                if cut and (made := compare(rows.slice(0, cut))) is not None:
+                    yield made
+                held = rows.slice(cut).to_batches()
+            held.append(batch)
+        if held and (made := compare(pa.Table.from_batches(held))) is not None:
+            yield made
+
+    members = members.select("cell", "p", "q", "t", "class", "own", "piece", "v", "copies")
+    members = members.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
+    found = checkpoint(members.mapInArrow(run, "class long, root long, n long"))
     parts = connected_components(found.selectExpr("class AS a", "root AS b"))
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
     named = (
