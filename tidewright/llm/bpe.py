@@ -247,7 +247,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = tokenizer(path)
         return {"token_ids": pa.array([bpe.encode(t) for t in batch[text].to_pylist()], pa.list_(pa.int32()))}
 
-    return with_arrow_columns(docs, encode, "token_ids array<int>")
+    return with_arrow_columns(docs, encode, "token_ids array<int>", after=lambda: tokenizer(path).cache.clear())
 
 
 def bpe_digest(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -262,4 +262,5 @@ def bpe_digest(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             "decoded_sha256": pa.array(decoded, pa.string()),
         }
 
-    return with_arrow_columns(docs, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return with_arrow_columns(docs, digest, added, after=lambda: tokenizer(path).cache.clear())

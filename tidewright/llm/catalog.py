@@ -21,7 +21,7 @@ from tidewright.session import table
 
 REGISTRY = Registry()
 #: Rows of an Arrow batch: texts can be long, so batches are kept small.
-ARROW_ROWS = "500"
+ARROW_ROWS = "250"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

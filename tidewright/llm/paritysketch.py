@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.columns import map_sorted_groups
+from tidewright.llm.columns import map_sorted_groups, release_memory
 from tidewright.llm.shared import checkpoint, connected_components
 from tidewright.llm.text import SPACE, U64, mix, words
 
@@ -45,12 +45,12 @@ OVER, UNDER = 3, 4
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U64)
 _SHORT = U64(0x5851F42D4C957F2D)
 #: Block entries of a task that are held before they are written out by bucket.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BUCKET_ENTRIES = 250_000
 #: Documents whose shared shingles steer the blocks, and how many of them must share one.
 COMMON_SAMPLE, COMMON_IN = 3000, 4
 #: Members of a group that are compared with each other at a time.
-BLOCK = 1024
+BLOCK = 512
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -230,6 +230,8 @@ def _emit(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
                 )
         if held:
             yield from flush()
+        held.clear()
+        release_memory()
 
     return docs.mapInArrow(run, _MAP)
 
@@ -287,6 +289,7 @@ def _groups(rows: DataFrame) -> DataFrame:
                 parts.append((unit, entries))
         if parts and (found := _shared_blocks(parts)) is not None:
             yield found
+        release_memory()
 
     return rows.mapInArrow(run, _ROWS)
 

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+#: Bytes that are worked on at a time; the arrays over them take some fifty times as much.
+CHUNK_BYTES = 1 << 18
 
 _GENERATOR = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_HASH = _GENERATOR.integers(0, 2**64, 256, dtype=U64)
