@@ -11,8 +11,25 @@ from pyspark.sql import functions as F
 FINISHED = ("success", "failed")
 NOT_STARTED = ("skipped", "pending")
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-#: Error codes of the response envelope and their messages (fixed values).
-ERRORS = {0: "success", 400: "bad request", 401: "unauthorized", 403: "forbidden", 404: "not found", 500: "internal error"}
+#: Codes and messages of the response envelope (fixed values).
+ERRORS = {
+    0: "success",
+    10001: "service error",
+    10002: "request invalid",
+    10003: "token invalid",
+    10004: "password error",
+    10005: "user not exists",
+    10006: "yaml invalid",
+    10007: "pipeline not exists",
+    10008: "pipeline already exists",
+    10009: "pipeline starts fail",
+    10010: "schedule invalid",
+    10011: "get history fail",
+    10012: "get history detail fail",
+    10013: "webhook invalid",
+}
+#: Columns of the history report and their widths (fixed values).
+REPORT_FORMAT = "%-5d %-15d %-15s %-15s %-20s %-20s"
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -94,10 +111,18 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def envelope(rows: DataFrame, code: int = 0) -> DataFrame:
-    """Each row as a JSON response of code, message and data."""
-    return rows.select(F.to_json(F.struct(F.lit(code).alias("code"), F.lit(ERRORS[code]).alias("message"), F.struct(*rows.columns).alias("data"))).alias("response"))
+    """Each row as a JSON response of code, message and data; an error has no data."""
+    data = F.struct(*rows.columns).alias("data")
+    parts = [F.lit(code).alias("code"), F.lit(ERRORS[code]).alias("message"), *([data] if code == 0 else [])]
+    return rows.select(F.to_json(F.struct(*parts)).alias("response"))
 
 
 def report(rows: DataFrame) -> DataFrame:
     """History rows as lines of fixed width."""
-    return rows.select(F.format_string("%-8d %-8d %-8s %s", "id", "pipeline_id", "status", "start_time").alias("line"))
+    text = [F.coalesce(c, F.lit("")) for c in ("status", "trigger_type", "start_time", "end_time")]
+    return rows.select(F.format_string(REPORT_FORMAT, "id", "pipeline_id", *text).alias("line"))
+
+
+def brief(pipelines: DataFrame) -> DataFrame:
+    """Pipelines as listed: id, name, description and latest version."""
+    return pipelines.select("id", "name", "description", "latest_version")

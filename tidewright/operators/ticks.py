@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+#: Root of the stored streams' paths (fixed value).
+ROOT = "mdl/mbd/order/"
+
 
 def merged(ticks: DataFrame, keys: list[int] | None = None, date: str | None = None) -> DataFrame:
     """The chosen streams' rows in one order of (ts, skey, seq); no keys, no rows.
@@ -38,7 +41,7 @@ def counts(ticks: DataFrame) -> DataFrame:
 
 def object_key(date: Column, skey: Column) -> Column:
     """The path under which one day of one stream is stored."""
-    return F.concat(F.lit("mdl/mbd/order/"), F.date_format(date, "yyyyMMdd"), F.lit("/"), skey.cast("string"), F.lit(".parquet"))
+    return F.concat(F.lit(ROOT), F.date_format(date, "yyyyMMdd"), F.lit("/"), skey.cast("string"), F.lit(".parquet"))
 
 
 def key_of_path(path: Column) -> Column:
@@ -54,7 +57,7 @@ def listing(ticks: DataFrame, prefix: str = "") -> DataFrame:
 
 def discovery(ticks: DataFrame) -> DataFrame:
     """Per day: how many streams there are, by their object keys, and their ids' least and greatest."""
-    keys = listing(ticks).select(F.substring("key", 15, 8).alias("day"), key_of_path(F.col("key")).alias("skey"))
+    keys = listing(ticks).select(F.substring("key", len(ROOT) + 1, 8).alias("day"), key_of_path(F.col("key")).alias("skey"))
     return keys.groupBy("day").agg(F.count("*").alias("streams"), F.min("skey").alias("first_key"), F.max("skey").alias("last_key"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import scalar
 from tidewright.operators import codecs, dag, extensions, log, pipelines, sessions, snapshots, ticks, triggers
 from tidewright.registry import Registry
 from tidewright.session import table
@@ -473,10 +474,45 @@ def _keyed_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "history_report",
-    f"""WITH {_EXECUTIONS} SELECT printf('%-8d %-8d %-8s %s', id, pipeline_version_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S')) AS line FROM x""",
+    f"""WITH {_EXECUTIONS} SELECT printf('%-5d %-15d %-15s %-15s %-20s %-20s', id, pipeline_version_id, status,
+      CASE id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'cron' ELSE 'webhook' END, strftime(created_at, '%Y-%m-%d %H:%M:%S'),
+      CASE WHEN status = 'running' THEN '' ELSE strftime(updated_at, '%Y-%m-%d %H:%M:%S') END) AS line FROM x""",
 )
 def _history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.report(pipelines.times(_executions(spark, sf_dir)).withColumnRenamed("pipeline_version_id", "pipeline_id"))
+    rows = pipelines.times(_executions(spark, sf_dir)).withColumnRenamed("pipeline_version_id", "pipeline_id")
+    kind = F.when(F.col("id") % 3 == 0, "manual").when(F.col("id") % 3 == 1, "cron").otherwise("webhook")
+    return pipelines.report(rows.withColumn("trigger_type", kind))
+
+
+@query(
+    "response_envelope",
+    """SELECT '{"code":0,"message":"success","data":{"id":' || c_custkey || ',"name":"' || c_name || '","description":"' || c_mktsegment || '","latest_version":'
+      || c_nationkey || '}}' AS response FROM customer""",
+)
+def _response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS description", "c_nationkey AS latest_version")
+    return pipelines.envelope(pipelines.brief(rows))
+
+
+@query("stale_requests", "SELECT event_id, event_id % 700 - 100 BETWEEN 0 AND 300 AS fresh FROM events")
+def _stale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = _events(spark, sf_dir).selectExpr("event_id", "1700000100 - event_id % 700 AS sent_at", "props AS payload", "'' AS sig")
+    return triggers.verify(sent, F.lit(1_700_000_000), F.lit("key")).select("event_id", "fresh")
+
+
+@query(
+    "scalar_functions",
+    """SELECT event_id, lpad(CAST(event_id AS VARCHAR), 20, '0') AS key, event_id & 65535 AS low, xor(xor(event_id, 77), user_id) AS command,
+      (10 * 65536 + (event_id % 256) * 256 + user_id % 256) AS net, greatest(event_id, user_id) - least(event_id, user_id) AS distance FROM events""",
+)
+def _scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = _events(spark, sf_dir).withColumn("ip", F.expr("concat('10.', event_id % 256, '.', user_id % 256, '.9')"))
+    return rows.select(
+        "event_id", scalar.log_key(c("event_id")).alias("key"), c("event_id").bitwiseAND(65535).alias("low"),
+        scalar.command_key(c("event_id"), F.lit(77), c("user_id")).alias("command"),
+        scalar.in_subnet(scalar.address_number(c("ip"))).alias("net"), scalar.distance(c("event_id"), c("user_id")).alias("distance"),
+    )
 
 
 # ---------------------------------------------------------------- task graphs and triggers
