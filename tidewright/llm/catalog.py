@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import dialogue
+from tidewright.llm import dialogue, oracles
 from tidewright.llm.bpe import bpe_digest
 from tidewright.llm.chroma import align, fingerprint
 from tidewright.llm.html import extract
@@ -51,12 +51,12 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.withColumn("held_out", aside), model).drop("text")
 
 
-@REGISTRY.query("op6_parity_sketch_join")
+@REGISTRY.query("op6_parity_sketch_join", oracles.JACCARD)
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-@REGISTRY.query("op10_lattice_near_duplicates")
+@REGISTRY.query("op10_lattice_near_duplicates", oracles.COSINE)
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +67,7 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out["id"].alias("doc_id"), "size", "source_size", "target", "taken", "source", "repeats")
 
 
-@REGISTRY.query("op4_license_containment_join")
+@REGISTRY.query("op4_license_containment_join", oracles.LICENSES)
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "blocks")
 
