@@ -30,6 +30,13 @@ def test_audit_case(spark):
     assert out == [("in_order", *no), ("in_order", *no), ("gap", 3, 4), ("stale", *no), ("in_order", *no), ("stale", *no), ("gap", 7, 8)]
 
 
+@pytest.mark.parametrize("ranges", [2, 7, 64])
+def test_audit_in_ranges(spark, ranges):
+    rows = spark.range(900).where("id % 37 <> 5").selectExpr("concat('c', id % 2) AS channel", "id div 2 + 1 AS seq", "id + (id * 7919) % 11 AS arrival")
+    assert sorted(map(tuple, log.sequence_audit(rows, ranges).collect()), key=str) == sorted(map(tuple, log.sequence_audit(rows).collect()), key=str)
+    assert log.sequence_audit(rows.limit(0), ranges).count() == 0
+
+
 def test_loss_is_repaired(spark):
     whole = frame(spark, [("a", s) for s in range(1, 21)], "channel string, seq long")
     lossy = frame(spark, [("a", s, s) for s in range(1, 21) if s not in (11, 12, 13)], "channel string, seq long, arrival long")

@@ -5,6 +5,8 @@ Tasks are rows (dag, task, depends_on array).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,35 +38,54 @@ def problems(tasks: DataFrame) -> DataFrame:
     return duplicate.union(unknown).union(cyclic)
 
 
-def _kahn(frame: pd.DataFrame) -> pd.DataFrame:
+def _level(tasks: list[str], above: list[list[str] | None]) -> list[tuple[str, int]]:
     """Levels of one graph, by taking off the tasks without open parents round by round."""
-    parents = {t: set(d) if d is not None else set() for t, d in zip(frame["task"], frame["depends_on"], strict=True)}
+    parents = {t: set(a) if a is not None else set() for t, a in zip(tasks, above, strict=True)}
     children: dict[str, list[str]] = {}
-    for task, above in parents.items():
-        for parent in above:
+    for task, ups in parents.items():
+        for parent in ups:
             children.setdefault(parent, []).append(task)
     open_ = {t: len(a) for t, a in parents.items()}
-    out, now, level = [], sorted(t for t, n in open_.items() if not n), 0
+    out, now, level = [], [t for t, n in open_.items() if not n], 0
     while now:
-        out += [(frame["dag"].iloc[0], t, level) for t in now]
+        out += [(t, level) for t in now]
         after = []
         for task in now:
             for child in children.get(task, ()):
                 open_[child] -= 1
                 if not open_[child]:
                     after.append(child)
-        now, level = sorted(after), level + 1
-    return pd.DataFrame(out, columns=["dag", "task", "level"])
+        now, level = after, level + 1
+    return out
 
 
 def levels(tasks: DataFrame) -> DataFrame:
     """(dag, task, level): 0 for roots, else one more than the deepest parent. Tasks on or behind a cycle have none.
 
-    A graph is one document, so each is levelled whole by one task; graphs spread over tasks.
+    A graph is one document and is levelled whole; graphs are dealt out by id and run through in batches.
     """
     rows = tasks.select("dag", "task", "depends_on")
     kind = rows.schema["dag"].dataType.simpleString()
-    return rows.groupBy("dag").applyInPandas(_kahn, f"dag {kind}, task string, level int")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def close(frame: pd.DataFrame) -> pd.DataFrame:
+            dag, task, above = (frame[c].tolist() for c in ("dag", "task", "depends_on"))
+            cuts = [k for k in range(len(dag)) if not k or dag[k] != dag[k - 1]]
+            out = [(dag[a], t, n) for a, b in zip(cuts, [*cuts[1:], len(dag)], strict=True) for t, n in _level(task[a:b], above[a:b])]
+            return pd.DataFrame(out, columns=["dag", "task", "level"])
+
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = frame["dag"] == frame["dag"].iloc[-1]
+            if not last.all():
+                yield close(frame[~last])
+            held = frame[last]
+        if held is not None:
+            yield close(held)
+
+    return rows.repartition("dag").sortWithinPartitions("dag").mapInPandas(run, f"dag {kind}, task string, level int")
 
 
 def ready(tasks: DataFrame, status: DataFrame) -> DataFrame:

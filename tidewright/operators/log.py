@@ -45,14 +45,27 @@ def verdict(seq: Column, expected: Column) -> list[Column]:
     ]
 
 
-def sequence_audit(arrivals: DataFrame) -> DataFrame:
+def sequence_audit(arrivals: DataFrame, ranges: int = 1) -> DataFrame:
     """Judge every arrival (channel, seq, arrival) as in order, gap or stale.
 
     A channel expects one more than the largest sequence it has seen, and 1 at first. A gap carries the
     inclusive range to ask for again. Ties of ``arrival`` fall to ``seq``.
+
+    With ``ranges`` above 1 a channel is cut into that many ranges of arrival, each judged by a task of its own from the
+    largest sequence of the ranges before: for channels too large for one task.
     """
-    before = Window.partitionBy("channel").orderBy("arrival", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    expected = F.coalesce(F.max("seq").over(before), F.lit(0)) + 1
+    if ranges > 1:
+        cuts = arrivals.agg(F.approx_percentile("arrival", [k / ranges for k in range(1, ranges)])).first()[0] or []
+        part = sum([(F.col("arrival") > F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
+        arrivals = arrivals.withColumn("__range", part)
+        earlier = Window.partitionBy("channel").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        tops = arrivals.groupBy("channel", "__range").agg(F.max("seq").alias("top"))
+        tops = tops.select("channel", "__range", F.coalesce(F.max("top").over(earlier), F.lit(0)).alias("__seen"))
+        arrivals = arrivals.join(tops, ["channel", "__range"])
+    else:
+        arrivals = arrivals.withColumn("__range", F.lit(0)).withColumn("__seen", F.lit(0).cast("long"))
+    before = Window.partitionBy("channel", "__range").orderBy("arrival", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    expected = F.greatest(F.coalesce(F.max("seq").over(before), F.lit(0)), F.col("__seen")) + 1
     seen = arrivals.withColumn("expected", expected)
     return seen.select("channel", "arrival", "seq", "expected", *verdict(F.col("seq"), F.col("expected")))
 
