@@ -2,7 +2,8 @@
 
 The driver's tables stand for the library's: ``events`` for ticks, log rows and heartbeats (user: security, subscriber or
 client; event type: channel), ``orders`` for executions, ``lineitem`` for tasks, ``customer`` for pipelines, ``documents``
-for blobs and messages. Values come from the tables whole; nothing is sampled.
+for blobs and messages. Queries run over whole tables; where a query is about loss (audit, repair, catch-up, reassembly),
+lost rows are set by a rule on ids, as part of what the query simulates.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merged_ticks",
-    "SELECT user_id AS skey, ts, event_id + 1 AS seq, value AS price, event_type AS side FROM events "
-    "WHERE user_id IN (1, 2, 3, 4, 5) ORDER BY ts, skey, seq",
+    "SELECT user_id AS skey, ts, event_id + 1 AS seq, value AS price, event_type AS side FROM events ORDER BY ts, skey, seq",
 )
 def _merged_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.merged(_ticks(spark, sf_dir), [1, 2, 3, 4, 5])
+    return ticks.merged(_ticks(spark, sf_dir))
 
 
 @query(
@@ -381,11 +381,11 @@ def _history_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "history_join",
-    f"""WITH {_EXECUTIONS}, v AS (SELECT c_custkey AS id, c_nationkey AS pipeline_id FROM customer WHERE c_custkey % 4 <> 0)
+    f"""WITH {_EXECUTIONS}, v AS (SELECT c_custkey + 50 AS id, c_nationkey AS pipeline_id FROM customer)
     SELECT x.id, x.status, coalesce(v.pipeline_id, 0) AS pipeline_id FROM x LEFT JOIN v ON v.id = x.pipeline_version_id""",
 )
 def _history_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").selectExpr("c_custkey AS id", "c_nationkey AS pipeline_id")
+    versions = table(spark, sf_dir, "customer").selectExpr("c_custkey + 50 AS id", "c_nationkey AS pipeline_id")
     return pipelines.with_pipeline(_executions(spark, sf_dir), versions).select("id", "status", "pipeline_id")
 
 
@@ -544,11 +544,11 @@ def _dag_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dag_validate",
-    f"WITH {_CHAIN}, k AS (SELECT * FROM c WHERE NOT (dag % 11 = 0 AND level = 1)) "
-    "SELECT k.dag, 'unknown_parent' AS problem, 't2' AS task FROM k WHERE k.level = 2 AND k.dag % 11 = 0",
+    f"WITH {_CHAIN} SELECT dag, 'unknown_parent' AS problem, 't2' AS task FROM c WHERE level = 2 AND dag % 11 = 0",
 )
 def _dag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dag.problems(_chain(spark, sf_dir).where("NOT (dag % 11 = 0 AND seq = 2)"))
+    renamed = F.when((F.col("dag") % 11 == 0) & (F.col("seq") == 2), "x2").otherwise(F.col("task"))
+    return dag.problems(_chain(spark, sf_dir).withColumn("task", renamed))
 
 
 @query(
@@ -742,15 +742,13 @@ def _field_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snapshot_match",
-    """WITH a AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % 5 <> 0),
-    b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS n FROM customer WHERE c_custkey % 7 <> 0)
+    """WITH a AS (SELECT c_custkey AS k, c_nationkey // 5 AS n FROM customer), b AS (SELECT c_custkey + 20 AS k, c_nationkey // 5 AS n FROM customer)
     SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS change
     FROM a FULL JOIN b ON a.k = b.k""",
 )
 def _snapshot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_nationkey AS n")
-    new = rows.where("k % 7 <> 0").withColumn("n", F.when(F.col("k") % 3 == 0, 0).otherwise(F.col("n")))
-    return snapshots.match_snapshots(rows.where("k % 5 <> 0"), new, "k", ["n"])
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_nationkey div 5 AS n")
+    return snapshots.match_snapshots(rows, rows.withColumn("k", F.col("k") + 20), "k", ["n"])
 
 
 @query(
