@@ -25,7 +25,7 @@ from tidewright.llm.text import LOWER, SPACE, U64, Words, _BASE, _BASE_INVERSE,
 BUCKET_BITS = 16
 DIMENSIONS = 16
 #: Labelled rows, at most, that are learned from.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1500
 #: Steps of gradient descent, about: small samples are gone over more often.
 STEPS = 25_000
 RATE = 0.5
