@@ -1,4 +1,4 @@
-"""Reliable checkpoints and connected components."""
+"""Reliable checkpoints in the shared folder, and connected components."""
 
 from __future__ import annotations
 
@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """Use the folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary one; on a cluster executors would not share it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewright-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
