@@ -27,7 +27,8 @@ from tidewright.llm.columns import with_arrow_columns
 NO_PAIR = np.iinfo(np.int64).max
 #: Bytes from which a pretoken gets a tree of its own.
 LONG = 64
-CACHE = 200_000
+#: Pretokens of a cache generation; the cache has two.
+CACHE = 50_000
 #: Distinct pretokens merged at a time.
 BLOCK = 16_384
 #: The pretoken pattern of byte-level BPE (fixed value); white space by the Unicode property.
@@ -163,12 +164,33 @@ class ByteBPE:
         self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         found = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
+        self.text_of = [str(i) for i in range(max(self.bytes_of) + 1)]
+        pieces = [self.bytes_of.get(i, b"") for i in range(len(self.text_of))]
+        self.piece_size = np.array([len(x) for x in pieces])
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.split_special = regex.compile(f"({found})") if found else None
         self.pretokens = regex.compile(PATTERN).findall
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        #: Ids of known pretokens, joined by commas.
+        self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: Pretokens whose ids do not decode to their own bytes, if the file has any, and what they decode to.
+        self.changed: dict[str, bytes] = {}
+
+    def _keep(self, pretokens: list[str], raw: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
+        """Cache the ids of pretokens, ``counts`` of ``flat`` each, and decode them."""
+        names, at = list(map(self.text_of.__getitem__, flat.tolist())), 0
+        for p, n in zip(pretokens, counts.tolist(), strict=True):
+            self.cache[p] = ",".join(names[at : at + n])
+            at += n
+        size = self.piece_size[flat]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.piece_start[flat], size)
+        decoded = self.piece_bytes[place].tobytes()
+        if decoded != b"".join(raw):
+            ends = np.cumsum(size)[np.cumsum(counts) - 1].tolist()
+            for p, x, start, end in zip(pretokens, raw, [0, *ends[:-1]], ends, strict=True):
+                if decoded[start:end] != x:
+                    self.changed[p] = decoded[start:end]
 
     def pretokenize(self, text: str) -> list[str]:
         """Pretokens in order; a special token stands whole."""
@@ -180,54 +202,61 @@ class ByteBPE:
         return out
 
     def learn(self, pretokens: set[str]) -> None:
-        """Merge those pretokens that the cache lacks, the cache being emptied first when it has grown too large."""
-        new = [p for p in pretokens if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(pretokens)
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for p in new:
-            if p in self.special:
-                self.cache[p] = self._entry([self.special[p]])
-                continue
-            raw = p.encode()
-            if len(raw) > LONG:
-                self.cache[p] = self._entry(merge_long(self.byte_id[np.frombuffer(raw, np.uint8)].tolist(), self.merges))
-            else:
-                by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((p, raw))
-        for width, group in by_width.items():
-            for k in range(0, len(group), BLOCK):
-                self._learn_short(group[k : k + BLOCK], width)
-
-    def _learn_short(self, group: list[tuple[str, bytes]], width: int) -> None:
-        sizes = np.array([len(raw) for _, raw in group])
-        flat = np.frombuffer(b"".join(raw for _, raw in group), np.uint8)
-        ids = np.full((len(group), width), -1, np.int64)
-        ids[np.arange(width) < sizes[:, None]] = self.byte_id[flat]
+        """Merge those pretokens that the cache lacks.
+
+        A full cache becomes the older one, from which pretokens that come up again are taken back.
+        """
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        new = []
+        for p in pretokens:
+            if p not in self.cache:
+                known = self.older.get(p)
+                if known is None:
+                    new.append(p)
+                else:
+                    self.cache[p] = known
+        raw = [p.encode() for p in new]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        for k in np.flatnonzero((size > LONG) | np.array([p in self.special for p in new], bool)).tolist():
+            ids = [self.special[new[k]]] if new[k] in self.special else merge_long(self.byte_id[np.frombuffer(raw[k], np.uint8)].tolist(), self.merges)
+            self._keep([new[k]], [raw[k]], np.array(ids), np.array([len(ids)]))
+            size[k] = 0
+        width = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(size, 1))).astype(int))
+        for w in np.unique(width[size > 0]).tolist():
+            chosen = np.flatnonzero((width == w) & (size > 0))
+            for part in np.split(chosen, range(BLOCK, len(chosen), BLOCK)):
+                self._learn_short([new[k] for k in part.tolist()], [raw[k] for k in part.tolist()], size[part], w)
+
+    def _learn_short(self, pretokens: list[str], raw: list[bytes], size: np.ndarray, width: int) -> None:
+        ids = np.full((len(raw), width), -1, np.int64)
+        ids[np.arange(width) < size[:, None]] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         merged = merge_many(ids, self.merges)
-        for (p, _), row in zip(group, merged.tolist(), strict=True):
-            self.cache[p] = self._entry([x for x in row if x >= 0])
+        held = merged >= 0
+        self._keep(pretokens, raw, merged[held], held.sum(1))
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """Token count, hash of the ids and hash of the decoded text of each text."""
+        """Token count, hash of the ids and hash of the decoded text of each text.
+
+        Ids are decoded once for each distinct pretoken, when they are made.
+        """
         for k in range(0, len(texts), 256):
             split = [self.pretokenize(t) if t else [] for t in texts[k : k + 256]]
             self.learn({p for s in split for p in s})
             for s in split:
-                entries = list(map(self.cache.__getitem__, s))
-                ids = ",".join([e[1] for e in entries])
-                decoded = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
+                ids = ",".join(map(self.cache.__getitem__, s))
+                decoded = "".join(s).encode() if not self.changed else b"".join(self.changed.get(p) or p.encode() for p in s)
                 yield (
-                    sum([e[0] for e in entries]),
+                    ids.count(",") + 1 if s else 0,
                     hashlib.sha256(ids.encode()).hexdigest(),
-                    hashlib.sha256(decoded.encode()).hexdigest(),
+                    hashlib.sha256(decoded.decode("utf-8", "replace").encode() if self.changed else decoded).hexdigest(),
                 )
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text."""
         pretokens = self.pretokenize(text) if text else []
         self.learn(set(pretokens))
-        return [int(i) for p in pretokens if (s := self.cache[p][1]) for i in s.split(",")]
+        return [int(i) for p in pretokens for i in self.cache[p].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids, special tokens included."""
@@ -247,7 +276,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = tokenizer(path)
         return {"token_ids": pa.array([bpe.encode(t) for t in batch[text].to_pylist()], pa.list_(pa.int32()))}
 
-    return with_arrow_columns(docs, encode, "token_ids array<int>", after=lambda: tokenizer(path).cache.clear())
+    return with_arrow_columns(docs, encode, "token_ids array<int>")
 
 
 def bpe_digest(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -262,5 +291,4 @@ def bpe_digest(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             "decoded_sha256": pa.array(decoded, pa.string()),
         }
 
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return with_arrow_columns(docs, digest, added, after=lambda: tokenizer(path).cache.clear())
+    return with_arrow_columns(docs, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")

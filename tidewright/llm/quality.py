@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.columns import with_arrow_columns
-from tidewright.llm.text import LOWER, SPACE, U64, Words, _BASE, _BASE_INVERSE, _BYTE_HASH, _power, mix, row_chunks, spans, utf8
+from tidewright.llm.text import LOWER, SPACE, U64, Words, mix, row_chunks, running_hash, span_hashes, spans, utf8
 
 BUCKET_BITS = 16
 DIMENSIONS = 16
@@ -49,14 +49,12 @@ def features(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]
         words = Words(rows, padded, starts, ends, np.searchsorted(starts, bounds + 1))
         buckets, owners = [words.hashes() >> shift], [words.row_of_word()]
         owner = np.searchsorted(bounds, np.arange(len(padded)), "right") - 1
+        sums, blanks = running_hash(padded), np.concatenate([[0], np.cumsum(blank)])
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE_HASH[padded] * _power(_BASE, len(padded))[: len(padded)], dtype=U64)])
-            blanks = np.concatenate([[0], np.cumsum(blank)])
             for n in (3, 4):
                 i = np.arange(max(0, len(padded) - n + 1))
                 i = i[blanks[i + n - 1] == blanks[i + 1]]
-                value = (sums[i + n] - sums[i]) * _power(_BASE_INVERSE, len(padded))[i]
-                buckets.append(mix(value + U64(n)) >> shift)
+                buckets.append(mix(span_hashes(sums, i, i + n) + U64(n)) >> shift)
                 owners.append(owner[i])
         yield rows, np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 

@@ -49,6 +49,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of the bytes can be had."""
+    sums = np.zeros(len(data) + 1, U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE_HASH[data] * _power(_BASE, len(data))[: len(data)], out=sums[1:], dtype=U64)
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the spans, wherever in the bytes they stand; to be mixed before use."""
+    with np.errstate(over="ignore"):
+        return (sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(sums))[starts]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,12 +91,8 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
         with np.errstate(over="ignore"):
-            sums = np.empty(n + 1, U64)
-            sums[0] = 0
-            np.cumsum(_BYTE_HASH[self.data] * _power(_BASE, n)[:n], out=sums[1:], dtype=U64)
-            plain = (sums[self.ends] - sums[self.starts]) * _power(_BASE_INVERSE, n)[self.starts]
+            plain = span_hashes(running_hash(self.data), self.starts, self.ends)
             return mix(plain + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
     def row_of_word(self) -> np.ndarray:
