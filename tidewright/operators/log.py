@@ -143,3 +143,29 @@ def due_now(sends: DataFrame, spacing_us: int = 1000) -> DataFrame:
     """Whether each send (subscriber, at_us) keeps the least spacing from the one before."""
     before = F.lag("at_us").over(Window.partitionBy("subscriber").orderBy("at_us"))
     return sends.withColumn("due", F.coalesce(F.col("at_us") - before >= spacing_us, F.lit(True)))
+
+
+def well_formed(rows: DataFrame, size: int, value: str = "value") -> DataFrame:
+    """Rows whose binary value has the size of its record; others are left out, as a scan of the log does."""
+    return rows.where(F.octet_length(value) == size)
+
+
+def dispatch(messages: DataFrame, handlers: dict[str, str]) -> DataFrame:
+    """Name each message's handler by its type; messages of unknown type have none."""
+    pairs = F.create_map(*[F.lit(x) for pair in handlers.items() for x in pair])
+    return messages.withColumn("handler", F.element_at(pairs, F.col("msg_type")))
+
+
+def advance_targets(sessions: DataFrame, log: DataFrame) -> DataFrame:
+    """Each session's target moved to its channel's newest sequence, and whether it has rows to catch up on."""
+    newest = log.groupBy("channel").agg(F.max("seq").alias("newest"))
+    moved = sessions.join(newest, "channel", "left").withColumn("target", F.greatest("target", F.coalesce("newest", "target")))
+    return moved.drop("newest").withColumn("catching_up", F.col("next_send") <= F.col("target"))
+
+
+def throughput(rows: DataFrame) -> DataFrame:
+    """Messages, seconds from the first to the last, and messages a second, of each channel (channel, ts)."""
+    out = rows.groupBy("channel").agg(
+        F.count("*").alias("n"), ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("seconds")
+    )
+    return out.withColumn("per_second", F.col("n") / F.nullif(F.col("seconds"), F.lit(0.0)))

@@ -94,3 +94,12 @@ def session_of_packet(packets: DataFrame, sessions: DataFrame) -> DataFrame:
     """Each packet's subscriber by address and port; of several the first by name."""
     first = sessions.groupBy("ip", "port").agg(F.min("subscriber").alias("subscriber"))
     return packets.join(first, ["ip", "port"], "left")
+
+
+def fan_out(sends: DataFrame, grouped: DataFrame, multicast: bool) -> DataFrame:
+    """What is sent for each group's range (channel, group_id, from_seq, to_seq): one datagram to the group, or one to
+    each of its members (channel, group_id, subscriber)."""
+    if multicast:
+        return sends.select("channel", "group_id", F.col("group_id").alias("receiver"), "from_seq", "to_seq")
+    members = grouped.select("channel", "group_id", F.col("subscriber").alias("receiver"))
+    return members.join(sends, ["channel", "group_id"]).select("channel", "group_id", "receiver", "from_seq", "to_seq")

@@ -111,3 +111,9 @@ def matrix_fill(spark, rows: int, columns: int) -> DataFrame:
     """(i, row): a matrix whose cell (i, j) is ``i * columns + j``, row by row."""
     cells = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: (F.col("id") * columns + j).cast("int"))
     return spark.range(rows).select(F.col("id").alias("i"), cells.alias("row"))
+
+
+def resend_state(clients: DataFrame) -> DataFrame:
+    """Clients (client, ack, state_msg, active) that must get the whole state again: they acknowledge a message beyond
+    the one that carried it, and still are not active."""
+    return clients.withColumn("resend", (F.col("ack") > F.col("state_msg")) & ~F.col("active"))

@@ -352,6 +352,64 @@ def _packet_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_of_packet(packets, _members(spark, sf_dir).withColumn("port", F.lit(9000))).select("event_id", "subscriber")
 
 
+@query(
+    "group_fanout",
+    f"""WITH RECURSIVE {_GROUPS} SELECT g.channel, b.group_id, g.subscriber AS receiver, b.min_seq AS from_seq, least(b.max_seq, b.min_seq + 9) AS to_seq
+    FROM g JOIN b ON b.channel = g.channel AND b.group_id = 'progress_' || g.n WHERE b.all_active""",
+)
+def _group_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.fan_out(sessions.group_send(_bounds(spark, sf_dir)), sessions.progress_groups(_members(spark, sf_dir)), multicast=False)
+
+
+@query(
+    "advance_targets",
+    """WITH s AS (SELECT user_id AS subscriber, event_type AS channel, min(event_id) AS target, max(event_id) - user_id % 5 + 3 AS next_send FROM events GROUP BY 1, 2),
+    n AS (SELECT event_type AS channel, max(event_id) AS newest FROM events GROUP BY 1)
+    SELECT subscriber, s.channel, next_send, greatest(target, newest) AS target, next_send <= greatest(target, newest) AS catching_up FROM s JOIN n ON n.channel = s.channel""",
+)
+def _advance_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    known = events.groupBy(F.col("user_id").alias("subscriber"), F.col("event_type").alias("channel")).agg(
+        F.min("event_id").alias("target"), (F.max("event_id") - F.col("user_id") % 5 + 3).alias("next_send")
+    )
+    return log.advance_targets(known, _stored_log(spark, sf_dir)).select("subscriber", "channel", "next_send", "target", "catching_up")
+
+
+@query(
+    "channel_throughput",
+    """SELECT event_type AS channel, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds,
+    round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS per_second FROM events GROUP BY 1""",
+)
+def _channel_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = log.throughput(_events(spark, sf_dir).select(F.col("event_type").alias("channel"), "ts"))
+    return out.withColumn("per_second", F.round("per_second", 9))
+
+
+@query("well_formed", "SELECT event_id FROM events WHERE octet_length(encode(props)) = 20")
+def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.well_formed(_events(spark, sf_dir), 20, "props").select("event_id")
+
+
+@query(
+    "message_dispatch",
+    "SELECT event_id, CASE event_type WHEN 'click' THEN 'deliver' WHEN 'view' THEN 'retransmit' WHEN 'purchase' THEN 'subscribe' END AS handler FROM events",
+)
+def _message_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _events(spark, sf_dir).withColumnRenamed("event_type", "msg_type")
+    return log.dispatch(messages, {"click": "deliver", "view": "retransmit", "purchase": "subscribe"}).select("event_id", "handler")
+
+
+@query(
+    "state_resend",
+    """SELECT user_id AS client, max(event_id) > 9000 + user_id AND count(*) % 2 <> 0 AS resend FROM events GROUP BY user_id""",
+)
+def _state_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = _events(spark, sf_dir).groupBy(F.col("user_id").alias("client")).agg(
+        F.max("event_id").alias("ack"), (F.col("user_id") + 9000).alias("state_msg"), (F.count("*") % 2 == 0).alias("active")
+    )
+    return snapshots.resend_state(clients).select("client", "resend")
+
+
 # ---------------------------------------------------------------- pipelines and execution history
 
 _EXECUTIONS = """x AS (SELECT o_orderkey AS id, o_custkey AS pipeline_version_id, o_orderdate AS created_at, o_orderdate + INTERVAL 90 SECOND AS updated_at,
