@@ -760,7 +760,7 @@ def _codec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("codec_matrix")
 def _codec_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All codecs over three shapes of the part table: numbers as 64-bit series, flags as runs, names as text."""
+    """All codecs over two shapes of the part table: sizes as runs of bytes, names as text."""
     part = table(spark, sf_dir, "part").withColumn("key", (F.col("p_partkey") / 100).cast("long").cast("string"))
     grouped = part.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("p_name")), ";").alias("names"), F.array_join(F.transform(F.sort_array(F.collect_list("p_size")), lambda x: F.repeat(F.char(x + 32), 20)), "").alias("runs"))
     shapes = grouped.selectExpr("key", "explode(map('text', encode(names, 'UTF-8'), 'runs', encode(runs, 'UTF-8'))) AS (shape, value)")
