@@ -219,7 +219,7 @@ def test_varint(values):
 
 def test_known_values():
     assert B.crc32c(b"123456789") == 0xE3069283 and B.crc32c(b"") == 0
-    for n in (B.LONG - 1, B.LONG, B.LONG + 77, 100_003):
+    for n in (B.LONG - 1, B.LONG, B.LONG + 77, 100_003, 1_000_001):
         noise = np.random.default_rng(n).bytes(n)
         assert B.crc32c(noise) == B._crc_plain(noise)
     walk = np.cumsum(np.random.default_rng(42).integers(-100, 101, 1000)) + 1_000_000

@@ -30,8 +30,8 @@ def _crc_table() -> np.ndarray:
 
 _TABLE = _crc_table()
 _STEPS = _TABLE.tolist()
-#: Lanes that a long byte string is cut into, and the size from which it is.
-LANES, LONG = 256, 1 << 14
+#: Least and most lanes that a long byte string is cut into, and the size from which it is.
+LANES, MOST_LANES, LONG = 256, 4096, 1 << 14
 
 
 def _crc_plain(data: bytes) -> int:
@@ -70,15 +70,16 @@ def crc32c(data: bytes | None) -> int | None:
         return None
     if len(data) < LONG:
         return _crc_plain(data)
-    width = len(data) // LANES
-    lanes = np.frombuffer(data, np.uint8, LANES * width).reshape(LANES, width).T.astype(np.uint32)
-    crc = np.full(LANES, 0xFFFFFFFF, np.uint32)
+    n = max(LANES, min(MOST_LANES, len(data) >> 11))
+    width = len(data) // n
+    lanes = np.frombuffer(data, np.uint8, n * width).reshape(n, width).T.astype(np.uint32)
+    crc = np.full(n, 0xFFFFFFFF, np.uint32)
     for column in lanes:
         crc = crc >> np.uint32(8) ^ _TABLE[(crc ^ column) & np.uint32(0xFF)]
     total, move = 0, _append_zeros(width)
     for lane in (crc ^ np.uint32(0xFFFFFFFF)).tolist():
         total = _apply(move, total) ^ lane
-    tail = data[LANES * width :]
+    tail = data[n * width :]
     return _apply(_append_zeros(len(tail)), total) ^ _crc_plain(tail)
 
 
