@@ -24,10 +24,24 @@ REGISTRY = Registry()
 ARROW_ROWS = "250"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, read in small Arrow batches."""
+#: Bytes up to which a table is dealt over all cores before the work on it.
+SMALL_TABLE = 20 << 20
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, read in small Arrow batches.
+
+    A small table has fewer row groups than there are cores, so its rows are dealt out; larger ones are never moved.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return table(spark, sf_dir, "documents")
+    rows = table(spark, sf_dir, name)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table."""
+    return source(spark, sf_dir, "documents")
 
 
 @REGISTRY.query("op9_bpe_segment_tree")
@@ -79,8 +93,7 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op8_crf_main_text")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return extract(table(spark, sf_dir, "pages")).drop("html")
+    return extract(source(spark, sf_dir, "pages")).drop("html")
 
 
 @REGISTRY.query("op1_chroma_alignment")
