@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tidewright.llm.dialogue import ORACLE_SQL, rotate
+from tidewright.llm.dialogue import ORACLE_SQL, rotate, rotate_whole
 
 ROWS = [
     (1, 0, "system", "be kind", ""), (1, 1, "ann", "hi", ""), (1, 2, "bob", None, ""), (1, 3, "cy", "é😀", ""), (1, 3, "cy", "é😀", ""),
@@ -45,3 +45,21 @@ def test_table(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     assert sorted(repr(tuple(r)) for r in out) == oracle(con)
+
+
+def test_parts_join_into_the_whole(spark):
+    """Every participant gets every turn, and spans that hold in the joined parts; one part gives the same text."""
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    whole = {(r.conv_id, r.perspective): r for r in rotate(df.where("turn IS NOT NULL"), 1000).collect()}
+    parts = {}
+    for r in sorted(rotate_whole(df.where("turn IS NOT NULL"), 2).collect(), key=lambda r: r.part):
+        parts.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert set(parts) == set(whole) and [r.part for r in parts[1, "bob"]] == [0, 1, 300]
+    for key, rows in parts.items():
+        assert "".join(r.rendered for r in rows) == whole[key].rendered
+        assert ",".join(r.mask_spans for r in rows if r.mask_spans) == whole[key].mask_spans
+        assert [r.start for r in rows] == [sum(len(x.rendered) for x in rows[:i]) for i in range(len(rows))]
+        assert sum(r.n_own for r in rows) == whole[key].n_own and sum(r.n_trained for r in rows) == whole[key].n_trained
+    lost = [(r.part, r.perspective) for r in rotate_whole(df).where("conv_id IS NULL").collect()]
+    assert sorted(lost) == [(-1, "ann"), (0, "ann")]
+    assert rotate_whole(df.limit(0)).count() == 0

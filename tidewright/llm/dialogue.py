@@ -5,7 +5,9 @@ system turns stay system turns; the mask lists the character spans that the part
 texts and the end marks after them. Marks inside a text are left as they are: the mask goes by position.
 
 A conversation is rendered in parts of 512 turn numbers, so that a group stays bounded however long a conversation
-grows; a part in which a participant says nothing teaches them nothing and is not rendered for them.
+grows. ``rotate`` leaves out the parts in which a participant says nothing; ``rotate_whole`` renders every part for every
+participant of the conversation, with mask spans counted from the conversation's start, so that the ``rendered`` of a
+perspective, joined in order of part, are the whole dialogue.
 
 Turns go by turn number, then role, then text, nulls first. Repeated rows are one turn, dropped before the shuffle. A null
 role is a user named ``unknown`` and no participant, nor is an empty one; a null text is empty; rows with a null
@@ -14,7 +16,7 @@ conv_id are one conversation, and null turns one part (-1) of theirs. Extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 512
@@ -35,7 +37,26 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     message = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     grouped = turns.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_set(message)).alias("messages"))
     speakers = F.array_distinct(F.filter(F.transform("messages", lambda m: m["role"]), lambda r: r.isNotNull() & ~r.isin("", "system")))
-    each = grouped.withColumn("perspective", F.explode(speakers))
+    return _render(grouped.withColumn("perspective", F.explode(speakers)))
+
+
+def rotate_whole(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Every part of each conversation for each of its participants: the columns of ``rotate`` and ``start``, the
+    characters of the perspective before the part. ``mask_spans`` counts from the start of the conversation."""
+    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
+    message = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    grouped = turns.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_set(message)).alias("messages"))
+    speakers = turns.where("role NOT IN ('', 'system')").select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
+    each = _render(grouped.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv"))
+    before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("start", F.coalesce(F.sum(F.length("rendered").cast("long")).over(before), F.lit(0)).cast("long"))
+    ends = F.transform(F.split("mask_spans", "[,]"), lambda s: F.transform(F.split(s, "-"), lambda x: (x.cast("long") + F.col("start")).cast("string")))
+    moved = F.when(F.col("mask_spans") == "", "").otherwise(F.array_join(F.transform(ends, lambda x: F.array_join(x, "-")), ","))
+    return each.withColumn("mask_spans", moved)
+
+
+def _render(each: DataFrame) -> DataFrame:
+    """The rendering of each row's ``messages`` for its ``perspective``."""
     said = F.transform(
         "messages",
         lambda m: F.struct(
