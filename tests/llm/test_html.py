@@ -63,3 +63,16 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, TEXT string")
     assert [(r.text, r.n_chars) for r in H.extract(df).collect()] == [("", 0), ("One.", 4), ("One.", 4)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>", "Let x=2 hold."),
+        ("<article><p>See <object data=a>the plan</object> and <svg><text>a mark</text><path d=M0/></svg>.</p></article>", "See the plan and a mark."),
+        ("<article><p>One <template>two</template> three.</p></article>", "One two three."),
+        *((f"<article><p>Before <{x}>it.</p><p>After it.</p></article>", "Before it. After it.") for x in ("math", "svg", "object", "template", "noscript")),
+    ],
+)
+def test_only_raw_text_is_dropped(page, text):
+    assert H.main_text(page, FIELD) == text

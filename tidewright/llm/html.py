@@ -32,7 +32,8 @@ BLOCK = frozenset(
     "tbody td tfoot th thead title tr ul button label".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template svg iframe object math xmp noembed noframes title".split())
+#: Elements whose content HTML defines as raw text; noscript is one for readers that run scripts.
+RAW = frozenset("script style textarea noscript iframe xmp noembed noframes title".split())
 #: Elements that a start tag of the key ends, if they are the innermost of their kind.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -119,8 +120,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if name in RAW and not m["attrs"].endswith("/"):
             found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = found.end() if found else len(page)
-            continue
+            if found or name != "noscript":
+                at = found.end() if found else len(page)
+                continue
         if name == "br":
             pieces.append(" ")
         if name in BLOCK:
