@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -70,3 +71,17 @@ def test_prefixes_hold_the_rarest(counts):
     s = L.Scanner(counts)
     for i, (_, ranks, need) in enumerate(s.templates):
         assert all(i in s.starters[r] for r in ranks[: len(ranks) - need + 1])
+
+
+def test_wrapped_notices(spark):
+    """Every notice is found whole, however it is wrapped; half a notice at the end of a text is not."""
+    rows = []
+    for i, (_, t) in enumerate(L.TEMPLATES):
+        for width in (20, 40, 72):
+            rows.append((i, "Some words\nbefore the\n" + "\n # ".join(textwrap.wrap(t, width)) + "\nand after.\n", ""))
+    rows += [(100, " ".join(L.TEMPLATES[1][1].split()[:14]), ""), (101, None, "")]
+    for r in L.scan_licenses(spark.createDataFrame(rows, SCHEMA), across_lines=True).collect():
+        if r.doc_id < 100:
+            assert L.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
+        else:
+            assert (r.labels, r.score) == ("", 0.0)

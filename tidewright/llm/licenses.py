@@ -7,6 +7,8 @@ ceil(t |T|) words (length filter), and after its first shared word enough words
 filter). Only blocks that pass all three are counted out. The templates and phrases are few and fixed, so every
 task holds them and the texts are never moved.
 
+With ``across_lines``, so are the windows of as many words as a template has, whatever lines they cross.
+
 Besides, the places where a base phrase's words stand consecutively are listed; places may cross lines.
 
 Null and empty texts have no word and no place. Repeated rows give equal rows. Extra columns are kept; a column named
@@ -66,6 +68,7 @@ class Scanner:
         self.hashes = hashes[self.order]
         self.phrases = [([rank[w] for w in p], label) for p, label in self.phrases]
         self.templates = []
+        self.lengths = [len(split_words(t)) for _, t in templates]
         self.starters: dict[int, list[int]] = {}
         for label, s in sets:
             ranks = sorted(rank[w] for w in s)
@@ -121,6 +124,21 @@ class Scanner:
                     yield row, int(s - w.first[row]), int(e - s), label, both / len(wanted)
 
 
+    def windows(self, w: Words, ranks: np.ndarray) -> Iterator[tuple[int, int, int, str, float]]:
+        """The same of the best window of each template and row, the first on ties."""
+        row = w.row_of_word()
+        for (label, wanted, need), n in zip(self.templates, self.lengths, strict=True):
+            at = np.flatnonzero(np.isin(ranks, wanted))
+            end = np.minimum(np.searchsorted(at, at + n), np.searchsorted(row[at], row[at], "right"))
+            best: dict[int, tuple[int, int]] = {}
+            for i in np.flatnonzero(end - np.arange(len(at)) >= need).tolist():
+                both, r = len(np.unique(ranks[at[i : end[i]]])), int(row[at[i]])
+                if both >= need and both > best.get(r, (0, 0))[0]:
+                    best[r] = both, int(at[i])
+            for r, (both, i) in best.items():
+                yield r, int(i - w.first[r]), int(min(n, np.searchsorted(row, r, "right") - i)), label, both / len(wanted)
+
+
 def word_counts(docs: DataFrame, scanner: Scanner, text: str = "text") -> dict[str, int]:
     """How often the corpus holds each word of the templates and phrases: one small row a task."""
 
@@ -143,7 +161,7 @@ _ADDED = (
 _BLOCK = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
     """Add what the scan of each whole text finds.
 
     ``n_words``; ``n_base`` places of base phrases with the ``first_word`` and ``last_word`` they start at;
@@ -163,6 +181,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phra
                 places[base + row].append((at, label))
             for row, *block in scanner.blocks(w, ranks, hashes):
                 blocks[base + row].append(dict(zip(("first_word", "n_words", "label", "containment"), block, strict=True)))
+            for row, *block in scanner.windows(w, ranks) if across_lines else ():
+                blocks[base + row].append(dict(zip(("first_word", "n_words", "label", "containment"), block, strict=True)))
         own = [{label for _, label in p} for p in places]
         more = [{b["label"] for b in found} for found in blocks]
         return {
