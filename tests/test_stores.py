@@ -25,6 +25,25 @@ def test_event_log(spark, tmp_path):
     assert store.publish(rows.limit(0), "at") == 510
 
 
+def test_wide_messages_are_numbered_once(spark, tmp_path):
+    """Wide rows over many partitions, which adaptive execution joins differently where columns are pruned."""
+    store = EventLog(spark, str(tmp_path / "log"), "at long, body string")
+    rows = spark.range(0, 300_000, 1, 24).selectExpr("(id * 7919) % 300007 AS at", "rpad(cast(id AS string), 512, sha2(cast(id AS string), 256)) AS body")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+    try:
+        assert store.publish(rows, "at") == 300_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    held = store.rows()
+    n, distinct, low, high = held.agg(F.count("*"), F.countDistinct("seq"), F.min("seq"), F.max("seq")).first()
+    assert (n, distinct, low, high) == (300_000, 300_000, 1, 300_000) and held.where("seq IS NULL").count() == 0
+    at = held.selectExpr("at - lag(at) OVER (ORDER BY seq) AS d").agg(F.min("d")).first()[0]
+    assert at > 0 and [x.name for x in tmp_path.iterdir()] == ["log"]
+
+
 def test_pipeline_store(spark, tmp_path):
     store, now = PipelineStore(spark, str(tmp_path / "p")), datetime(2024, 6, 1)
     one = store.create("build", "x", "v0", now)

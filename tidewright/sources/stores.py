@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,16 @@ class EventLog:
 
     def rows(self) -> DataFrame:
         """The whole log; none before the first publish."""
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+        files, place = self._files(self.path)
+        if not files.exists(place):
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def _files(self, path: str) -> tuple:
+        """The file system of a path, and the path as it takes it."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
     def current(self) -> int:
         """The last sequence, 0 for an empty log."""
         return log.recover(self.rows()).first().current_seq
@@ -33,21 +39,30 @@ class EventLog:
     def publish(self, messages: DataFrame, *order: str) -> int:
         """Append messages in the given total order and return the last sequence.
 
-        Messages are sorted over partitions and numbered by partition offsets, so no task sees them all.
+        Messages are sorted over partitions, so no task sees them all, and written once beside the log with the partition
+        and place that the writing task saw. What was written is then counted and numbered, so the numbers do not depend
+        on a second run dealing rows as the first did. A log has one writer at a time.
         """
         last = self.current()
-        placed = messages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+        sorted_ = messages.repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = sorted_.withColumn("__p", F.spark_partition_id())
         placed = placed.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
-        counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-        offset, before = [], last
-        for p in sorted(counts):
-            offset += [F.lit(p), F.lit(before)]
-            before += counts[p]
-        if not offset:
-            return last
-        numbered = placed.withColumn("seq", F.create_map(*offset)[F.col("__p")] + F.col("__i") + 1)
-        out = numbered.withColumn("segment", F.floor(F.col("seq") / SEGMENT)).drop("__p", "__i")
-        out.write.mode("append").partitionBy("segment").parquet(self.path)
+        draft = f"{self.path.rstrip('/')}.draft-{uuid4().hex}"
+        try:
+            placed.write.parquet(draft)
+            placed = self.spark.read.schema(placed.schema).parquet(draft)
+            counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
+            offset, before = [], last
+            for p in sorted(counts):
+                offset.append((p, before))
+                before += counts[p]
+            if offset:
+                starts = F.broadcast(self.spark.createDataFrame(offset, "__p int, __before long"))
+                numbered = placed.join(starts, "__p").withColumn("seq", F.col("__before") + F.col("__i") + 1)
+                out = numbered.withColumn("segment", F.floor(F.col("seq") / SEGMENT)).drop("__p", "__i", "__before")
+                out.write.mode("append").partitionBy("segment").parquet(self.path)
+        finally:
+            self._files(draft)[0].delete(self._files(draft)[1], True)
         return before
 
     def read(self, start: int, end: int) -> DataFrame:
