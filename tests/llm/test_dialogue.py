@@ -1,8 +1,9 @@
-"""Perspective rotation: agreement with DuckDB, and edge rows."""
+"""Perspective rotation: agreement with DuckDB and with a plain rendering, edge rows, long and hot conversations."""
 
 import duckdb
 
-from tidewright.llm.dialogue import ORACLE_SQL, rotate, rotate_whole
+from tidewright.llm import dialogue
+from tidewright.llm.dialogue import ORACLE_SQL, rotate
 
 ROWS = [
     (1, 0, "system", "be kind", ""), (1, 1, "ann", "hi", ""), (1, 2, "bob", None, ""), (1, 3, "cy", "é😀", ""), (1, 3, "cy", "é😀", ""),
@@ -12,54 +13,80 @@ ROWS = [
 SCHEMA = "conv_id long, turn long, role string, text string, RENDERED string"
 
 
-def check(out):
-    for r in out:
-        spans = [tuple(map(int, s.split("-"))) for s in r.mask_spans.split(",")]
-        assert len(spans) == r.n_own and sum(e - b for b, e in spans) == r.n_trained
-        for b, e in spans:
-            assert r.rendered[:b].endswith("<|assistant|>\n") and r.rendered[b:e].endswith("<|end|>")
+def plain(rows):
+    """(conv_id, perspective) -> whole rendering and spans, message by message."""
+    talks, out = {}, {}
+    for c, turn, role, text, *_ in rows:
+        talks.setdefault(c, set()).add((turn is not None, turn or 0, role is not None, role or "", text or ""))
+    for c, said in talks.items():
+        for who in {r for _, _, known, r, _ in said if known and r not in ("", "system")}:
+            whole, spans = "", []
+            for _, _, known, role, text in sorted(said, key=lambda m: (*m[:3], m[3].encode(), m[4].encode())):
+                own = known and role == who
+                whole += "<|assistant|>\n" if own else "<|system|>\n" if known and role == "system" else f"<|user name={role if known else 'unknown'}|>\n"
+                spans += [f"{len(whole)}-{len(whole) + len(text) + 7}"] if own else []
+                whole += text + "<|end|>\n"
+            out[c, who] = whole, ",".join(spans)
+    return out
 
 
-def oracle(con):
-    return sorted(map(repr, con.sql(f"SELECT conv_id, part, perspective, n_turns, n_own, rendered, mask_spans, n_trained FROM ({ORACLE_SQL})").fetchall()))
+def joined(out):
+    """The parts of each perspective put together; spans and starts are checked on the way."""
+    parts = {}
+    for r in sorted(out, key=lambda r: r.part):
+        parts.setdefault((r.conv_id, r.perspective), []).append(r)
+    whole = {}
+    for key, rows in parts.items():
+        assert [r.part for r in rows] == list(range(len(rows)))
+        text = ""
+        for r in rows:
+            assert r.start == len(text)
+            text += r.rendered
+            spans = [tuple(map(int, s.split("-"))) for s in r.mask_spans.split(",") if s]
+            assert len(spans) == r.n_own and sum(e - b for b, e in spans) == r.n_trained
+            for b, e in spans:
+                assert text[:b].endswith("<|assistant|>\n") and text[b:e].endswith("<|end|>")
+        whole[key] = text, ",".join(r.mask_spans for r in rows if r.mask_spans)
+    return whole
+
+
+def oracle(con, part_rows=512):
+    sql = ORACLE_SQL.replace("// 512", f"// {part_rows}")
+    names = "conv_id, part, perspective, start, n_turns, n_own, rendered, mask_spans, n_trained"
+    return sorted(map(repr, con.sql(f"SELECT {names} FROM ({sql})").fetchall()))
 
 
 def test_edges(spark):
-    out = rotate(spark.createDataFrame(ROWS, SCHEMA)).collect()
-    check(out)
-    assert sorted((str(r.conv_id), r.part, r.perspective, r.n_turns) for r in out) == [
-        ("1", 0, "ann", 5), ("1", 0, "bob", 5), ("1", 0, "cy", 5), ("1", 1, "ann", 1), ("4", 0, "x", 1), ("None", -1, "ann", 1), ("None", 0, "ann", 1),
-    ]
+    df = spark.createDataFrame(ROWS, SCHEMA)
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR, extra VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?, ?)", ROWS)
-    assert sorted(repr(tuple(r)) for r in out) == oracle(con)
-    ann = next(r for r in out if r.conv_id == 1 and r.part == 0 and r.perspective == "ann")
-    assert ann.rendered.startswith("<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n")
-    assert rotate(spark.createDataFrame([], SCHEMA)).count() == 0
+    for part_rows in (1, 2, 512):
+        out = rotate(df, part_rows).collect()
+        assert joined(out) == plain(ROWS)
+        assert sorted(repr(tuple(r)) for r in out) == oracle(con, part_rows)
+    assert sorted((str(r.conv_id), r.part, r.perspective, r.n_turns) for r in out) == [
+        ("1", 0, "ann", 6), ("1", 0, "bob", 6), ("1", 0, "cy", 6), ("4", 0, "x", 1), ("None", 0, "ann", 2),
+    ]
+    assert rotate(df.limit(0)).count() == 0
 
 
 def test_table(spark, sf_dir):
-    out = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")).collect()
-    check(out)
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    assert sorted(repr(tuple(r)) for r in out) == oracle(con)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    out = rotate(turns).collect()
+    assert joined(out) == plain([tuple(r) for r in turns.select("conv_id", "turn", "role", "text").collect()])
 
 
-def test_parts_join_into_the_whole(spark):
-    """Every participant gets every turn, and spans that hold in the joined parts; one part gives the same text."""
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    whole = {(r.conv_id, r.perspective): r for r in rotate(df.where("turn IS NOT NULL"), 1000).collect()}
-    parts = {}
-    for r in sorted(rotate_whole(df.where("turn IS NOT NULL"), 2).collect(), key=lambda r: r.part):
-        parts.setdefault((r.conv_id, r.perspective), []).append(r)
-    assert set(parts) == set(whole) and [r.part for r in parts[1, "bob"]] == [0, 1, 300]
-    for key, rows in parts.items():
-        assert "".join(r.rendered for r in rows) == whole[key].rendered
-        assert ",".join(r.mask_spans for r in rows if r.mask_spans) == whole[key].mask_spans
-        assert [r.start for r in rows] == [sum(len(x.rendered) for x in rows[:i]) for i in range(len(rows))]
-        assert sum(r.n_own for r in rows) == whole[key].n_own and sum(r.n_trained for r in rows) == whole[key].n_trained
-    lost = [(r.part, r.perspective) for r in rotate_whole(df).where("conv_id IS NULL").collect()]
-    assert sorted(lost) == [(-1, "ann"), (0, "ann")]
-    assert rotate_whole(df.limit(0)).count() == 0
+def test_one_conversation_holds_most_rows(spark, monkeypatch):
+    """Its messages spread over many ranges and chunks; participants who speak once, at one end, get the whole."""
+    monkeypatch.setattr(dialogue, "CHUNK", 3)
+    rows = [(7, i // 3, ("early" if i == 0 else "late" if i == 2999 else f"p{i % 2}"), f"m{i}" * (i % 5), "") for i in range(3000)]
+    rows += [(c, t, f"q{t % 2}", f"{c}/{t}", "") for c in range(100, 140) for t in range(5)] + [(None, None, "z", str(i), "") for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        out = rotate(spark.createDataFrame(rows, SCHEMA).repartition(9), 100).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert joined(out) == plain(rows) and max(r.n_turns for r in out) == 100
+    assert sum(r.conv_id == 7 and r.perspective == "early" for r in out) == 30

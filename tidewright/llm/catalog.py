@@ -96,11 +96,6 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.rotate(table(spark, sf_dir, "conversations"))
 
 
-@REGISTRY.query("op5_whole_dialogue_rotation")
-def _op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.rotate_whole(table(spark, sf_dir, "conversations"))
-
-
 @REGISTRY.query("op8_crf_main_text")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(source(spark, sf_dir, "pages")).drop("html")
