@@ -44,6 +44,26 @@ def test_both_trees_agree():
         assert merge_long(OWN.byte_id[list(word.encode())].tolist(), OWN.merges) == OWN.encode(word) == known(word)
 
 
+def test_table(spark):
+    """Every text of the table: the number and hash of the ids, and the hash of what the library decodes them to."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for r in bpe_digest(docs, PATH).collect():
+        ids = known(r.text or "")
+        decoded = KNOWN.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_decoded_hash_is_of_the_ids():
+    """With a piece of the vocabulary changed, the hash follows the ids, not the text."""
+    bpe = ByteBPE(PATH)
+    (letter,) = known("a")
+    bpe.piece_bytes = bpe.piece_bytes.copy()
+    bpe.piece_bytes[bpe.piece_start[letter]] = ord("b")
+    ((n, _, decoded),) = bpe.digests(["a"])
+    assert n == 1 and decoded == hashlib.sha256(b"b").hexdigest()
+
+
 def test_frame(spark):
     rows = [(1, None, "x"), (2, "", "y"), (2, "a b", None), (2, "a b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, N_TOKENS string")

@@ -171,26 +171,19 @@ class ByteBPE:
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.split_special = regex.compile(f"({found})") if found else None
         self.pretokens = regex.compile(PATTERN).findall
-        #: Ids of known pretokens, joined by commas.
-        self.cache: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        #: Pretokens whose ids do not decode to their own bytes, if the file has any, and what they decode to.
-        self.changed: dict[str, bytes] = {}
-
-    def _keep(self, pretokens: list[str], raw: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
-        """Cache the ids of pretokens, ``counts`` of ``flat`` each, and decode them."""
-        names, at = list(map(self.text_of.__getitem__, flat.tolist())), 0
-        for p, n in zip(pretokens, counts.tolist(), strict=True):
-            self.cache[p] = ",".join(names[at : at + n])
-            at += n
-        size = self.piece_size[flat]
+        #: Ids of known pretokens, joined by commas, and the bytes that these ids decode to.
+        self.cache: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+
+    def _keep(self, pretokens: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        """Cache the ids of pretokens, ``counts`` of ``flat`` each, and what they decode to."""
+        names, size = list(map(self.text_of.__getitem__, flat.tolist())), self.piece_size[flat]
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.piece_start[flat], size)
-        decoded = self.piece_bytes[place].tobytes()
-        if decoded != b"".join(raw):
-            ends = np.cumsum(size)[np.cumsum(counts) - 1].tolist()
-            for p, x, start, end in zip(pretokens, raw, [0, *ends[:-1]], ends, strict=True):
-                if decoded[start:end] != x:
-                    self.changed[p] = decoded[start:end]
+        decoded, ends = self.piece_bytes[place].tobytes(), np.concatenate([[0], np.cumsum(size)])
+        last = np.cumsum(counts)
+        at = zip((last - counts).tolist(), last.tolist(), ends[last - counts].tolist(), ends[last].tolist(), strict=True)
+        for p, (i, j, start, end) in zip(pretokens, at, strict=True):
+            self.cache[p] = ",".join(names[i:j]), decoded[start:end]
 
     def pretokenize(self, text: str) -> list[str]:
         """Pretokens in order; a special token stands whole."""
@@ -220,7 +213,7 @@ class ByteBPE:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         for k in np.flatnonzero((size > LONG) | np.array([p in self.special for p in new], bool)).tolist():
             ids = [self.special[new[k]]] if new[k] in self.special else merge_long(self.byte_id[np.frombuffer(raw[k], np.uint8)].tolist(), self.merges)
-            self._keep([new[k]], [raw[k]], np.array(ids), np.array([len(ids)]))
+            self._keep([new[k]], np.array(ids), np.array([len(ids)]))
             size[k] = 0
         width = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(size, 1))).astype(int))
         for w in np.unique(width[size > 0]).tolist():
@@ -233,30 +226,32 @@ class ByteBPE:
         ids[np.arange(width) < size[:, None]] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         merged = merge_many(ids, self.merges)
         held = merged >= 0
-        self._keep(pretokens, raw, merged[held], held.sum(1))
+        self._keep(pretokens, merged[held], held.sum(1))
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Token count, hash of the ids and hash of the decoded text of each text.
 
-        Ids are decoded once for each distinct pretoken, when they are made.
+        The decoded text is that of the ids: their bytes, read as UTF-8. The bytes of a pretoken's ids are put together
+        once, when the ids are made.
         """
         for k in range(0, len(texts), 256):
             split = [self.pretokenize(t) if t else [] for t in texts[k : k + 256]]
             self.learn({p for s in split for p in s})
             for s in split:
-                ids = ",".join(map(self.cache.__getitem__, s))
-                decoded = "".join(s).encode() if not self.changed else b"".join(self.changed.get(p) or p.encode() for p in s)
+                made = list(map(self.cache.__getitem__, s))
+                ids = ",".join([i for i, _ in made])
+                decoded = b"".join([b for _, b in made]).decode("utf-8", "replace")
                 yield (
                     ids.count(",") + 1 if s else 0,
                     hashlib.sha256(ids.encode()).hexdigest(),
-                    hashlib.sha256(decoded.decode("utf-8", "replace").encode() if self.changed else decoded).hexdigest(),
+                    hashlib.sha256(decoded.encode()).hexdigest(),
                 )
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text."""
         pretokens = self.pretokenize(text) if text else []
         self.learn(set(pretokens))
-        return [int(i) for p in pretokens for i in self.cache[p].split(",")]
+        return [int(i) for p in pretokens for i in self.cache[p][0].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids, special tokens included."""
