@@ -19,10 +19,11 @@ def brute(text):
     w = to_words(text)
     places = sorted((i, label) for p, label in L.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
     own, labels, score = {x for _, x in places}, set(), 0.0
-    for line in (text or "").split("\n"):
-        for label, t in L.TEMPLATES:
-            t = set(to_words(t))
-            share = len(t & set(to_words(line))) / len(t)
+    lines = [to_words(line) for line in (text or "").split("\n")]
+    for label, t in L.TEMPLATES:
+        n, t = len(to_words(t)), set(to_words(t))
+        for block in [*lines, *(w[i : i + n] for i in range(len(w)))]:
+            share = len(t & set(block)) / len(t)
             if share >= L.THRESHOLD - 1e-12:
                 labels.add(label)
                 score = max(score, share)
@@ -80,7 +81,7 @@ def test_wrapped_notices(spark):
         for width in (20, 40, 72):
             rows.append((i, "Some words\nbefore the\n" + "\n # ".join(textwrap.wrap(t, width)) + "\nand after.\n", ""))
     rows += [(100, " ".join(L.TEMPLATES[1][1].split()[:14]), ""), (101, None, "")]
-    for r in L.scan_licenses(spark.createDataFrame(rows, SCHEMA), across_lines=True).collect():
+    for r in L.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect():
         if r.doc_id < 100:
             assert L.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
         else:

@@ -86,11 +86,6 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "blocks")
 
 
-@REGISTRY.query("op4_wrapped_notices")
-def _op4_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir).select("doc_id", "text"), across_lines=True).drop("text", "blocks")
-
-
 @REGISTRY.query("op5_perspective_rotation", dialogue.ORACLE_SQL)
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.rotate(table(spark, sf_dir, "conversations"))

@@ -1,13 +1,13 @@
 """License scans: an exact containment join of text blocks with notice templates (operator 4).
 
-A block is a line. A template and a block are sets of words; a block meets a template if it holds at least the
+A block is a line, or a window of as many words as the template has, whatever lines it crosses: a notice wrapped over
+lines, behind comment marks or not, is found as one on a line of its own. A template and a block are sets of words; a block meets a template if it holds at least the
 threshold share of the template's words. Words are ordered by their count in the whole corpus, rarest first. A block
 that meets a template must hold one of its first |T| - ceil(t |T|) + 1 words (prefix filter) and at least
 ceil(t |T|) words (length filter), and after its first shared word enough words must remain on both sides (positional
 filter). Only blocks that pass all three are counted out. The templates and phrases are few and fixed, so every
-task holds them and the texts are never moved.
-
-With ``across_lines``, so are the windows of as many words as a template has, whatever lines they cross.
+task holds them and the texts are never moved. A window starts at a word of its template, and is counted out where as
+many words of the template as it needs stand in it.
 
 Besides, the places where a base phrase's words stand consecutively are listed; places may cross lines.
 
@@ -127,16 +127,18 @@ class Scanner:
     def windows(self, w: Words, ranks: np.ndarray) -> Iterator[tuple[int, int, int, str, float]]:
         """The same of the best window of each template and row, the first on ties."""
         row = w.row_of_word()
+        ends = w.first[1:]
         for (label, wanted, need), n in zip(self.templates, self.lengths, strict=True):
             at = np.flatnonzero(np.isin(ranks, wanted))
-            end = np.minimum(np.searchsorted(at, at + n), np.searchsorted(row[at], row[at], "right"))
+            stop = np.minimum(at + n, ends[row[at]])
+            end = np.searchsorted(at, stop)
             best: dict[int, tuple[int, int]] = {}
             for i in np.flatnonzero(end - np.arange(len(at)) >= need).tolist():
                 both, r = len(np.unique(ranks[at[i : end[i]]])), int(row[at[i]])
                 if both >= need and both > best.get(r, (0, 0))[0]:
-                    best[r] = both, int(at[i])
+                    best[r] = both, i
             for r, (both, i) in best.items():
-                yield r, int(i - w.first[r]), int(min(n, np.searchsorted(row, r, "right") - i)), label, both / len(wanted)
+                yield r, int(at[i] - w.first[r]), int(stop[i] - at[i]), label, both / len(wanted)
 
 
 def word_counts(docs: DataFrame, scanner: Scanner, text: str = "text") -> dict[str, int]:
@@ -161,7 +163,7 @@ _ADDED = (
 _BLOCK = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Add what the scan of each whole text finds.
 
     ``n_words``; ``n_base`` places of base phrases with the ``first_word`` and ``last_word`` they start at;
@@ -179,9 +181,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phra
             count[w.rows] = w.counts
             for row, at, label in scanner.places(w, ranks):
                 places[base + row].append((at, label))
-            for row, *block in scanner.blocks(w, ranks, hashes):
-                blocks[base + row].append(dict(zip(("first_word", "n_words", "label", "containment"), block, strict=True)))
-            for row, *block in scanner.windows(w, ranks) if across_lines else ():
+            for row, *block in (*scanner.blocks(w, ranks, hashes), *scanner.windows(w, ranks)):
                 blocks[base + row].append(dict(zip(("first_word", "n_words", "label", "containment"), block, strict=True)))
         own = [{label for _, label in p} for p in places]
         more = [{b["label"] for b in found} for found in blocks]

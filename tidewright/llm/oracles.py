@@ -45,11 +45,11 @@ def _list(words: list[str]) -> str:
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _PHRASES = ", ".join(f"('{label}', {_list(split_words(p))})" for p, label in PHRASES.items())
-_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(split_words(t))))})" for label, t in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(split_words(t))))}, {len(split_words(t))})" for label, t in TEMPLATES)
 
 LICENSES = f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
-p(label, words) AS (VALUES {_PHRASES}), m(label, words) AS (VALUES {_TEMPLATES}),
+p(label, words) AS (VALUES {_PHRASES}), m(label, words, size) AS (VALUES {_TEMPLATES}),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(words) + 2), lambda i: w[i] = words[1] AND w[i:i + len(words) - 1] = words)) - 1 AS place
   FROM d, p
@@ -57,8 +57,12 @@ places AS (
   SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high FROM places GROUP BY 1
 ), lines AS (
   SELECT doc_id, list_distinct(regexp_extract_all(line, {_WORDS})) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), starts AS (
+  SELECT doc_id, label, words, size, d.w AS w, unnest(list_filter(range(1, len(d.w) + 1), lambda i: list_contains(words, d.w[i]))) AS i FROM d, m
+), tried AS (
+  SELECT doc_id, label, words, w FROM lines, m UNION ALL SELECT doc_id, label, words, w[i:i + size - 1] FROM starts
 ), met AS (
-  SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS share FROM lines, m
+  SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS share FROM tried
   WHERE len(list_intersect(words, w)) >= ceil({THRESHOLD} * len(words) - 1e-9)
 ), labels AS (
   SELECT doc_id, label, true AS own FROM places UNION ALL SELECT doc_id, label, false FROM met
