@@ -7,8 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import paritysketch as P
+from tidewright.llm import shared
 
 SCHEMA = "doc_id long, text string, N string"
 
@@ -61,6 +63,9 @@ def planted(seed=3):
 def test_brute_force(spark, monkeypatch, common_in):
     monkeypatch.setattr(P, "COMMON_IN", common_in)
     monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "PIECE", 20 if common_in == 2 else 4096)
+    monkeypatch.setattr(P, "TILE", 7)
+    monkeypatch.setattr(P, "COLUMNS", 50)
     rows = planted()
     out = P.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows) and len(out) == len(rows)
@@ -89,3 +94,44 @@ def test_hamming_is_a_lower_bound():
     parts = [set(s.tolist()) for s in np.split(sets, np.cumsum(sizes)[:-1])]
     assert all(far[i, j] <= len(a ^ b) for i, a in enumerate(parts) for j, b in enumerate(parts))
     assert (far == far.T).all() and (np.diag(far) == 0).all()
+
+
+def test_near_misses_write_no_pairs(spark, monkeypatch):
+    """A family of one body and own tails, all pairs at 0.74: none linked, and no row for any pair."""
+    monkeypatch.setattr(P, "BLOCK", 64)
+    body = [f"b{k}" for k in range(304)]
+    rows = [(i, " ".join(body + [f"t{i}x{k}" for k in range(53)]), None) for i in range(600)]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.73 < len(a & b) / len(a | b) < 0.75
+    made = {}
+    for name in ("near_members", "spanning_links"):
+
+        def counted(*args, f=getattr(P, name), name=name):
+            made[name] = P.checkpoint(f(*args))
+            return made[name]
+
+        monkeypatch.setattr(P, name, counted)
+    out = P.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert all(r.component_id == r.doc_id for r in out) and len(out) == 600
+    assert made["near_members"].select("class").distinct().count() == 600
+    assert made["near_members"].count() < 20 * 600 and made["spanning_links"].count() == 0
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(P, "TILE", 3)
+    monkeypatch.setattr(P, "COLUMNS", 4)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, n)).astype(np.uint64) for n in (1, 5, 9, 30, 1, 12, 60)]
+    both = np.concatenate([x for _, x in P.intersections(sets)])
+    assert (both + np.diag([10**6] * 7) >= 0).all()
+    assert all(both[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+@pytest.mark.parametrize("hot", [0, 5, 10**9])
+def test_attach(spark, monkeypatch, hot):
+    """Rows of hot and of other keys get the facts of their key once."""
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(i, 0 if i < 50 else i % 7) for i in range(100)], "id long, key long")
+    facts = rows.groupBy("key").count().withColumnRenamed("count", "copies").withColumn("what", F.col("key") * 10)
+    out = shared.attach(rows, facts, "key", 100).collect()
+    assert sorted((r.id, r.what) for r in out) == [(i, 0 if i < 50 else i % 7 * 10) for i in range(100)]

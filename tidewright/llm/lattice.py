@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import checkpoint, connected_components
+from tidewright.llm.shared import attach, checkpoint, connected_components, spanning_roots
 from tidewright.llm.text import U64, mix
 
 TABLES, BLOCKS, PROBES = 12, 2, 4
@@ -106,19 +106,6 @@ def cells(unit: np.ndarray, tables: int, blocks: int, probes: int, step: float)
     return out
 
 
-def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least of the ``n`` places that each place reaches over the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        near = label.copy()
-        np.minimum.at(near, i, label[j])
-        np.minimum.at(near, j, label[i])
-        near = near[near]
-        if (near == label).all():
-            return label
-        label = near
-
-
 def _candidates(x: np.ndarray, group: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j of one group whose cosine reaches the limit. Groups lie together; large ones go by a matrix product."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))

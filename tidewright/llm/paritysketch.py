@@ -13,12 +13,12 @@ Shingles that many documents share are left out of the blocks: leaving any fixed
 so no pair is lost and the set steers cost alone. A document left with fewer than D + 1 blocks also emits
 its first D + 1 shingles, the shared ones included; of two such documents one shares an emitted shingle.
 
-Documents that share a block are not paired out. A document's group is led by the first document of a block it is in,
-and a group's documents are compared in memory by sizes and by the Hamming distance of dense sketches, in pieces of
-bounded size; each yields its nearest partner within D. Those pairs are verified by intersecting the sets of 64-bit
-shingle hashes, then the nearest pairs of the components that result, twice. What then lies within D of another component
-of its group is verified in full, so no link between different texts is lost. Documents of equal sets are one class
-throughout.
+Documents that share a block are not paired out. A document's group is led by the first document of a block it is in.
+A group's documents are compared in memory, in pieces of bounded size, by sizes and by the Hamming distance of dense
+sketches; only those with a partner within D get their sets of 64-bit shingle hashes, and these are intersected in
+memory too: all pairs of a piece at once, by a product of the matrices of who holds which shingle. What leaves a piece
+is a spanning forest of its links, at most one row a document, whether its pairs are links or near misses. Documents of equal sets are one
+class throughout.
 
 Null texts and texts without a word have no shingle and link with nothing. Rows of one id are each kept, with the
 component of their own text. Rows without an id get no component, and join nothing. Extra columns are not carried.
@@ -26,17 +26,18 @@ component of their own text. Rows without an id get no component, and join nothi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.columns import map_sorted_groups, release_memory
-from tidewright.llm.shared import checkpoint, connected_components
+from tidewright.llm.shared import attach, checkpoint, connected_components, spanning_roots
 from tidewright.llm.text import SPACE, U64, mix, words
 
 WIDTH = 5
@@ -49,8 +50,11 @@ FLUSH = 1_000_000
 BUCKET_ENTRIES = 250_000
 #: Documents whose shared shingles steer the blocks, and how many of them must share one.
 COMMON_SAMPLE, COMMON_IN = 3000, 4
-#: Members of a group that are compared with each other at a time.
+#: Members of a group whose sketches are compared with each other at a time.
 BLOCK = 512
+#: Members, and bytes of sets, of a piece whose sets are compared; rows and shingles of a product of matrices.
+PIECE, PIECE_BYTES = 4096, 16 << 20
+TILE, COLUMNS = 1024, 2048
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -171,7 +175,7 @@ def hamming(sketches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_MAP = "bucket int, unit long, entries binary, id long, n long, class long, slot long, sketch binary"
+_MAP = "bucket int, unit long, entries binary, id long, its long, n long, class long, slot long, sketch binary"
 
 
 def _emit(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
@@ -181,7 +185,7 @@ def _emit(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("entries", pa.binary()), ("id", pa.int64()),
+        schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("entries", pa.binary()), ("id", pa.int64()), ("its", pa.int64()),
                             ("n", pa.int64()), ("class", pa.int64()), ("slot", pa.int64()), ("sketch", pa.binary())])
         unit = TaskContext.get().partitionId() << 20
         slots: dict[int, int] = {}
@@ -224,7 +228,7 @@ def _emit(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
                 sketches = dense_sketches(new_sizes, new_sets)
                 yield _batch(
                     schema, len(sizes), bucket=((classes & 0x7FFFFFFF) % buckets).astype(np.int32),
-                    id=pa.array(ids[rows], mask=~able),
+                    id=pa.array(ids[rows], mask=~able), its=batch["its"].slice(rows.start, len(sizes)),
                     n=sizes, **{"class": classes}, slot=pa.array(unit << 16 | slot, mask=~fresh),
                     sketch=[s if f else None for s, f in zip(sketches, fresh, strict=True)],
                 )
@@ -244,8 +248,8 @@ def _batch(schema: pa.Schema, length: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-_ROWS = "key long, first long, slot long, id long, n long, class long, sketch binary"
-_ROW_SCHEMA = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()),
+_ROWS = "key long, first long, slot long, id long, its long, n long, class long, sketch binary"
+_ROW_SCHEMA = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("its", pa.int64()),
                          ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary())])
 
 
@@ -279,7 +283,7 @@ def _groups(rows: DataFrame) -> DataFrame:
         for batch in batches:
             packed = batch["entries"].is_valid()
             plain = batch.filter(pc.invert(packed))
-            yield _batch(_ROW_SCHEMA, len(plain), **{k: plain[k] for k in ("id", "n", "class", "slot", "sketch")})
+            yield _batch(_ROW_SCHEMA, len(plain), **{k: plain[k] for k in ("id", "its", "n", "class", "slot", "sketch")})
             batch = batch.filter(packed)
             for bucket, unit, entries in zip(*(batch[k].to_pylist() for k in ("bucket", "unit", "entries")), strict=True):
                 if bucket != current:
@@ -322,73 +326,102 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b) of classes, by their whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = UNDER * both >= OVER * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
-
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_pairs(groups: DataFrame, leads: DataFrame, parts: DataFrame | None, nearest: bool) -> DataFrame:
-    """Pairs of a group and of different components that sizes and sketches do not rule out.
-
-    Of each class only the pair with its nearest such partner, where ``nearest`` is set. Without ``parts`` each class
-    is a component. Large groups are cut into pieces of about ``BLOCK`` members, and each pair of pieces is compared
-    on its own.
-    """
-    members = groups
-    if parts is None:
-        members = members.withColumn("component", F.col("class"))
-    else:
-        members = members.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    sizes = members.groupBy("head").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = members.join(sizes.where("lo <> hi").select("head", "size"), "head").join(leads, "class")
-    pieces = F.ceil(F.col("size") / BLOCK).cast("int")
+def _pieced(members: DataFrame, pieces: Column) -> DataFrame:
+    """Members of groups, once for each pair (p, q) of pieces of their group that theirs is one of."""
     members = members.withColumn("piece", F.pmod(F.xxhash64("class"), pieces).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    members = members.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other"))
+    return members.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).drop("other")
+
+
+def near_members(groups: DataFrame, leads: DataFrame) -> DataFrame:
+    """(head, class) of the members of groups that sizes and sketches do not rule out as a partner of some other."""
+    sizes = groups.groupBy("head").agg(F.count("*").alias("size")).where("size > 1")
+    members = groups.join(sizes, "head").join(leads, "class")
+    members = _pieced(members, F.ceil(F.col("size") / BLOCK).cast("int"))
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
-        n, piece, component, name = (group[k].to_numpy() for k in ("n", "piece", "component", "class"))
+        n, piece, name = (group[k].to_numpy() for k in ("n", "piece", "class"))
         if len(name) < 2:
             return None
         far = hamming([np.frombuffer(x, np.uint8) for x in group["sketch"].to_pylist()])
-        near = (far <= largest_difference(n[:, None], n[None, :])) & (component[:, None] != component[None, :])
+        near = far <= largest_difference(n[:, None], n[None, :])
         near &= np.maximum(n[:, None], n[None, :]) * OVER <= np.minimum(n[:, None], n[None, :]) * UNDER
         if group["p"][0].as_py() != group["q"][0].as_py():
             near &= piece[:, None] != piece[None, :]
-        if nearest:
-            i = np.flatnonzero(near.any(1))
-            j = np.where(near[i], far[i], far.max() + 1).argmin(1) if len(i) else i
         else:
-            i, j = np.nonzero(np.triu(near, 1))
-        i, j = name[i], name[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+            np.fill_diagonal(near, False)
+        some = name[near.any(1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), group["head"][0].as_py())), pa.array(some)], ["head", "class"])
 
-    members = members.select("head", "p", "q", "piece", "component", "class", "n", "sketch")
-    return map_sorted_groups(members, ["head", "p", "q"], compare, "a long, b long").distinct()
+    members = members.select("head", "p", "q", "piece", "class", "n", "sketch")
+    return map_sorted_groups(members, ["head", "p", "q"], compare, "head long, class long").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the component is its least id reachable by links."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def intersections(sets: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+    """How many shingles each set has in common with each, for ``TILE`` sets at a time; ``COLUMNS`` shingles a product.
+
+    Shingles of a single set are left out first.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    place, owner = (np.cumsum(count > 1) - 1)[place[shared]], owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    cuts = np.searchsorted(place, np.arange(0, int((count > 1).sum()) + COLUMNS, COLUMNS))
+    for start in range(0, len(sets), TILE):
+        rows = slice(start, min(start + TILE, len(sets)))
+        both = np.zeros((rows.stop - start, len(sets)), np.float32)
+        for s, e in itertools.pairwise(cuts.tolist()):
+            low = int(place[s])
+            held = np.zeros((len(sets), int(place[e - 1]) - low + 1), np.float32)
+            held[owner[s:e], place[s:e] - low] = 1
+            both += held[rows] @ held.T
+        yield rows, both.astype(np.int64)
+
+
+def spanning_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that join the members (head, class) of a group as all of its links do, from whole sets."""
+    members = members.join(sets, "class")
+    sizes = members.groupBy("head").agg(F.count("*").alias("size"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    members = members.join(sizes, "head")
+    members = _pieced(members, F.ceil(F.greatest(F.col("size") / PIECE, F.col("bytes") / PIECE_BYTES)).cast("int"))
+
+    def compare(group: pa.Table) -> pa.RecordBatch | None:
+        name, piece = group["class"].to_numpy(), group["piece"].to_numpy()
+        if len(name) < 2:
+            return None
+        held = [np.frombuffer(x, U64) for x in group["shingles"].to_pylist()]
+        n = np.array([len(x) for x in held], np.int64)
+        across = group["p"][0].as_py() != group["q"][0].as_py()
+        root = np.arange(len(name))
+        for rows, both in intersections(held):
+            linked = UNDER * both >= OVER * (n[rows, None] + n[None, :] - both)
+            if across:
+                linked &= piece[rows, None] != piece[None, :]
+            i, j = np.nonzero(linked)
+            root = spanning_roots(len(name), np.concatenate([i + rows.start, np.arange(len(name))]), np.concatenate([j, root]))
+        moved = np.flatnonzero(root != np.arange(len(name)))
+        return pa.RecordBatch.from_arrays([pa.array(name[moved]), pa.array(name[root[moved]])], ["a", "b"])
+
+    members = members.select("head", "p", "q", "piece", "class", "shingles")
+    return map_sorted_groups(members, ["head", "p", "q"], compare, "a long, b long")
+
+
+def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, its, n, class) and the facts of each class: (class, least id, copies, component_id).
+
+    ``its`` is a long by which callers tell rows, of ``mark`` where given. Classes are of rows with an id and a shingle.
+    """
+    its = F.lit(None) if mark is None else mark
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), its.cast("long").alias("its"))
     common = common_shingles(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(512, int(size / 12) // BUCKET_ENTRIES)
     emitted = _emit(docs, buckets, common)
     rows = checkpoint(_groups(emitted.repartition("bucket").sortWithinPartitions("bucket")))
     groups = rows.where("key IS NOT NULL").select("first", "slot").distinct()
-    rows = rows.where("key IS NULL").select("id", "n", "class", "slot", "sketch")
+    rows = rows.where("key IS NULL").select("id", "its", "n", "class", "slot", "sketch")
     leads = rows.where("slot IS NOT NULL")
     groups = checkpoint(
         groups.join(leads.select("slot", "class"), "slot")
@@ -396,22 +429,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
         .select("head", "class").distinct()
     )
     leads = leads.join(groups.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    pairs = checkpoint(near_pairs(groups, leads, None, nearest=True))
-    near = checkpoint(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    leads = checkpoint(leads.join(near, "class", "left_semi"))
-    groups = checkpoint(groups.join(near, "class", "left_semi"))
-    reps = rows.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id")).join(near, "class", "left_semi")
+    members = checkpoint(near_members(groups, leads))
+    facts = rows.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    facts = checkpoint(facts)
+    reps = facts.select("class", F.col("least").alias("id")).join(members.select("class").distinct(), "class", "left_semi")
     sets = checkpoint(_sets(docs, checkpoint(reps)))
-    links = checkpoint(verify(pairs, sets))
-    for _ in range(2):
-        parts = connected_components(links)
-        pairs = checkpoint(near_pairs(groups, leads, parts, nearest=True))
-        links = checkpoint(links.union(verify(pairs, sets)))
-    more = near_pairs(groups, leads, connected_components(links), nearest=False)
-    parts = connected_components(links.union(verify(more.join(pairs, ["a", "b"], "left_anti"), sets)))
-    named = rows.where("id IS NOT NULL AND n > 0").join(parts.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("component", F.coalesce("component", "class")).select("id", "n", "component")
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = named.join(least, "component").select("id", "n", "component_id")
+    parts = connected_components(spanning_links(members, sets)).withColumnRenamed("node", "class")
+    linked = checkpoint(parts.join(facts.select("class", "least"), "class"))
+    whole = checkpoint(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("copies")))
+    linked = attach(linked, whole, "component", linked.count()).select("class", "component_id")
+    facts = facts.join(linked, "class", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+    return rows.select("id", "its", "n", "class"), checkpoint(facts)
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the component is its least id reachable by links."""
+    rows, facts = jaccard_classes(docs, text, id_col)
+    named = attach(rows.where("id IS NOT NULL AND n > 0"), facts, "class", rows.count()).select("id", "n", "component_id")
     alone = rows.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

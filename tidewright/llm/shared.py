@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the ``n`` places that each place reaches over the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        near = label.copy()
+        np.minimum.at(near, i, label[j])
+        np.minimum.at(near, j, label[i])
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
 #: Edges, after doubles are dropped, up to which one task finds the components: some megabytes of memory.
 ONE_TASK_EDGES = 200_000
 
@@ -80,3 +94,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("u AS node", "v AS component").union(
         edges.selectExpr("v AS node", "v AS component").distinct()
     )
+
+
+#: Keys of many rows that are sent to all tasks, at most.
+HOT_KEYS = 50_000
+#: Rows from which a key may be hot.
+HOT_ROWS = 1000
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with the facts (``key``, ``copies`` and more), one for each key of ``total`` rows in all.
+
+    A key may hold a large share of the rows. Those of more than ``HOT_ROWS`` rows, and of more than one row in
+    ``HOT_KEYS``, are at most ``HOT_KEYS``: their facts go to all tasks and their rows stay where they are. Rows of other
+    keys, each a small part of the whole, are joined by a shuffle.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(facts.where(F.col("copies") > limit))
+    spread = rows.join(hot, key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("copies") <= limit), key)
+    return spread.unionByName(rest)
