@@ -46,17 +46,36 @@ def test_families(spark, monkeypatch, piece):
     assert out == brute(rows) | brute(short)
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(4000, 64))
+def pairs_at(cosine, n, rng):
+    x, z = rng.normal(size=(2, n, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    z = rng.normal(size=x.shape)
     z -= (z * x).sum(1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
-    y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    a, b = (L.cells(v, L.TABLES, L.BLOCKS, L.PROBES, L.STEP) for v in (x, y))
-    met = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
-    assert met.mean() > 0.97
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def meet(a, b):
+    return (a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)
+
+
+@pytest.mark.parametrize("most", [m for m, *_ in L.SETTINGS])
+def test_recall_at_the_threshold(most):
+    """At every setting, two vectors of cosine 0.9 meet in some table."""
+    blocks, step, tables = L.setting(most or 10**9)
+    x, y = pairs_at(0.9, 1500, np.random.default_rng(5))
+    a, b = (L.cells(v, tables, blocks, L.PROBES, step) for v in (x, y))
+    assert meet(a, b).any(1).mean() > 0.97
+
+
+@pytest.mark.parametrize("n", [2000, 20_000, 80_000])
+def test_comparisons_do_not_grow(n):
+    """Unrelated vectors that a vector is compared with, from the chance that two of them meet."""
+    blocks, step, tables = L.setting(n)
+    x = np.random.default_rng(6).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a = L.cells(x, tables, blocks, L.PROBES, step)
+    rate = np.mean([meet(a, np.roll(a, k, 0)).any(1).mean() for k in range(1, 120)])
+    assert rate * n < 45
 
 
 def test_edges(spark):
@@ -69,15 +88,20 @@ def test_edges(spark):
     assert L.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_table(spark):
-    d = "/root/testdata/check_h/embeddings.parquet"
-    table = spark.read.parquet(d).where("vec_id < 3000")
-    rows = [(r.vec_id, r.embedding) for r in table.collect()]
-    out = {r.vec_id: (r.n_links, r.component_id) for r in L.near_duplicates(table).collect()}
-    expected = brute(rows)
-    assert sum(n for n, _ in expected.values()) > 1000
-    assert sum(out[i] == x for i, x in expected.items()) >= 0.99 * len(expected)
-    assert all(out[i][0] <= n for i, (n, _) in expected.items())
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_table(spark, n):
+    """Families about the threshold among unrelated vectors: every row against all pairs, at two settings."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    family = rng.integers(0, n // 20, n // 2)
+    x[: n // 2] = rng.normal(size=(n // 20, 64))[family] + x[: n // 2] * rng.uniform(0.1, 0.4, (n // 2, 1))
+    rows = [(i, v.astype(np.float32).tolist(), 0, "") for i, v in enumerate(x)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in L.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    expected = brute([(i, np.float32(v).astype(float)) for i, v in enumerate(x)])
+    links = sum(k for k, _ in expected.values())
+    assert links > 1000 and sum(k for k, _ in out.values()) >= 0.985 * links
+    assert sum(out[i] == e for i, e in expected.items()) >= 0.95 * n
+    assert all(out[i][0] <= k for i, (k, _) in expected.items())
 
 
 def test_spanning_roots():

@@ -13,7 +13,8 @@ Vectors that are null, zero, empty or hold null or non-finite components link wi
 lengths do not link. Repeated ids are kept, each row with the links of its own vector. Rows without an id take part
 in the links of others but get no component. Extra columns are not carried.
 
-With the defaults two vectors of cosine 0.9 meet with probability above 0.98, closer ones more often.
+The more vectors there are, the finer the cells and the more the tables (``SETTINGS``), so that a vector is compared with
+a bounded number of unrelated ones, and two of cosine 0.9 still meet with probability 0.98, closer ones more often.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ from pyspark.sql import functions as F
 from tidewright.llm.shared import attach, checkpoint, connected_components, spanning_roots
 from tidewright.llm.text import U64, mix
 
-TABLES, BLOCKS, PROBES = 12, 2, 4
-#: Size of a lattice step in the mapped space, where each coordinate of a unit vector is standard normal.
-STEP = 2.0
+#: Neighbouring cells that a vector visits.
+PROBES = 4
+#: (distinct vectors up to which it holds, E8 blocks, lattice step, tables). The step is measured in the mapped space, where
+#: each coordinate of a unit vector is standard normal. Measured chance that two vectors meet in one table, at cosine 0.9
+#: and at random: 0.32 and 2.3e-4; 0.20 and 2.4e-5; 0.088 and 1.6e-6; 0.044 and some 1.6e-7; 0.032 and less.
+SETTINGS = (
+    (2_500, 2, 2.0, 12), (100_000, 2, 1.7, 19), (800_000, 2, 1.4, 44), (5_000_000, 3, 1.7, 90), (None, 4, 2.0, 122),
+)
 MIN_COSINE = 0.9
 #: Members of a cell that are compared with each other at a time.
 PIECE = 1024
@@ -70,13 +76,25 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - whole) ** 2).sum(1) <= ((x - half) ** 2).sum(1))[:, None], whole, half)
 
 
-def _names(points: np.ndarray, table: int, size: int) -> np.ndarray:
-    """Hashes of rows of lattice points, told apart by table and vector length."""
+def setting(vectors: int) -> tuple[int, float, int]:
+    """Blocks, step and tables for a number of distinct vectors."""
+    return next((blocks, step, tables) for most, blocks, step, tables in SETTINGS if most is None or vectors <= most)
+
+
+def _block_names(points: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of rows of lattice points of one block."""
     with np.errstate(over="ignore"):
-        out = np.full(len(points), table * 0x9E3779B9 + size * 0x85EBCA6B + 1, U64)
+        out = np.full(len(points), seed * 0x9E3779B9 + 1, U64)
         for column in np.rint(2 * points).astype(np.int64).view(U64).T:
             out = mix(out * U64(0xC2B2AE3D27D4EB4F) + column)
-    return out.view(np.int64)
+    return out
+
+
+def _cell(parts: list[np.ndarray], table: int, size: int) -> np.ndarray:
+    """Names of cells from those of their blocks: 55 bits of hash, 8 of the table, and a last bit left 0."""
+    with np.errstate(over="ignore"):
+        out = mix(sum(parts[1:], parts[0]) + U64(size * 0x85EBCA6B))
+    return ((out >> U64(9) << U64(9)) | U64(table << 1)).view(np.int64)
 
 
 @lru_cache(maxsize=64)
@@ -85,24 +103,27 @@ def _maps(size: int, blocks: int, tables: int) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, tables: int, blocks: int, probes: int, step: float) -> np.ndarray:
-    """(vectors, tables, 1 + probes): each vector's own cell and those it visits, nearest first."""
+    """(vectors, tables, 1 + probes): each vector's own cell and those it visits."""
     n, size = unit.shape
     out = np.empty((n, tables, 1 + probes), np.int64)
     short = shortest_vectors()
+    row = np.arange(n)[:, None]
     for t, projection in enumerate(_maps(size, blocks, tables)):
         x = unit @ projection / step
         parts = [decode(x[:, 8 * b : 8 * b + 8]) for b in range(blocks)]
-        point = np.concatenate(parts, 1)
-        out[:, t, 0] = _names(point, t, size)
+        names = [_block_names(p, b) for b, p in enumerate(parts)]
+        out[:, t, 0] = _cell(names, t, size)
         gain = np.concatenate([(x[:, 8 * b : 8 * b + 8] - parts[b]) @ short.T for b in range(blocks)], 1)
-        best = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+        best = np.argpartition(-gain, probes - 1, axis=1)[:, :probes]
+        best = np.take_along_axis(best, np.lexsort((best, -gain[row, best]), axis=1), 1)
         for k in range(probes):
-            moved = point.copy()
             block, which = best[:, k] // len(short), best[:, k] % len(short)
+            moved = list(names)
             for b in range(blocks):
-                at = block == b
-                moved[at, 8 * b : 8 * b + 8] += short[which[at]]
-            out[:, t, 1 + k] = _names(moved, t, size)
+                at = np.flatnonzero(block == b)
+                moved[b] = names[b].copy()
+                moved[b][at] = _block_names(parts[b][at] + short[which[at]], b)
+            out[:, t, 1 + k] = _cell(moved, t, size)
     return out
 
 
@@ -129,14 +150,21 @@ def _candidates(x: np.ndarray, group: np.ndarray, min_cosine: float) -> tuple[np
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", min_cosine: float = MIN_COSINE,
-    tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, step: float = STEP,
+    probes: int = PROBES, blocks: int | None = None, step: float | None = None, tables: int | None = None,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row. More ``blocks`` make cells fewer share, for larger tables."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumn("class", F.xxhash64("v"))
+    """(vec_id, n_links, component_id, kept) of every row. Blocks, step and tables go by the counted vectors unless given."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    held = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), held.alias("v"))
+    rows = rows.withColumn("class", F.xxhash64(F.col("v").cast("array<double>")))
     ok = F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = rows.where(F.coalesce(ok, F.lit(False)))
-    classes = checkpoint(valid.groupBy("class").agg(F.first("v").alias("v"), F.count("*").alias("copies")))
+    named = valid.groupBy("class").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("least"))
+    classes = checkpoint(named)
+    its = setting(classes.count())
+    blocks, step, tables = (x or y for x, y in zip((blocks, step, tables), its, strict=True))
+    if tables > 256:
+        raise ValueError("at most 256 tables")
 
     def unit(column: pa.Array) -> np.ndarray:
         """The vectors scaled to unit length, shorter ones filled up by zeros."""
@@ -152,27 +180,25 @@ def near_duplicates(
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
                 name = cells(unit(part["v"]), tables, blocks, probes, step)
-                own = np.zeros(name.shape, bool)
-                own[:, :, 0] = True
+                # The last bit of a name tells the vector's own cell.
+                name[:, :, 0] |= 1
                 owner = np.repeat(part["class"].to_numpy(), tables * (1 + probes))
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.ravel()), pa.array(table), pa.array(owner), pa.array(own.ravel())], ["cell", "t", "class", "own"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(name.ravel()), pa.array(owner)], ["name", "class"])
 
-    dealt = checkpoint(classes.select("class", "v").mapInArrow(deal, "cell long, t int, class long, own boolean"))
+    dealt = checkpoint(classes.select("class", "v").mapInArrow(deal, "name long, class long"))
+    dealt = dealt.select(F.shiftright("name", 1).alias("cell"), (F.col("name") % 2 != 0).alias("own"), "class")
     met = dealt.groupBy("cell").agg(F.count("*").alias("size"), F.max("own").alias("lived")).where("size > 1 AND lived")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     places = (
         dealt.join(met.select("cell", "size"), "cell").withColumn("piece", F.pmod(F.xxhash64("class"), pieces).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .select("cell", "t", "class", "own", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"))
+        .select("cell", "class", "own", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"))
     )
     members = places.join(classes, "class")
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         """Links of the groups in ``rows``: per member with any, its links' copies and the root of its spanning tree."""
-        name, cell, t, p, q, piece, copies = (rows[k].to_numpy() for k in ("class", "cell", "t", "p", "q", "piece", "copies"))
+        name, cell, p, q, piece, copies = (rows[k].to_numpy() for k in ("class", "cell", "p", "q", "piece", "copies"))
         own = np.array(rows["own"].to_pylist(), bool)
         new = (cell[1:] != cell[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
         vectors = rows["v"].combine_chunks()
@@ -199,7 +225,7 @@ def near_duplicates(
             home, away = a[row, at, 0], b[row, at, 0]
             met = np.where(b_visits[row, at], home, away)
             met = np.where(b_visits[row, at] & a_visits[row, at], np.minimum(home, away), met)
-            first[part] = (at == t[i[part]]) & (met == cell[i[part]])
+            first[part] = met >> 1 == cell[i[part]]
         i, j = i[first], j[first]
         if not len(i):
             return None
@@ -225,18 +251,19 @@ def near_duplicates(
         if held and (made := compare(pa.Table.from_batches(held))) is not None:
             yield made
 
-    members = members.select("cell", "p", "q", "t", "class", "own", "piece", "v", "copies")
+    members = members.select("cell", "p", "q", "class", "own", "piece", "v", "copies")
     members = members.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
     found = checkpoint(members.mapInArrow(run, "class long, root long, n long"))
-    parts = connected_components(found.selectExpr("class AS a", "root AS b"))
+    parts = connected_components(found.selectExpr("class AS a", "root AS b")).withColumnRenamed("node", "class")
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
-    named = (
-        valid.select("id", "class").join(classes.select("class", "copies"), "class").join(counts, "class", "left")
-        .join(parts.withColumnRenamed("node", "class"), "class", "left")
-        .select("id", F.coalesce("component", "class").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = named.join(least, "component").select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    near = checkpoint(parts.join(classes.select("class", "least"), "class"))
+    whole = checkpoint(near.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("copies")))
+    near = attach(near, whole, "component", near.count()).select("class", "component_id")
+    facts = classes.select("class", "copies", "least").join(counts, "class", "left").join(near, "class", "left")
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    facts = checkpoint(facts.select("class", "copies", n_links, F.coalesce("component_id", "least").alias("component_id")))
+    own = attach(valid.select("id", "class"), facts, "class", valid.count())
+    linked = own.select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where(~F.coalesce(ok, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
