@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -72,3 +72,81 @@ def test_stages(spark, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __id string, hash string, size string, extra string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents of the table with nulls in any column, empty and long texts, repeated rows and ids, and more columns."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "a", None, "1", "x") for r in docs]
+    base = max(docs, key=lambda r: len(r.text))
+    near = base.text + " end"
+    rows += [(None, base.text, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    rows += [(5000, "", "en", "s", 0, None, None, None, "x")] * 2 + [(5001, None, "en", None, None, None, None, None, "x")]
+    rows += [(5002, near, "en", None, 1, None, None, None, e) for e in ("p", "q", "q", None)]
+    rows += [(5003, near, "en", "s", 1, None, None, None, "x"), (5003, " ".join(reversed(near.split())), "en", "s", 1, None, None, None, "x")]
+    rows += [(5004, " ".join([base.text[:20_000]] * 60), "en", "s", 1, None, None, None, "x")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def expected_of_groups(rows):
+    """Rows that stay by the rule of stage 3, as multisets of groups: (group of linked rows) -> one of least id."""
+    live = [r for r in rows if r.doc_id is not None and shingles(r.text)]
+    sets = [shingles(r.text) for r in live]
+    root = list(range(len(live)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(live):
+        groups[find(i)].append(r)
+    return [r for r in rows if r.doc_id is None or not shingles(r.text)], list(groups.values())
+
+
+def test_near_duplicates_by_row(spark, odd):
+    out = Counter(corpus_pipeline.near_duplicates(spark, odd, "").collect())
+    free, groups = expected_of_groups(odd.collect())
+    assert not Counter(free) - out and sum(out.values()) == len(free) + len(groups)
+    for g in groups:
+        least = min(r.doc_id for r in g)
+        assert sum(out[r] for r in {r for r in g if r.doc_id == least}) == 1
+        assert not any(out[r] for r in g if r.doc_id > least)
+    again = Counter(corpus_pipeline.near_duplicates(spark, odd.repartition(5), "").collect())
+    assert again == out
+
+
+def test_mix_keeps_every_column(spark, odd):
+    out = Counter(corpus_pipeline.source_mix(spark, odd, "").collect())
+    again = Counter(corpus_pipeline.source_mix(spark, odd.repartition(5), "").collect())
+    assert out == again and set(out) <= set(odd.collect())
+    sizes, taken, most = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in odd.collect():
+        sizes[r.source] += len(words(r.text))
+        most[r.source] = max(most[r.source], len(words(r.text)))
+    for r, n in out.items():
+        taken[r.source] += n * len(words(r.text))
+    assert all(abs(taken[s] - t) <= 2 * most[s] for s, t in mixing.targets(dict(sizes)).items())
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, odd, sf_dir, tmp_path):
+    for start in (odd, odd.limit(0)):
+        docs = start
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{start is odd}-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == odd.columns
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
+        assert (docs.count() > 0) == (start is odd)
+    assert corpus_pipeline.language(spark, odd, sf_dir).where("text IS NULL OR text = ''").count() == 0

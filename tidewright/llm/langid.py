@@ -6,7 +6,7 @@ own ranking: the sum over its n-grams of how far the ranks lie apart, and the pr
 profile lacks. Ties go to the first language by code point.
 
 Null texts and texts without a letter are ``und`` with score 0; so is all, where nothing could be learned. Repeated
-rows give equal rows. Extra columns are kept; a column named like a result is replaced by it.
+rows give equal rows and are learned from once; different texts of one id are each learned from. Extra columns are kept; a column named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def learn_profiles(
                 )
 
     totals = (
-        rows.where(part).dropDuplicates(["id"]).mapInArrow(count, "lang string, gram long, n long")
+        rows.where(part).distinct().mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

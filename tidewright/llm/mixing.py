@@ -10,7 +10,8 @@ is left. Its last two documents land by giving up first the constraint on their
 
 A null text has size 0 and a null source is a source of its own. Rows equal in id, source and text are numbered, so
 that repeated rows spread over blocks. All draws are seeded by source, level and block: reruns agree. Rows without an
-id are treated as any other. Extra columns are not carried by the decisions; ``mix`` keeps them.
+id are treated as any other. Extra columns are not carried by the decisions; ``mix`` keeps them: rows equal in id, source
+and text share what is taken of them evenly, in order of a mark over all columns, so that each keeps its own columns.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.columns import map_sorted_groups, with_arrow_columns
-from tidewright.llm.shared import checkpoint
+from tidewright.llm.shared import checkpoint, row_mark
 from tidewright.llm.text import SPACE, count_words
 
 #: Weights of the sources in order of code point, null last, repeating (fixed values).
@@ -153,11 +154,16 @@ def mix_decisions(
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of ``docs``."""
-    repeats = mix_decisions(docs, text, source, id_col, seed)
-    repeats = repeats.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("hash").alias("__its"))
-    repeats = repeats.agg(F.sum("repeats").cast("int").alias("__repeats")).where("__repeats > 0")
-    mine = docs.withColumn("__hash", F.xxhash64(text))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__its"))
-    kept = mine.join(repeats, on).dropDuplicates([id_col, source, "__hash"])
-    return kept.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    """The mix itself: each row as often as it is taken, with the columns of ``docs``, joined with the decisions once."""
+    units = mix_decisions(docs, text, source, id_col, seed).groupBy("id", "source", "hash")
+    units = units.agg(F.sum("repeats").alias("repeats"), F.count("*").alias("rows")).where("repeats > 0")
+    units = units.select(row_mark("id", "source", "hash").alias("its"), "repeats", "rows")
+    mine = docs.select(
+        F.struct(*docs.columns).alias("row"), row_mark(*docs.columns).alias("mark"),
+        F.col(id_col).alias("id"), F.col(source).alias("source"), F.xxhash64(text).alias("hash"),
+    )
+    kept = mine.select("row", "mark", row_mark("id", "source", "hash").alias("its")).join(units, "its")
+    equal = kept.where("rows > 1").withColumn("place", F.row_number().over(Window.partitionBy("its").orderBy("mark")))
+    own = F.floor(F.col("repeats") / F.col("rows")) + (F.col("place") <= F.col("repeats") % F.col("rows")).cast("int")
+    taken = kept.where("rows = 1").select("row", "repeats").union(equal.select("row", own.alias("repeats")).where("repeats > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.columns import map_sorted_groups, release_memory
-from tidewright.llm.shared import attach, checkpoint, connected_components, spanning_roots
+from tidewright.llm.shared import attach, checkpoint, connected_components, row_mark, spanning_roots
 from tidewright.llm.text import SPACE, U64, mix, words
 
 WIDTH = 5
@@ -409,7 +409,7 @@ def spanning_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, its, n, class) and the facts of each class: (class, least id, copies, component_id).
+    """The rows (id, its, n, class) and the facts of each class: (class, least id, copies, component, component_id).
 
     ``its`` is a long by which callers tell rows, of ``mark`` where given. Classes are of rows with an id and a shingle.
     """
@@ -437,8 +437,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     parts = connected_components(spanning_links(members, sets)).withColumnRenamed("node", "class")
     linked = checkpoint(parts.join(facts.select("class", "least"), "class"))
     whole = checkpoint(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("copies")))
-    linked = attach(linked, whole, "component", linked.count()).select("class", "component_id")
-    facts = facts.join(linked, "class", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+    linked = attach(linked, whole, "component", linked.count()).select("class", "component", "component_id")
+    facts = facts.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    facts = facts.withColumn("component_id", F.coalesce("component_id", "least"))
     return rows.select("id", "its", "n", "class"), checkpoint(facts)
 
 
@@ -448,3 +449,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     named = attach(rows.where("id IS NOT NULL AND n > 0"), facts, "class", rows.count()).select("id", "n", "component_id")
     alone = rows.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
     return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each group of linked documents: of least id and, where that has several, of least mark.
+
+    Decided by row: rows of one id may be in different groups, and rows equal in all columns are one group. Rows without
+    an id and rows without a word link with nothing, so all of them stay.
+    """
+    mark = row_mark(*docs.columns)
+    rows, facts = jaccard_classes(docs, text, id_col, mark)
+    named = attach(rows.where("id IS NOT NULL AND n > 0"), facts, "class", rows.count()).select("id", "its", "component_id", "component")
+    marks = named.groupBy("component", "id", "its").agg(F.count("*").alias("rows"))
+    marks = checkpoint(marks)
+    best = marks.groupBy("component").agg(F.min(F.struct("id", "its")).alias("best"), F.count("*").alias("copies"))
+    told = attach(marks, checkpoint(best), "component", marks.count())
+    told = told.select("its", "id", "rows", (F.struct("id", "its") == F.col("best")).alias("stays"))
+    told = checkpoint(told.where("NOT stays OR rows > 1"))
+    held = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("its"), F.col(id_col).cast("long").alias("id"))
+    out = held.join(told, ["its", "id"], "left_anti")
+    equal = told.where("stays")
+    if not equal.isEmpty():
+        out = out.unionByName(held.join(equal, ["its", "id"], "left_semi").dropDuplicates(["its", "id"]))
+    return out.select("row.*")

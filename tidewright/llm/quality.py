@@ -106,7 +106,7 @@ def learn_quality(
     """Learn from at most ``max_rows`` labelled documents, the first by a hash of their id.
 
     Rows without an id or label are left out; a document with several labels has the largest, and any above 0
-    counts as 1. The sample's features come to the driver.
+    counts as 1. Of several texts of one id the first by their hash is learned from. The sample's features come to the driver.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
@@ -123,7 +123,8 @@ def learn_quality(
         packed = [[x.astype(np.int32).tobytes() for x in column] for column in (bucket, count)]
         return {"bucket": pa.array(packed[0], pa.binary()), "n": pa.array(packed[1], pa.binary())}
 
-    found = with_arrow_columns(rows.dropDuplicates(["id"]), featurise, "bucket binary, n binary", ("text",))
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    found = with_arrow_columns(rows, featurise, "bucket binary, n binary", ("text",))
     rows = sorted(found.collect(), key=lambda r: r["id"])
     return train([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["n"], np.int32), r["label"]) for r in rows])
 

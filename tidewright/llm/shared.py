@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -96,6 +102,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def row_mark(*columns: str) -> Column:
+    """A hash of columns, each with its place and whether it is null: rows equal in all of them have one mark."""
+    parts = [x for i, c in enumerate(columns) for x in (F.lit(i), F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return F.xxhash64(*parts)
+
+
 #: Keys of many rows that are sent to all tasks, at most.
 HOT_KEYS = 50_000
 #: Rows from which a key may be hot.
