@@ -1,12 +1,18 @@
 """The corpus pipeline: language, quality, near duplicates, source mix, tokens.
 
-Each stage takes the rows that its predecessor kept. All but the last return the columns of ``documents``.
-
-1. Language: documents without a letter, or unlike every learned language, go.
-2. Quality: documents that the classifier marks low go; empty texts, which it cannot judge, went before.
-3. Near duplicates: of each group of linked documents the one of least id stays; a row without an id stays.
-4. Mix: each source is brought near its target; a document may stay out, stay or come twice.
-5. Tokens: each row's token count and digests of its ids and decoded text.
+Each stage takes the rows that its predecessor kept, whole texts of any length. All but the last return the columns of
+``documents``, and any others that the table has.
+
+1. Language: documents without a letter, null and empty ones among them, or unlike every learned language, go. A null
+   ``lang`` or id is not learned from. Of languages equally near the first by code point counts.
+2. Quality: documents that the classifier marks low go; rows without an id are judged, not learned from.
+3. Near duplicates: one row of each group of linked documents stays: that of least id and, of several such, that of least
+   mark over all columns. So of rows equal in all columns one stays, and rows of one id but of texts that do not link
+   all stay. Rows without an id link with nothing and stay.
+4. Mix: each source, null being one, is brought near its target; a row may stay out, stay or come twice.
+5. Tokens: each row's token count and digests of its ids and decoded text; repeated rows give equal rows.
+
+An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -21,9 +27,9 @@ from tidewright.llm.bpe import bpe_digest
 from tidewright.llm.catalog import ARROW_ROWS
 from tidewright.llm.langid import UNKNOWN, held_out, identify, learn_profiles
 from tidewright.llm.mixing import mix
-from tidewright.llm.paritysketch import jaccard_components
+from tidewright.llm.paritysketch import one_of_each
 from tidewright.llm.quality import learn_quality, score_quality
-from tidewright.llm.shared import ensure_checkpoint_dir
+from tidewright.llm.shared import ensure_checkpoint_dir, remove_folder
 
 #: Least share of the ranking that a document and its language must have in common.
 MIN_LANGUAGE_SCORE = 0.2
@@ -45,9 +51,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 6)."""
-    groups = jaccard_components(docs)
-    spare = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,13 +77,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared checkpoint folder and read again."""
+    """All stages over ``documents``, each written as Parquet to the shared checkpoint folder and read again.
+
+    A stage's table is removed once the next one is written; the last stays, since the result reads it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{os.urandom(8).hex()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            remove_folder(spark, last)
+        last = path
     return docs
