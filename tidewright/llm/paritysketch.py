@@ -189,6 +189,7 @@ def _emit(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
                             ("n", pa.int64()), ("class", pa.int64()), ("slot", pa.int64()), ("sketch", pa.binary())])
         unit = TaskContext.get().partitionId() << 20
         slots: dict[int, int] = {}
+        dealt = 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -226,8 +227,11 @@ def _emit(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
                 who, name = blocks(new_sizes, new_sets, common)
                 held.append((name, slot[who]))
                 sketches = dense_sketches(new_sizes, new_sets)
+                # Rows are dealt in turn: those of one class may be many.
+                turn = (unit + dealt + np.arange(len(sizes))) % buckets
+                dealt += len(sizes)
                 yield _batch(
-                    schema, len(sizes), bucket=((classes & 0x7FFFFFFF) % buckets).astype(np.int32),
+                    schema, len(sizes), bucket=turn.astype(np.int32),
                     id=pa.array(ids[rows], mask=~able), its=batch["its"].slice(rows.start, len(sizes)),
                     n=sizes, **{"class": classes}, slot=pa.array(unit << 16 | slot, mask=~fresh),
                     sketch=[s if f else None for s, f in zip(sketches, fresh, strict=True)],
