@@ -68,22 +68,26 @@ def levels(tasks: DataFrame) -> DataFrame:
     kind = rows.schema["dag"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
         def close(frame: pd.DataFrame) -> pd.DataFrame:
             dag, task, above = (frame[c].tolist() for c in ("dag", "task", "depends_on"))
-            cuts = [k for k in range(len(dag)) if not k or dag[k] != dag[k - 1]]
+            cuts = [k for k in range(len(dag)) if not k or not same(dag[k], dag[k - 1])]
             out = [(dag[a], t, n) for a, b in zip(cuts, [*cuts[1:], len(dag)], strict=True) for t, n in _level(task[a:b], above[a:b])]
             return pd.DataFrame(out, columns=["dag", "task", "level"])
 
+        def same(a: object, b: object) -> bool:
+            return a == b or (pd.isna(a) and pd.isna(b))
+
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = frame["dag"] == frame["dag"].iloc[-1]
-            if not last.all():
-                yield close(frame[~last])
-            held = frame[last]
-        if held is not None:
-            yield close(held)
+            dags = frame["dag"]
+            if held and not same(dags.iloc[-1], held[-1]["dag"].iloc[-1]):
+                start = next(k for k in range(len(dags) - 1, -1, -1) if k == 0 or not same(dags.iloc[k - 1], dags.iloc[-1]))
+                yield close(pd.concat([*held, frame.iloc[:start]], ignore_index=True))
+                held = [frame.iloc[start:]]
+            else:
+                held.append(frame)
+        if held:
+            yield close(pd.concat(held, ignore_index=True))
 
     return rows.repartition("dag").sortWithinPartitions("dag").mapInPandas(run, f"dag {kind}, task string, level int")
 
@@ -103,3 +107,40 @@ def fail_fast(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("first_failed", first).select(
         "dag", "task", "level", F.when(F.col("level") > F.col("first_failed"), "skipped").otherwise(F.col("outcome")).alias("status")
     )
+
+
+#: Statuses that a task may go to from each status; the first is always the same (fixed values).
+TRANSITIONS = {"": ("pending",), "pending": ("running", "skipped"), "running": ("success", "failed")}
+#: Seconds that a command may take, and tasks that run at a time.
+TIME_LIMIT, AT_ONCE = 30, 10
+
+
+def outcome(runs: DataFrame, limit_s: int = TIME_LIMIT) -> DataFrame:
+    """The outcome of each run (dag, task, exit_code, check_code, seconds): failed for a command that fails or takes too
+    long, or a check that fails; a check runs only after a command that succeeds, and there may be none (null)."""
+    done = (F.col("exit_code") == 0) & (F.col("seconds") <= limit_s)
+    checked = done & F.col("check_code").isNotNull()
+    good = F.coalesce(done, F.lit(False)) & F.coalesce(F.col("check_code") == 0, F.lit(True))
+    return runs.select("dag", "task", F.coalesce(checked, F.lit(False)).alias("checked"), F.when(good, "success").otherwise("failed").alias("outcome"))
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """Whether each status of a task (dag, task, event_seq, status) may follow the one before."""
+    before = F.coalesce(F.lag("status").over(Window.partitionBy("dag", "task").orderBy("event_seq")), F.lit(""))
+    allowed = F.lit(False)
+    for status, after in TRANSITIONS.items():
+        allowed = allowed | ((before == status) & F.col("status").isin(*after))
+    return events.select("dag", "task", "event_seq", "status", F.coalesce(allowed, F.lit(False)).alias("allowed"))
+
+
+def rounds(waiting: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """The round in which each waiting task (dag, level, task) starts, at most ``at_once`` of a level at a time, by name."""
+    place = F.row_number().over(Window.partitionBy("dag", "level").orderBy("task"))
+    return waiting.select("dag", "level", "task", F.floor((place - 1) / at_once).cast("long").alias("round"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """Passed, failed and all results (suite, passed, seconds) of each suite, and the seconds they took."""
+    return results.groupBy("suite").agg(
+        F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count("*").alias("total"), F.sum("seconds").alias("seconds"),
+    )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a subscriber is sent in one round.
 BATCH = 10
+#: Arrivals of a range that one task judges, about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 10_000, 200
 #: Requests for repair beyond which a subscriber asks for regrouping.
 NACK_LIMIT = 5
 
@@ -45,19 +47,36 @@ def verdict(seq: Column, expected: Column) -> list[Column]:
     ]
 
 
-def sequence_audit(arrivals: DataFrame, ranges: int = 1) -> DataFrame:
+def _range_of(value: Column, cuts: list) -> Column:
+    """How many of the ascending cuts lie below the value, by a tree of comparisons."""
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(cuts[middle]), part(middle + 1, high)).otherwise(part(low, middle))
+
+    return part(0, len(cuts))
+
+
+def sequence_audit(arrivals: DataFrame, ranges: int | None = None) -> DataFrame:
     """Judge every arrival (channel, seq, arrival) as in order, gap or stale.
 
     A channel expects one more than the largest sequence it has seen, and 1 at first. A gap carries the
     inclusive range to ask for again. Ties of ``arrival`` fall to ``seq``.
 
-    With ``ranges`` above 1 a channel is cut into that many ranges of arrival, each judged by a task of its own from the
-    largest sequence of the ranges before: for channels too large for one task.
+    A channel is cut into ranges of arrival, each judged by a task of its own from the largest sequence of the ranges
+    before. Their number goes by the counted arrivals unless given: one for each ``RANGE_ROWS``, and ``MOST_RANGES`` at
+    most, beyond which ranges grow.
     """
-    if ranges > 1:
-        cuts = arrivals.agg(F.approx_percentile("arrival", [k / ranges for k in range(1, ranges)])).first()[0] or []
-        part = sum([(F.col("arrival") > F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
-        arrivals = arrivals.withColumn("__range", part)
+    cuts: list = []
+    if ranges is None or ranges > 1:
+        grid = MOST_RANGES if ranges is None else ranges
+        n, found = arrivals.agg(F.count("*"), F.approx_percentile("arrival", [k / grid for k in range(1, grid)])).first()
+        ranges = min(grid, n // RANGE_ROWS + 1) if ranges is None else ranges
+        cuts = sorted({(found or [])[k * grid // ranges - 1] for k in range(1, ranges)}) if found else []
+    if cuts:
+        arrivals = arrivals.withColumn("__range", _range_of(F.col("arrival"), cuts))
         earlier = Window.partitionBy("channel").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
         tops = arrivals.groupBy("channel", "__range").agg(F.max("seq").alias("top"))
         tops = tops.select("channel", "__range", F.coalesce(F.max("top").over(earlier), F.lit(0)).alias("__seen"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distance from a group's first member, and members, that a progress group may have.
 THRESHOLD, CAPACITY = 100, 50
@@ -19,29 +23,28 @@ def progress_groups(sessions: DataFrame, threshold: int = THRESHOLD, capacity: i
     """Greedy clusters of a channel's sessions (channel, subscriber, next_send) by progress.
 
     Sessions go by ``next_send``, then name; one starts a new group when it lies more than ``threshold`` beyond the
-    group's first member or the group is full. The rule depends on where the last group began, so a channel is
-    folded in order, as one array of (next_send, subscriber): some tens of bytes a session.
+    group's first member or the group is full. The rule depends on where the last group began, so a channel's sessions
+    are run through in order, with nothing held but the group's first member and size.
     """
-    ordered = sessions.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("next_send", "subscriber"))).alias("s"))
-    zero = F.struct(
-        F.lit(-1).alias("group"), F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("size"),
-        F.array().cast("array<int>").alias("groups"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["anchor"].isNull() | (x["next_send"] - acc["anchor"] > threshold) | (acc["size"] >= capacity)
-        group = acc["group"] + new.cast("int")
-        return F.struct(
-            group.alias("group"), F.when(new, x["next_send"]).otherwise(acc["anchor"]).alias("anchor"),
-            F.when(new, 1).otherwise(acc["size"] + 1).alias("size"), F.concat(acc["groups"], F.array(group)).alias("groups"),
-        )
-
-    folded = ordered.select("channel", "s", F.aggregate("s", zero, step, lambda acc: acc["groups"]).alias("g"))
-    each = folded.select("channel", F.explode(F.arrays_zip("s", "g")).alias("x"))
-    return each.select(
-        "channel", F.col("x.s.subscriber").alias("subscriber"), F.col("x.s.next_send").alias("next_send"),
-        F.concat(F.lit("progress_"), F.col("x.g").cast("string")).alias("group_id"),
-    )
+    rows = sessions.select("channel", "subscriber", F.col("next_send").cast("long").alias("next_send"))
+    kinds = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, anchor, size, group = None, None, 0, -1
+        for batch in batches:
+            names = []
+            for c, at in zip(batch["channel"].to_pylist(), batch["next_send"].to_pylist(), strict=True):
+                if anchor is None or c != channel:
+                    channel, anchor, size, group = c, at, 1, 0
+                elif at - anchor > threshold or size >= capacity:
+                    anchor, size, group = at, 1, group + 1
+                else:
+                    size += 1
+                names.append(f"progress_{group}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], [*batch.schema.names, "group_id"])
+
+    ordered = rows.repartition("channel").sortWithinPartitions("channel", "next_send", "subscriber")
+    return ordered.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("group_id", T.StringType())]))
 
 
 def group_bounds(grouped: DataFrame) -> DataFrame:
@@ -103,3 +106,29 @@ def fan_out(sends: DataFrame, grouped: DataFrame, multicast: bool) -> DataFrame:
         return sends.select("channel", "group_id", F.col("group_id").alias("receiver"), "from_seq", "to_seq")
     members = grouped.select("channel", "group_id", F.col("subscriber").alias("receiver"))
     return members.join(sends, ["channel", "group_id"]).select("channel", "group_id", "receiver", "from_seq", "to_seq")
+
+
+def regroup(sessions: DataFrame, threshold: int = THRESHOLD, capacity: int = CAPACITY) -> DataFrame:
+    """(channel, subscriber, group_id): groups by priority first, of the rest by progress, of those alone there by subnet.
+
+    A session that none of the three puts with another is in no group.
+    """
+    first = priority_groups(sessions).where("group_id IS NOT NULL").select("channel", "subscriber", "group_id")
+    rest = ungrouped(sessions, first)
+    near = progress_groups(rest, threshold, capacity)
+    several = near.groupBy("channel", "group_id").count().where("count > 1").select("channel", "group_id")
+    second = near.join(several, ["channel", "group_id"]).select("channel", "subscriber", "group_id")
+    alone = ungrouped(rest, second).withColumn("net", subnet(F.col("ip")))
+    nets = alone.groupBy("channel", "net").count().where("count > 1").select("channel", "net", F.concat(F.lit("subnet_"), "net").alias("group_id"))
+    return first.union(second).union(alone.join(nets, ["channel", "net"], "left").select("channel", "subscriber", "group_id"))
+
+
+def regroup_due(channels: DataFrame, threshold: int = THRESHOLD, nacks: int = 5, every_s: int = 10) -> DataFrame:
+    """Why each channel (channel, joined, left, timed_out, nack_count, since_s, span) is to be grouped anew, first reason
+    first: members came or went, one timed out, one asked for more than ``nacks`` repairs, ``every_s`` seconds went by, or a
+    group spread beyond twice the threshold. Null where none holds."""
+    reason = (
+        F.when((F.col("joined") > 0) | (F.col("left") > 0), "membership").when(F.col("timed_out") > 0, "time_out")
+        .when(F.col("nack_count") > nacks, "repairs").when(F.col("since_s") >= every_s, "interval").when(F.col("span") > 2 * threshold, "spread")
+    )
+    return channels.select("channel", reason.alias("reason"), reason.isNotNull().alias("due"))

@@ -83,18 +83,18 @@ def choke(sends: DataFrame, max_packets: int) -> DataFrame:
 
 def rate_shape(sends: DataFrame, rate: int, interval_ms: int) -> DataFrame:
     """When each message (client, seq, at_ms, bytes) leaves: not before it is there, nor before the one ahead has had
-    ``bytes * 1000 / rate`` and at least ``interval_ms`` milliseconds. A client's messages are folded in order."""
-    listed = sends.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("seq", "at_ms", "bytes"))).alias("m"))
-    zero = F.struct(F.lit(0).cast("long").alias("free"), F.array().cast("array<struct<seq:bigint,leaves_ms:bigint>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        leaves = F.greatest(m["at_ms"], acc["free"])
-        busy = F.greatest(F.floor(m["bytes"] * 1000 / rate), F.lit(interval_ms).cast("long"))
-        one = F.struct(m["seq"].cast("long").alias("seq"), leaves.cast("long").alias("leaves_ms"))
-        return F.struct((leaves + busy).cast("long").alias("free"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    folded = listed.select("client", F.explode(F.aggregate("m", zero, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select("client", F.col("x.seq").alias("seq"), F.col("x.leaves_ms").alias("leaves_ms"))
+    ``bytes * 1000 / rate`` and at least ``interval_ms`` milliseconds, nor before 0.
+
+    A message leaves when the latest of those before it to arrive, or itself, and all the time that the messages from there on take, are
+    over: with B the busy time of all messages ahead, at B + max(at - B) up to here. Two running windows, no fold.
+    """
+    order = Window.partitionBy("client").orderBy("seq")
+    busy = F.greatest(F.floor(F.col("bytes") * 1000 / rate), F.lit(interval_ms).cast("long"))
+    ahead = F.coalesce(F.sum(busy).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = sends.withColumn("__ahead", ahead)
+    latest = F.max(F.col("at_ms") - F.col("__ahead")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    leaves = F.col("__ahead") + F.greatest(latest, F.lit(0).cast("long"))
+    return placed.select("client", F.col("seq").cast("long").alias("seq"), leaves.cast("long").alias("leaves_ms"))
 
 
 def sign_extend(value: Column, bits: int) -> Column:

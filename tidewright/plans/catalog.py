@@ -341,6 +341,40 @@ def _ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.ungrouped(members, sessions.priority_groups(members)).select("channel", "subscriber", "next_send")
 
 
+_REST = _GROUPS.replace("AS i FROM m\n", "AS i FROM m WHERE priority = 0\n")
+
+
+@query(
+    "regroup",
+    f"""WITH RECURSIVE {_REST}, k AS (SELECT channel, n, count(*) AS held FROM g GROUP BY ALL),
+    a AS (SELECT m.channel, m.subscriber, 'subnet_' || regexp_replace(m.ip, '[.][0-9]+$', '') AS net FROM m JOIN g USING (channel, subscriber) JOIN k USING (channel, n) WHERE held = 1),
+    l AS (SELECT channel, net, count(*) AS held FROM a GROUP BY ALL)
+    SELECT channel, subscriber, CASE priority WHEN 2 THEN 'vip_' || subscriber ELSE 'high_priority' END AS group_id FROM m WHERE priority > 0
+    UNION ALL SELECT channel, subscriber, 'progress_' || n FROM g JOIN k USING (channel, n) WHERE held > 1
+    UNION ALL SELECT channel, subscriber, CASE WHEN l.held > 1 THEN net END FROM a JOIN l USING (channel, net)""",
+)
+def _regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.regroup(_members(spark, sf_dir))
+
+
+_CHANNEL_STATE = (
+    "count(CASE WHEN event_id % 31 = 0 THEN 1 END) % 2 AS joined, count(CASE WHEN event_id % 37 = 0 THEN 1 END) % 2 AS left, "
+    "count(CASE WHEN event_id % 41 = 0 THEN 1 END) % 2 AS timed_out, count(*) % 9 AS nack_count, count(*) % 14 AS since_s, count(*) % 400 AS span"
+)
+
+
+@query(
+    "regroup_due",
+    f"""WITH s AS (SELECT user_id AS channel, {_CHANNEL_STATE.replace(" left,", ' "left",')} FROM events GROUP BY user_id),
+    r AS (SELECT channel, CASE WHEN joined > 0 OR "left" > 0 THEN 'membership' WHEN timed_out > 0 THEN 'time_out' WHEN nack_count > 5 THEN 'repairs'
+        WHEN since_s >= 10 THEN 'interval' WHEN span > 200 THEN 'spread' END AS reason FROM s)
+    SELECT channel, reason, reason IS NOT NULL AS due FROM r""",
+)
+def _regroup_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = [F.expr(x.replace(" AS left", " AS `left`")) for x in _CHANNEL_STATE.split(", ")]
+    return sessions.regroup_due(_events(spark, sf_dir).groupBy(F.col("user_id").alias("channel")).agg(*counted))
+
+
 @query(
     "packet_session",
     f"""WITH {_MEMBERS}, a AS (SELECT ip, 9000 AS port, min(subscriber) AS subscriber FROM m GROUP BY ip)
@@ -607,11 +641,64 @@ def _dag_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dag_validate",
-    f"WITH {_CHAIN} SELECT dag, 'unknown_parent' AS problem, 't2' AS task FROM c WHERE level = 2 AND dag % 11 = 0",
+    f"""WITH {_CHAIN}, n AS (SELECT dag, max(level) AS top, CASE WHEN dag % 11 = 0 THEN 1 WHEN dag % 13 = 0 THEN 2 WHEN dag % 17 = 0 THEN 3 ELSE 0 END AS fault FROM c GROUP BY dag)
+    SELECT dag, 'unknown_parent' AS problem, 't2' AS task FROM n WHERE fault IN (1, 2) AND top >= 2 OR fault = 3 AND top = 0
+    UNION ALL SELECT dag, 'duplicate', 't1' FROM n WHERE fault = 2 AND top >= 1
+    UNION ALL SELECT c.dag, 'cycle', 't' || (c.level + 1) FROM c JOIN n USING (dag) WHERE fault = 3 AND top >= 1""",
 )
 def _dag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    renamed = F.when((F.col("dag") % 11 == 0) & (F.col("seq") == 2), "x2").otherwise(F.col("task"))
-    return dag.problems(_chain(spark, sf_dir).withColumn("task", renamed))
+    """Some graphs lose their second task's name, some have their first name twice, some close a cycle over the first two."""
+    lost, twice, cycle = ((F.col("dag") % k == 0) for k in (11, 13, 17))
+    task = F.when(lost & (F.col("seq") == 2), "x2").when(~lost & twice & (F.col("seq") == 2), "t1").otherwise(F.col("task"))
+    above = F.when(~lost & ~twice & cycle & (F.col("seq") == 1), F.array(F.lit("t2"))).otherwise(F.col("depends_on"))
+    return dag.problems(_chain(spark, sf_dir).withColumn("task", task).withColumn("depends_on", above))
+
+
+_RUN_COLUMNS = (
+    "CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END AS exit_code",
+    "CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_discount > 0.08 THEN 2 ELSE 0 END AS check_code",
+    "l_tax * 500 AS seconds",
+)
+
+
+@query(
+    "task_outcome",
+    f"""WITH r AS (SELECT l_orderkey AS dag, 't' || l_linenumber || '_' || l_partkey AS task, {', '.join(_RUN_COLUMNS)} FROM lineitem)
+    SELECT dag, task, exit_code = 0 AND seconds <= 30 AND check_code IS NOT NULL AS checked,
+           CASE WHEN exit_code = 0 AND seconds <= 30 AND coalesce(check_code, 0) = 0 THEN 'success' ELSE 'failed' END AS outcome FROM r""",
+)
+def _task_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.outcome(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS dag", "concat('t', l_linenumber, '_', l_partkey) AS task", *_RUN_COLUMNS))
+
+
+@query(
+    "status_transitions",
+    """WITH e AS (SELECT user_id AS dag, event_id // 10 % 7 AS task, event_id AS event_seq,
+        ['pending', 'running', 'success', 'failed', 'skipped'][event_id * 7919 % 5 + 1] AS status FROM events),
+    b AS (SELECT *, lag(status) OVER (PARTITION BY dag, task ORDER BY event_seq) AS before FROM e)
+    SELECT dag, task, event_seq, status, CASE WHEN before IS NULL THEN status = 'pending' WHEN before = 'pending' THEN status IN ('running', 'skipped')
+        WHEN before = 'running' THEN status IN ('success', 'failed') ELSE false END AS allowed FROM b""",
+)
+def _status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = "element_at(array('pending', 'running', 'success', 'failed', 'skipped'), cast(event_id * 7919 % 5 + 1 AS int)) AS status"
+    return dag.transitions(_events(spark, sf_dir).selectExpr("user_id AS dag", "event_id div 10 % 7 AS task", "event_id AS event_seq", status))
+
+
+@query(
+    "start_rounds",
+    """WITH w AS (SELECT user_id AS dag, event_id % 2 AS level, 't' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS task FROM events)
+    SELECT *, (row_number() OVER (PARTITION BY dag, level ORDER BY task) - 1) // 10 AS round FROM w""",
+)
+def _start_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.rounds(_events(spark, sf_dir).selectExpr("user_id AS dag", "event_id % 2 AS level", "concat('t', lpad(cast(event_id AS string), 12, '0')) AS task"))
+
+
+@query(
+    "result_summary",
+    "SELECT event_type AS suite, count(*) FILTER (user_id % 3 > 0) AS passed, count(*) FILTER (user_id % 3 = 0) AS failed, count(*) AS total, sum(event_id % 1000) AS seconds FROM events GROUP BY 1",
+)
+def _result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dag.summary(_events(spark, sf_dir).selectExpr("event_type AS suite", "user_id % 3 > 0 AS passed", "event_id % 1000 AS seconds"))
 
 
 @query(
