@@ -1,4 +1,4 @@
-"""Literal cases: the log, sessions, graphs, pipelines, codecs, fragments, sources and streams."""
+"""Literal cases: the log, sessions, graphs, workflows, codecs, fragments, sources and streams."""
 
 import struct
 from datetime import datetime
@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.functions import bytes as B
-from tidewright.operators import codecs, dag, log, pipelines, sessions, snapshots, ticks, triggers
+from tidewright.operators import codecs, dag, log, workflows, sessions, snapshots, ticks, triggers
 from tidewright.sources.kvstore import KeyValueStore
 from tidewright.sources.logsource import QUOTE, TickGenerator, definitions
 from tidewright.streaming import stateful
@@ -136,7 +136,7 @@ def test_reader(spark):
     assert ticks.listing(tick_rows(spark), "mdl/mbd/order/20240101/").count() == 3
 
 
-# ------------------------------------------------------------ graphs and pipelines
+# ------------------------------------------------------------ graphs and workflows
 
 DAG = "dag string, task string, depends_on array<string>"
 
@@ -160,14 +160,14 @@ def test_fail_fast(spark):
     out = {r.task: r.status for r in dag.fail_fast(frame(spark, rows, "dag string, task string, level int, outcome string")).collect()}
     assert out == {"task1": "success", "task2": "failed", "task3": "skipped"}
     status = frame(spark, [("e", s) for s in out.values()], "execution_id string, status string")
-    assert pipelines.roll_up(status).first().status == "failed"
+    assert workflows.roll_up(status).first().status == "failed"
 
 
 def test_history(spark):
     now = datetime(2024, 6, 1)
     rows = [(123, "running", datetime(2024, 5, 1)), (456, "success", datetime(2024, 5, 20)), (789, "failed", datetime(2024, 2, 20))]
     executions = frame(spark, rows, "id long, status string, created_at timestamp_ntz").withColumn("updated_at", F.col("created_at"))
-    out = pipelines.times(pipelines.history(executions, F.lit(now).cast("timestamp_ntz"))).collect()
+    out = workflows.times(workflows.history(executions, F.lit(now).cast("timestamp_ntz"))).collect()
     assert [r.id for r in out] == [123, 456] and [r.end_time for r in out] == [None, "2024-05-20 00:00:00"]
 
 
@@ -194,9 +194,9 @@ def test_webhook(spark):
 def test_upsert_and_envelope(spark):
     now = frame(spark, [(1, "a", 0), (2, "b", 0)], "id long, status string, version int")
     more = frame(spark, [(2, "c", 1), (3, "d", 1)], "id long, status string, version int")
-    assert sorted((r.id, r.status) for r in pipelines.upsert(now, more, ["id"], "version").collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    assert [r.id for r in pipelines.insert_absent(now, more, ["id"]).collect()] == [3]
-    assert pipelines.envelope(now.limit(1)).first().response == '{"code":0,"message":"success","data":{"id":1,"status":"a","version":0}}'
+    assert sorted((r.id, r.status) for r in workflows.upsert(now, more, ["id"], "version").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert [r.id for r in workflows.insert_absent(now, more, ["id"]).collect()] == [3]
+    assert workflows.envelope(now.limit(1)).first().response == '{"code":0,"message":"success","data":{"id":1,"status":"a","version":0}}'
 
 
 # ------------------------------------------------------------ codecs

@@ -1,4 +1,4 @@
-"""Log and pipeline stores, scalar functions, and the driver contract without the training-data operators."""
+"""Log and workflow stores, scalar functions, and the driver contract without the training-data operators."""
 
 import subprocess
 import sys
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalar
-from tidewright.sources.stores import EventLog, PipelineStore
+from tidewright.sources.stores import EventLog, WorkflowStore
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -44,15 +44,15 @@ def test_wide_messages_are_numbered_once(spark, tmp_path):
     assert at > 0 and [x.name for x in tmp_path.iterdir()] == ["log"]
 
 
-def test_pipeline_store(spark, tmp_path):
-    store, now = PipelineStore(spark, str(tmp_path / "p")), datetime(2024, 6, 1)
+def test_workflow_store(spark, tmp_path):
+    store, now = WorkflowStore(spark, str(tmp_path / "p")), datetime(2024, 6, 1)
     one = store.create("build", "x", "v0", now)
     two = store.create("ship", "y", "w0", now)
     with pytest.raises(ValueError):
         store.create("build", "x", "v0", now)
     with pytest.raises(KeyError):
         store.update(99, "z", now)
-    assert store.update(one, "v1", now) == 1 and {(r.pipeline_id, r.version, r.config) for r in store.latest().collect()} == {(one, 1, "v1"), (two, 0, "w0")}
+    assert store.update(one, "v1", now) == 1 and {(r.workflow_id, r.version, r.config) for r in store.latest().collect()} == {(one, 1, "v1"), (two, 0, "w0")}
     store.trigger(one, "manual", "e1", now - timedelta(days=100))
     store.trigger(one, "cron", "e2", now - timedelta(days=2))
     store.trigger(two, "webhook", "e3", now - timedelta(days=1))

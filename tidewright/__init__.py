@@ -1 +1 @@
-"""Tidewright: a Spark-first engine for sequenced event, tick and pipeline data."""
+"""Tidewright: a Spark-first engine for sequenced event, tick and workflow data."""

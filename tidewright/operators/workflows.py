@@ -1,4 +1,4 @@
-"""Versioned pipeline definitions and execution history as DataFrames.
+"""Versioned workflow definitions and execution history as DataFrames.
 
 "Now" is always a parameter, so results can be reproduced. Deleted rows are those with a deletion stamp.
 """
@@ -50,11 +50,11 @@ def history(executions: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return recent.orderBy(F.when(F.col("status") == "running", 0).otherwise(1), F.desc("created_at"), "id")
 
 
-def with_pipeline(executions: DataFrame, versions: DataFrame) -> DataFrame:
-    """Executions with the pipeline of their version, 0 where the version is unknown."""
-    known = versions.select(F.col("id").alias("version_id"), "pipeline_id")
-    joined = executions.join(known, executions["pipeline_version_id"] == known["version_id"], "left").drop("version_id")
-    return joined.withColumn("pipeline_id", F.coalesce("pipeline_id", F.lit(0)))
+def with_workflow(executions: DataFrame, versions: DataFrame) -> DataFrame:
+    """Executions with the workflow of their version, 0 where the version is unknown."""
+    known = versions.select(F.col("id").alias("version_id"), "workflow_id")
+    joined = executions.join(known, executions["workflow_version_id"] == known["version_id"], "left").drop("version_id")
+    return joined.withColumn("workflow_id", F.coalesce("workflow_id", F.lit(0)))
 
 
 def times(rows: DataFrame) -> DataFrame:
@@ -64,15 +64,15 @@ def times(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start_time", start).withColumn("end_time", end)
 
 
-def latest_versions(pipelines: DataFrame, versions: DataFrame) -> DataFrame:
-    """Each pipeline with its latest version's row, in one join on (id, latest_version)."""
-    own = versions.select("pipeline_id", F.col("version").alias("latest_version"), F.col("id").alias("version_id"), "config")
-    return pipelines.withColumnRenamed("id", "pipeline_id").join(own, ["pipeline_id", "latest_version"])
+def latest_versions(workflows: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each workflow with its latest version's row, in one join on (id, latest_version)."""
+    own = versions.select("workflow_id", F.col("version").alias("latest_version"), F.col("id").alias("version_id"), "config")
+    return workflows.withColumnRenamed("id", "workflow_id").join(own, ["workflow_id", "latest_version"])
 
 
 def version_numbers(versions: DataFrame, *order: str) -> DataFrame:
-    """Number each pipeline's versions from 0 in the given total order."""
-    number = F.row_number().over(Window.partitionBy("pipeline_id").orderBy(*order)) - 1
+    """Number each workflow's versions from 0 in the given total order."""
+    number = F.row_number().over(Window.partitionBy("workflow_id").orderBy(*order)) - 1
     return versions.withColumn("version", number)
 
 
@@ -120,9 +120,9 @@ def envelope(rows: DataFrame, code: int = 0) -> DataFrame:
 def report(rows: DataFrame) -> DataFrame:
     """History rows as lines of fixed width."""
     text = [F.coalesce(c, F.lit("")) for c in ("status", "trigger_type", "start_time", "end_time")]
-    return rows.select(F.format_string(REPORT_FORMAT, "id", "pipeline_id", *text).alias("line"))
+    return rows.select(F.format_string(REPORT_FORMAT, "id", "workflow_id", *text).alias("line"))
 
 
-def brief(pipelines: DataFrame) -> DataFrame:
-    """Pipelines as listed: id, name, description and latest version."""
-    return pipelines.select("id", "name", "description", "latest_version")
+def brief(workflows: DataFrame) -> DataFrame:
+    """Workflows as listed: id, name, description and latest version."""
+    return workflows.select("id", "name", "description", "latest_version")

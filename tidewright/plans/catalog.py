@@ -1,7 +1,7 @@
 """The registered queries of the library itself, with the DuckDB text that each must agree with.
 
 The driver's tables stand for the library's: ``events`` for ticks, log rows and heartbeats (user: security, subscriber or
-client; event type: channel), ``orders`` for executions, ``lineitem`` for tasks, ``customer`` for pipelines, ``documents``
+client; event type: channel), ``orders`` for executions, ``lineitem`` for tasks, ``customer`` for workflows, ``documents``
 for blobs and messages. Queries run over whole tables; where a query is about loss (audit, repair, catch-up, reassembly),
 lost rows are set by a rule on ids, as part of what the query simulates.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalar
-from tidewright.operators import codecs, dag, extensions, log, pipelines, sessions, snapshots, ticks, triggers
+from tidewright.operators import codecs, dag, extensions, log, workflows, sessions, snapshots, ticks, triggers
 from tidewright.registry import Registry
 from tidewright.session import table
 
@@ -444,16 +444,16 @@ def _state_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.resend_state(clients).select("client", "resend")
 
 
-# ---------------------------------------------------------------- pipelines and execution history
+# ---------------------------------------------------------------- workflows and execution history
 
-_EXECUTIONS = """x AS (SELECT o_orderkey AS id, o_custkey AS pipeline_version_id, o_orderdate AS created_at, o_orderdate + INTERVAL 90 SECOND AS updated_at,
+_EXECUTIONS = """x AS (SELECT o_orderkey AS id, o_custkey AS workflow_version_id, o_orderdate AS created_at, o_orderdate + INTERVAL 90 SECOND AS updated_at,
     CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'success' ELSE 'failed' END AS status FROM orders)"""
 _STATUS = "CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'success' END"
 
 
 def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS id", "o_custkey AS pipeline_version_id", "o_orderdate AS created_at", "o_orderdate + INTERVAL 90 SECOND AS updated_at",
+        "o_orderkey AS id", "o_custkey AS workflow_version_id", "o_orderdate AS created_at", "o_orderdate + INTERVAL 90 SECOND AS updated_at",
         "CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'success' ELSE 'failed' END AS status",
     )
 
@@ -473,42 +473,42 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _history_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _executions(spark, sf_dir)
     now = F.lit(rows.agg(F.max("created_at")).first()[0]).cast("timestamp_ntz")
-    return pipelines.times(pipelines.history(rows, now)).select("id", "status", "start_time", "end_time")
+    return workflows.times(workflows.history(rows, now)).select("id", "status", "start_time", "end_time")
 
 
 @query(
     "history_join",
-    f"""WITH {_EXECUTIONS}, v AS (SELECT c_custkey + 50 AS id, c_nationkey AS pipeline_id FROM customer)
-    SELECT x.id, x.status, coalesce(v.pipeline_id, 0) AS pipeline_id FROM x LEFT JOIN v ON v.id = x.pipeline_version_id""",
+    f"""WITH {_EXECUTIONS}, v AS (SELECT c_custkey + 50 AS id, c_nationkey AS workflow_id FROM customer)
+    SELECT x.id, x.status, coalesce(v.workflow_id, 0) AS workflow_id FROM x LEFT JOIN v ON v.id = x.workflow_version_id""",
 )
 def _history_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = table(spark, sf_dir, "customer").selectExpr("c_custkey + 50 AS id", "c_nationkey AS pipeline_id")
-    return pipelines.with_pipeline(_executions(spark, sf_dir), versions).select("id", "status", "pipeline_id")
+    versions = table(spark, sf_dir, "customer").selectExpr("c_custkey + 50 AS id", "c_nationkey AS workflow_id")
+    return workflows.with_workflow(_executions(spark, sf_dir), versions).select("id", "status", "workflow_id")
 
 
-_VERSIONS = """v AS (SELECT o_orderkey AS id, o_custkey AS pipeline_id, o_orderpriority AS config,
+_VERSIONS = """v AS (SELECT o_orderkey AS id, o_custkey AS workflow_id, o_orderpriority AS config,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS version FROM orders)"""
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS pipeline_id", "o_orderpriority AS config", "o_orderdate AS created_at")
-    return pipelines.version_numbers(rows, "created_at", "id")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS workflow_id", "o_orderpriority AS config", "o_orderdate AS created_at")
+    return workflows.version_numbers(rows, "created_at", "id")
 
 
-@query("version_number", f"WITH {_VERSIONS} SELECT id, pipeline_id, version FROM v")
+@query("version_number", f"WITH {_VERSIONS} SELECT id, workflow_id, version FROM v")
 def _version_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir).selectExpr("id", "pipeline_id", "cast(version AS long) AS version")
+    return _versions(spark, sf_dir).selectExpr("id", "workflow_id", "cast(version AS long) AS version")
 
 
 @query(
     "latest_version",
-    f"""WITH {_VERSIONS}, p AS (SELECT pipeline_id, max(version) AS latest_version FROM v GROUP BY 1)
-    SELECT p.pipeline_id, p.latest_version, v.id AS version_id, v.config FROM p JOIN v ON v.pipeline_id = p.pipeline_id AND v.version = p.latest_version""",
+    f"""WITH {_VERSIONS}, p AS (SELECT workflow_id, max(version) AS latest_version FROM v GROUP BY 1)
+    SELECT p.workflow_id, p.latest_version, v.id AS version_id, v.config FROM p JOIN v ON v.workflow_id = p.workflow_id AND v.version = p.latest_version""",
 )
 def _latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = _versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    known = versions.groupBy(F.col("pipeline_id").alias("id")).agg(F.max("version").alias("latest_version"))
-    return pipelines.latest_versions(known, versions)
+    known = versions.groupBy(F.col("workflow_id").alias("id")).agg(F.max("version").alias("latest_version"))
+    return workflows.latest_versions(known, versions)
 
 
 @query(
@@ -518,7 +518,7 @@ def _latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x.id, x.status, coalesce(l.n_tasks, 0) AS n_tasks, coalesce(l.tasks, '') AS tasks FROM x LEFT JOIN l ON l.execution_id = x.id""",
 )
 def _execution_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.detail(_executions(spark, sf_dir), _tasks(spark, sf_dir)).select("id", "status", "n_tasks", "tasks")
+    return workflows.detail(_executions(spark, sf_dir), _tasks(spark, sf_dir)).select("id", "status", "n_tasks", "tasks")
 
 
 @query(
@@ -530,13 +530,13 @@ def _upsert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _executions(spark, sf_dir)
     current = rows.select("id", "status", F.lit(0).alias("version"))
     changes = rows.where("status = 'running'").selectExpr("id + CASE WHEN id % 10 = 0 THEN 100000000 ELSE 0 END AS id", "'success' AS status", "1 AS version")
-    return pipelines.upsert(current, changes, ["id"], "version")
+    return workflows.upsert(current, changes, ["id"], "version")
 
 
 @query("insert_absent", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
-    return pipelines.insert_absent(current, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), ["id"])
+    return workflows.insert_absent(current, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), ["id"])
 
 
 @query(
@@ -545,7 +545,7 @@ def _insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT execution_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'success' END AS status, count(*) AS n_tasks FROM t GROUP BY 1""",
 )
 def _status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.roll_up(_tasks(spark, sf_dir))
+    return workflows.roll_up(_tasks(spark, sf_dir))
 
 
 @query(
@@ -555,30 +555,30 @@ def _status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).selectExpr("cast(user_id AS string) AS execution_id", "event_type AS task_name", "props AS status", "event_id AS event_seq")
-    return pipelines.latest_status(rows)
+    return workflows.latest_status(rows)
 
 
 @query("soft_delete", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'")
 def _soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at")
-    return pipelines.live(rows).select("id")
+    return workflows.live(rows).select("id")
 
 
 @query("keyed_fetch", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_name = 'Customer#000000042' ORDER BY id LIMIT 1")
 def _keyed_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.one(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name"), name="Customer#000000042")
+    return workflows.one(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name"), name="Customer#000000042")
 
 
 @query(
     "history_report",
-    f"""WITH {_EXECUTIONS} SELECT printf('%-5d %-15d %-15s %-15s %-20s %-20s', id, pipeline_version_id, status,
+    f"""WITH {_EXECUTIONS} SELECT printf('%-5d %-15d %-15s %-15s %-20s %-20s', id, workflow_version_id, status,
       CASE id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'cron' ELSE 'webhook' END, strftime(created_at, '%Y-%m-%d %H:%M:%S'),
       CASE WHEN status = 'running' THEN '' ELSE strftime(updated_at, '%Y-%m-%d %H:%M:%S') END) AS line FROM x""",
 )
 def _history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipelines.times(_executions(spark, sf_dir)).withColumnRenamed("pipeline_version_id", "pipeline_id")
+    rows = workflows.times(_executions(spark, sf_dir)).withColumnRenamed("workflow_version_id", "workflow_id")
     kind = F.when(F.col("id") % 3 == 0, "manual").when(F.col("id") % 3 == 1, "cron").otherwise("webhook")
-    return pipelines.report(rows.withColumn("trigger_type", kind))
+    return workflows.report(rows.withColumn("trigger_type", kind))
 
 
 @query(
@@ -588,7 +588,7 @@ def _history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS description", "c_nationkey AS latest_version")
-    return pipelines.envelope(pipelines.brief(rows))
+    return workflows.envelope(workflows.brief(rows))
 
 
 @query("stale_requests", "SELECT event_id, event_id % 700 - 100 BETWEEN 0 AND 300 AS fresh FROM events")

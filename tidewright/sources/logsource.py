@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-#: Schemas of quotes, trades, ticks and pipeline definitions, as DDL.
+#: Schemas of quotes, trades, ticks and workflow definitions, as DDL.
 QUOTE = (
     "header struct<msg_type:string,msg_len:bigint,sequence:bigint,timestamp:bigint>, symbol string, bid_price double, ask_price double, "
     "bid_volume bigint, ask_volume bigint, timestamp bigint"
@@ -74,7 +74,7 @@ class _TickReader(DataSourceReader):
 
 
 def definitions(spark: SparkSession, documents: list[str]) -> DataFrame:
-    """Pipeline definitions from JSON texts, or YAML ones where a YAML reader is installed."""
+    """Workflow definitions from JSON texts, or YAML ones where a YAML reader is installed."""
     rows = []
     for text in documents:
         if text.lstrip().startswith("{"):

@@ -1,4 +1,4 @@
-"""Stores on Parquet: a sequenced event log, and versioned pipelines with their executions."""
+"""Stores on Parquet: a sequenced event log, and versioned workflows with their executions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import log, pipelines
+from tidewright.operators import log, workflows
 
 #: Sequences of one directory of a log, by which range scans are pruned.
 SEGMENT = 1_000_000
@@ -75,11 +75,11 @@ class EventLog:
         return self.rows().where((F.col("segment") >= last_recv // SEGMENT) & (F.col("seq") > last_recv)).orderBy("seq").drop("segment")
 
 
-class PipelineStore:
-    """Pipelines by name with numbered versions, and executions whose newest row counts. All tables only grow."""
+class WorkflowStore:
+    """Workflows by name with numbered versions, and executions whose newest row counts. All tables only grow."""
 
-    VERSION = "pipeline_id long, name string, description string, version int, config string, created_at timestamp"
-    EXECUTION = "id string, pipeline_id long, version int, trigger_type string, status string, created_at timestamp, updated_at timestamp, event_seq long"
+    VERSION = "workflow_id long, name string, description string, version int, config string, created_at timestamp"
+    EXECUTION = "id string, workflow_id long, version int, trigger_type string, status string, created_at timestamp, updated_at timestamp, event_seq long"
     TASK = "execution_id string, task_name string, status string, stdout string, stderr string, event_seq long"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -99,54 +99,54 @@ class PipelineStore:
         return self._table("version", self.VERSION)
 
     def latest(self) -> DataFrame:
-        """Each pipeline's latest version."""
-        rest = [c for c in self.versions().columns if c not in ("pipeline_id", "version")]
-        last = self.versions().groupBy("pipeline_id").agg(F.max("version").alias("version"), F.max_by(F.struct(*rest), "version").alias("r"))
-        return last.select("pipeline_id", "version", "r.*")
+        """Each workflow's latest version."""
+        rest = [c for c in self.versions().columns if c not in ("workflow_id", "version")]
+        last = self.versions().groupBy("workflow_id").agg(F.max("version").alias("version"), F.max_by(F.struct(*rest), "version").alias("r"))
+        return last.select("workflow_id", "version", "r.*")
 
     def create(self, name: str, description: str, config: str, now) -> int:
-        """Add a pipeline with version 0; a name that is there is an error."""
+        """Add a workflow with version 0; a name that is there is an error."""
         if not self.versions().where(F.col("name") == name).isEmpty():
-            raise ValueError(f"pipeline {name} exists")
-        number = (self.versions().agg(F.max("pipeline_id")).first()[0] or 0) + 1
+            raise ValueError(f"workflow {name} exists")
+        number = (self.versions().agg(F.max("workflow_id")).first()[0] or 0) + 1
         self._append("version", self.VERSION, (number, name, description, 0, config, now))
         return number
 
-    def update(self, pipeline_id: int, config: str, now) -> int:
-        """Add the next version of a pipeline; an unknown one is an error."""
-        last = self.latest().where(F.col("pipeline_id") == pipeline_id).first()
+    def update(self, workflow_id: int, config: str, now) -> int:
+        """Add the next version of a workflow; an unknown one is an error."""
+        last = self.latest().where(F.col("workflow_id") == workflow_id).first()
         if last is None:
-            raise KeyError(pipeline_id)
-        self._append("version", self.VERSION, (pipeline_id, last["name"], last["description"], last["version"] + 1, config, now))
+            raise KeyError(workflow_id)
+        self._append("version", self.VERSION, (workflow_id, last["name"], last["description"], last["version"] + 1, config, now))
         return last["version"] + 1
 
-    def trigger(self, pipeline_id: int, kind: str, execution_id: str, now) -> None:
+    def trigger(self, workflow_id: int, kind: str, execution_id: str, now) -> None:
         """Record a running execution of the latest version."""
-        last = self.latest().where(F.col("pipeline_id") == pipeline_id).first()
+        last = self.latest().where(F.col("workflow_id") == workflow_id).first()
         if last is None:
-            raise KeyError(pipeline_id)
-        self._append("execution", self.EXECUTION, (execution_id, pipeline_id, last["version"], kind, "running", now, now, 0))
+            raise KeyError(workflow_id)
+        self._append("execution", self.EXECUTION, (execution_id, workflow_id, last["version"], kind, "running", now, now, 0))
 
     def set_status(self, execution_id: str, status: str, event_seq: int, now) -> None:
         """Put an execution's status, keeping what else is known of it."""
         known = self.executions().where(F.col("id") == execution_id).first()
         if known is None:
             raise KeyError(execution_id)
-        self._append("execution", self.EXECUTION, (execution_id, known["pipeline_id"], known["version"], known["trigger_type"], status, known["created_at"], now, event_seq))
+        self._append("execution", self.EXECUTION, (execution_id, known["workflow_id"], known["version"], known["trigger_type"], status, known["created_at"], now, event_seq))
 
     def set_task(self, execution_id: str, task: str, status: str, event_seq: int, stdout: str = "", stderr: str = "") -> None:
         self._append("task", self.TASK, (execution_id, task, status, stdout, stderr, event_seq))
 
     def executions(self) -> DataFrame:
         rows = self._table("execution", self.EXECUTION)
-        return pipelines.upsert(rows, rows.limit(0), ["id"], "event_seq")
+        return workflows.upsert(rows, rows.limit(0), ["id"], "event_seq")
 
     def history(self, now) -> DataFrame:
         """Executions of the last 90 days with start and end, running ones first."""
-        return pipelines.times(pipelines.history(self.executions(), F.lit(now)))
+        return workflows.times(workflows.history(self.executions(), F.lit(now)))
 
     def detail(self, execution_id: str) -> DataFrame:
         """An execution's configuration and its tasks' latest status."""
         own = self.executions().where(F.col("id") == execution_id)
-        config = own.join(self.versions().select("pipeline_id", "version", "config"), ["pipeline_id", "version"])
-        return pipelines.detail(config, pipelines.latest_status(self._table("task", self.TASK).where(F.col("execution_id") == execution_id)))
+        config = own.join(self.versions().select("workflow_id", "version", "config"), ["workflow_id", "version"])
+        return workflows.detail(config, workflows.latest_status(self._table("task", self.TASK).where(F.col("execution_id") == execution_id)))
