@@ -146,19 +146,18 @@ def rle_decode(blob: bytes) -> bytes:
     return np.repeat(np.frombuffer(blob, np.uint8, n, 4), unvarint(blob[4 + n :]).astype(np.int64)).tobytes()
 
 
-SHORTEST, LONGEST, ENTRIES = 3, 16, 65_536
+SHORTEST, LONGEST = 3, 16
 
 
 def dictionary_encode(data: bytes) -> bytes:
     """Greedy longest matches of recurring n-grams: literals and references are told apart by a count before each.
 
-    An n-gram enters the dictionary if it recurs more than twice and pays for itself.
+    N-grams are counted at every place; one enters the dictionary if it recurs more than twice and pays for itself.
     """
     words: list[bytes] = []
     for n in range(LONGEST, SHORTEST - 1, -1):
-        found = Counter(data[i : i + n] for i in range(0, len(data) - n + 1, n))
+        found = Counter(data[i : i + n] for i in range(len(data) - n + 1))
         words += [w for w, c in found.items() if c > 2 and c * n > n + 4]
-    words = words[:ENTRIES]
     number = {w: i for i, w in enumerate(words)}
     lengths = sorted({len(w) for w in words}, reverse=True)
     used: dict[int, int] = {}

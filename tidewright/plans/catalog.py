@@ -8,9 +8,12 @@ lost rows are set by a rule on ids, as part of what the query simulates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import bytes as B
 from tidewright.functions import scalar
 from tidewright.operators import codecs, dag, extensions, log, workflows, sessions, snapshots, ticks, triggers
 from tidewright.registry import Registry
@@ -810,41 +813,78 @@ def _top8_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ngram_dictionary",
-    """WITH g AS (SELECT substr(name, CAST(i AS BIGINT), 4) AS gram FROM (SELECT c_name AS name, unnest(generate_series(1, length(c_name) - 3)) AS i FROM customer))
+    """WITH g AS (SELECT substr(text, CAST(i AS BIGINT), 4) AS gram FROM (SELECT text, unnest(generate_series(1, length(text) - 3)) AS i FROM documents))
     SELECT gram, count(*) AS freq FROM g GROUP BY gram HAVING count(*) > 2""",
 )
 def _ngram_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codecs.ngrams(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS text"), 4)
+    return codecs.ngrams(table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text"), 4)
 
 
 @query(
-    "kv_codec_auto",
-    """SELECT doc_id, CASE WHEN octet_length(encode(text)) < 100 THEN 'none' WHEN octet_length(encode(text)) < 1024 THEN 'snappy'
-      WHEN octet_length(encode(text)) < 10240 THEN 'lz4' ELSE 'by_content' END AS codec FROM documents""",
+    "ngram_spectrum",
+    """WITH g AS (SELECT n, substr(name, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS gram FROM (
+        SELECT p_name AS name, n, unnest(generate_series(1, length(p_name) - n + 1)) AS i FROM part, generate_series(3, 16) t(n)))
+    SELECT CAST(n AS INTEGER) AS n, gram, count(*) AS freq FROM g GROUP BY ALL HAVING count(*) > 2""",
 )
+def _ngram_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-grams of every dictionary length, 3 to 16, at every place."""
+    names = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS text")
+    each = [codecs.ngrams(names, n).select(F.lit(n).alias("n"), "gram", "freq") for n in range(3, 17)]
+    return reduce(DataFrame.union, each)
+
+
+_HEX = "hex(encode(text))"
+_BYTE = "(strpos('0123456789ABCDEF', substr(h, {at}, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, {at} + 1, 1)) - 1"
+_FEATURES = f"""b AS (SELECT doc_id, {_HEX} AS h, octet_length(encode(text)) AS size FROM documents),
+    places AS (SELECT doc_id, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS one, CASE WHEN i + 4 <= least(size, 1000) THEN substr(h, CAST(2 * i + 1 AS BIGINT), 8) END AS four
+        FROM (SELECT *, unnest(generate_series(0, least(size, 1000) - 1)) AS i FROM b)),
+    ones AS (SELECT doc_id, max(n) AS byte_count FROM (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id, one) GROUP BY 1),
+    fours AS (SELECT doc_id, max(n) AS gram_count FROM (SELECT doc_id, count(*) AS n FROM places WHERE four IS NOT NULL GROUP BY doc_id, four) GROUP BY 1),
+    items AS (SELECT doc_id, h, unnest(generate_series(0, 12)) AS k FROM b WHERE size >= 104),
+    numbers AS (SELECT doc_id, {" + ".join(f"CAST({_BYTE.format(at=f'CAST(16 * k + {2 * j + 1} AS BIGINT)')} AS HUGEINT) * {256**j}::HUGEINT" for j in range(8))} AS v FROM items),
+    series AS (SELECT doc_id, bool_and(abs(CASE WHEN v >= {2**63}::HUGEINT THEN v - {2**64}::HUGEINT ELSE v END) <= {10**15}) AS series FROM numbers GROUP BY 1),
+    f AS (SELECT doc_id, CAST(size AS BIGINT) AS size, coalesce(series, false) AS series, coalesce(byte_count, 0) AS byte_count, coalesce(gram_count, 0) AS gram_count
+        FROM b LEFT JOIN ones USING (doc_id) LEFT JOIN fours USING (doc_id) LEFT JOIN series USING (doc_id)),
+    chosen AS (SELECT *, CASE WHEN size < 100 THEN 'none' WHEN size < 1024 THEN 'snappy' WHEN size < 10240 THEN 'lz4' WHEN byte_count > 800 THEN 'rle'
+        WHEN series THEN 'delta' WHEN gram_count > 10 THEN 'dictionary' WHEN byte_count > 500 THEN 'rle' ELSE 'zstd' END AS codec FROM f)"""
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "UTF-8").alias("value"))
+    shape = codecs.features(blobs)
+    return shape.withColumn("codec", codecs.choose(*map(F.col, ("size", "series", "byte_count", "gram_count"))))
+
+
+@query("kv_codec_auto", f"WITH {_FEATURES} SELECT doc_id, codec FROM chosen")
 def _kv_codec_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", codecs.choose_by_size(F.octet_length("text")).alias("codec"))
+    """The codec of each blob by its size and content."""
+    return _chosen(spark, sf_dir).select(F.col("key").cast("long").alias("doc_id"), "codec")
+
+
+@query("codec_features", f"WITH {_FEATURES} SELECT CAST(doc_id AS VARCHAR) AS key, size, series, byte_count, gram_count, codec FROM chosen")
+def _codec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chosen(spark, sf_dir).drop("value")
 
 
 @query(
     "kv_stats",
-    """WITH m AS (SELECT octet_length(encode(text)) AS o, n_chars AS c, CASE WHEN octet_length(encode(text)) < 100 THEN 'none'
-      WHEN octet_length(encode(text)) < 1024 THEN 'snappy' WHEN octet_length(encode(text)) < 10240 THEN 'lz4' ELSE 'by_content' END AS codec FROM documents)
+    f"""WITH b AS (SELECT doc_id, {_HEX} AS h, octet_length(encode(text)) AS size FROM documents),
+    places AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS one FROM (SELECT *, unnest(generate_series(0, size - 1)) AS i FROM b)),
+    starts AS (SELECT doc_id, i FROM (SELECT *, lag(one) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM places) WHERE p IS NULL OR p <> one),
+    runs AS (SELECT doc_id, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), size) - i AS n FROM starts JOIN b USING (doc_id)),
+    rle AS (SELECT doc_id, sum(1 + ceil(length(ltrim(bin(n), '0')) / 7.0)) AS packed FROM runs GROUP BY 1),
+    m AS (SELECT size AS o, CASE WHEN doc_id % 2 = 0 THEN 4 + coalesce(packed, 0) ELSE size END AS c, CASE WHEN doc_id % 2 = 0 THEN 'rle' ELSE 'none' END AS codec
+        FROM b LEFT JOIN rle USING (doc_id))
     SELECT codec, count(*) AS puts, CAST(sum(o) AS BIGINT) AS original, CAST(sum(c) AS BIGINT) AS compressed, round(coalesce(sum(o) / nullif(sum(c), 0), 1.0), 6) AS ratio FROM m GROUP BY codec""",
 )
 def _kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    meta = docs.select(codecs.choose_by_size(F.octet_length("text")).alias("codec"), F.octet_length("text").cast("long").alias("original_size"), F.col("n_chars").alias("compressed_size"))
+    """Half the texts are stored as they are, half as runs: the sizes are those of the encoded blobs."""
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "rle").otherwise("none").alias("codec"), F.encode("text", "UTF-8").alias("value"))
+    sizes = docs.withColumn("blob", B.encode(F.col("codec"), F.col("value")))
+    meta = sizes.select("codec", F.octet_length("value").cast("long").alias("original_size"), F.octet_length("blob").cast("long").alias("compressed_size"))
     return codecs.statistics(meta).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("codec_features")
-def _codec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "UTF-8").alias("value"))
-    shape = codecs.features(blobs)
-    return shape.withColumn("codec", codecs.choose(*map(F.col, ("size", "series", "byte_count", "gram_count")))).drop("value")
-
-
 @query("codec_matrix")
 def _codec_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All codecs over two shapes of the part table: sizes as runs of bytes, names as text."""
