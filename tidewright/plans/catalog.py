@@ -17,7 +17,8 @@ from tidewright.functions import bytes as B
 from tidewright.functions import scalar
 from tidewright.operators import codecs, dag, extensions, log, workflows, sessions, snapshots, ticks, triggers
 from tidewright.registry import Registry
-from tidewright.session import table
+from tidewright.session import scratch_folder, table
+from tidewright.sources.stores import EventLog
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -140,6 +141,14 @@ def _log_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.recover(_log(spark, sf_dir))
 
 
+@query("published_log", "SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, event_id, event_type, props FROM events")
+def _published_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events published to a new log and read back."""
+    store = EventLog(spark, scratch_folder(spark), "ts timestamp_ntz, event_id long, event_type string, props string")
+    store.publish(_events(spark, sf_dir).select("ts", "event_id", "event_type", "props"), "ts", "event_id")
+    return store.rows().select("seq", "event_id", "event_type", "props")
+
+
 @query("seq_assign", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq FROM events")
 def _seq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.assign(_events(spark, sf_dir), "event_type", "ts", "event_id").select("event_id", "event_type", "seq")
