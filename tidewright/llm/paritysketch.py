@@ -339,9 +339,9 @@ def _pieced(members: DataFrame, pieces: Column) -> DataFrame:
 
 def near_members(groups: DataFrame, leads: DataFrame) -> DataFrame:
     """(head, class) of the members of groups that sizes and sketches do not rule out as a partner of some other."""
-    sizes = groups.groupBy("head").agg(F.count("*").alias("size")).where("size > 1")
-    members = groups.join(sizes, "head").join(leads, "class")
-    members = _pieced(members, F.ceil(F.col("size") / BLOCK).cast("int"))
+    sizes = checkpoint(groups.groupBy("head").agg(F.count("*").alias("copies")).where("copies > 1"))
+    members = attach(groups, sizes, "head", groups.count()).join(leads, "class")
+    members = _pieced(members, F.ceil(F.col("copies") / BLOCK).cast("int"))
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
         n, piece, name = (group[k].to_numpy() for k in ("n", "piece", "class"))
@@ -386,10 +386,10 @@ def intersections(sets: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
 
 def spanning_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of classes that join the members (head, class) of a group as all of its links do, from whole sets."""
-    members = members.join(sets, "class")
-    sizes = members.groupBy("head").agg(F.count("*").alias("size"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    members = members.join(sizes, "head")
-    members = _pieced(members, F.ceil(F.greatest(F.col("size") / PIECE, F.col("bytes") / PIECE_BYTES)).cast("int"))
+    lengths = members.join(sets.select("class", F.octet_length("shingles").alias("length")), "class")
+    sizes = checkpoint(lengths.groupBy("head").agg(F.count("*").alias("copies"), F.sum("length").alias("bytes")))
+    members = attach(members, sizes, "head", members.count()).join(sets, "class")
+    members = _pieced(members, F.ceil(F.greatest(F.col("copies") / PIECE, F.col("bytes") / PIECE_BYTES)).cast("int"))
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
         name, piece = group["class"].to_numpy(), group["piece"].to_numpy()
