@@ -19,8 +19,10 @@ def key_sequence(key: Column) -> Column:
 
 
 def swap_bytes(value: Column, width: int) -> Column:
-    """A number of ``width`` bytes read in the other byte order."""
-    return F.conv(F.substring(F.hex(F.reverse(F.unhex(F.lpad(F.hex(value), 2 * width, "0")))), 1, 2 * width), 16, 10).cast("long")
+    """A number of ``width`` bytes read in the other byte order; one of eight bytes is signed."""
+    digits = F.lpad(F.hex(value), 2 * width, "0")
+    swapped = F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(width, 0, -1)])
+    return F.conv(swapped, 16, -10 if width == 8 else 10).cast("long")
 
 
 def command_key(checksum: Column, ack: Column, command_hash: Column) -> Column:

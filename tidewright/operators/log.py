@@ -188,3 +188,27 @@ def throughput(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("seconds")
     )
     return out.withColumn("per_second", F.col("n") / F.nullif(F.col("seconds"), F.lit(0.0)))
+
+
+def counters(audit: DataFrame) -> DataFrame:
+    """Per channel: arrivals in order, beyond a gap, and stale ones that are discarded; sequences that the gaps skipped."""
+    kind = lambda name: F.count_if(F.col("verdict") == name)
+    skipped = F.coalesce(F.sum(F.col("nack_end") - F.col("nack_start") + 1), F.lit(0).cast("long"))
+    return audit.groupBy("channel").agg(
+        kind("in_order").alias("ordered"), kind("gap").alias("after_gap"), kind("stale").alias("stale"), skipped.alias("dropped")
+    )
+
+
+def heartbeats(rows: DataFrame, every_s: int = 5) -> DataFrame:
+    """The heartbeats of each channel (channel, ts, seq): one every ``every_s`` seconds of the epoch from its first message
+    on to its last, with the newest sequence up to then.
+
+    Only the slots that hold messages are ordered within a channel; those between are spread out afterwards.
+    """
+    width = every_s * 1_000_000
+    at = F.expr(f"(unix_micros(cast(ts AS timestamp)) + {width - 1}) div {width}")
+    slots = rows.groupBy("channel", at.alias("slot")).agg(F.max("seq").alias("seq"))
+    order = Window.partitionBy("channel").orderBy("slot")
+    held = slots.select("channel", "slot", F.max("seq").over(order).alias("newest_seq"), F.coalesce(F.lead("slot").over(order) - 1, "slot").alias("last"))
+    spread = held.select("channel", F.explode(F.sequence("slot", "last")).alias("slot"), "newest_seq")
+    return spread.select("channel", (F.col("slot") * every_s).alias("at_s"), "newest_seq")

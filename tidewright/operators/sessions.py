@@ -132,3 +132,40 @@ def regroup_due(channels: DataFrame, threshold: int = THRESHOLD, nacks: int = 5,
         .when(F.col("nack_count") > nacks, "repairs").when(F.col("since_s") >= every_s, "interval").when(F.col("span") > 2 * threshold, "spread")
     )
     return channels.select("channel", reason.alias("reason"), reason.isNotNull().alias("due"))
+
+
+def login(subscribers: DataFrame, tries: int = 10, pause_ms: int = 100) -> DataFrame:
+    """How each subscriber (subscriber, last_recv, answers_ms) gets in: it asks for an answer ``tries`` times, ``pause_ms``
+    apart, and the publisher answers from ``answers_ms`` on; null never.
+
+    (subscriber, tries, connected, expected_seq): the tries made, and the sequence that is expected once connected.
+    """
+    needed = F.greatest(F.ceil(F.col("answers_ms") / pause_ms), F.lit(0).cast("long")) + 1
+    connected = F.coalesce(needed <= tries, F.lit(False))
+    return subscribers.select(
+        "subscriber", F.when(connected, needed).otherwise(F.lit(tries).cast("long")).alias("tries"), connected.alias("connected"),
+        F.when(connected, F.coalesce("last_recv", F.lit(0).cast("long")) + 1).alias("expected_seq"),
+    )
+
+
+def directory(beats: DataFrame, now: Column, limit: str) -> DataFrame:
+    """The servers (server, address, last_seen) that a directory lists at ``now``: those whose last beat (server, address,
+    at) is not older than ``limit``, at the address of that beat; of several at one time the greatest."""
+    last = beats.groupBy("server").agg(F.max(F.struct("at", "address")).alias("b"))
+    return last.select("server", F.col("b.address").alias("address"), F.col("b.at").alias("last_seen")).where(F.col("last_seen") >= now - F.expr(limit))
+
+
+def download(clients: DataFrame, window: int = 8, limit_ms: int = 1000) -> DataFrame:
+    """The blocks each client (client, acked, sent, blocks, silent_ms) is sent next, from 1 to ``blocks``.
+
+    Up to ``window`` blocks lie between the last acknowledged and the last sent one. At the end of the window the sender
+    waits; once that took longer than ``limit_ms`` it starts again after the last acknowledged block.
+    """
+    end = F.least(F.col("blocks"), F.col("acked") + window)
+    waits = F.col("sent") >= end
+    rewound = waits & (F.col("acked") < F.col("blocks")) & (F.col("silent_ms") > limit_ms)
+    first = F.when(rewound, F.col("acked") + 1).when(~waits, F.col("sent") + 1)
+    return clients.select(
+        "client", rewound.alias("rewound"), first.alias("from_block"), F.when(first.isNotNull(), end).alias("to_block"),
+        (F.col("acked") >= F.col("blocks")).alias("done"),
+    )

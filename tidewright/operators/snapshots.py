@@ -117,3 +117,27 @@ def resend_state(clients: DataFrame) -> DataFrame:
     """Clients (client, ack, state_msg, active) that must get the whole state again: they acknowledge a message beyond
     the one that carried it, and still are not active."""
     return clients.withColumn("resend", (F.col("ack") > F.col("state_msg")) & ~F.col("active"))
+
+
+def message_queue(sends: DataFrame, piece_ms: int, size: int = FRAGMENT) -> DataFrame:
+    """When each message (client, seq, at_ms, bytes) starts and has left, one piece each ``piece_ms`` milliseconds.
+
+    No piece of a message goes before all of the one ahead have gone: until then it is queued as it is. As in
+    ``rate_shape``, two running windows.
+    """
+    order = Window.partitionBy("client").orderBy("seq")
+    pieces = F.floor(F.col("bytes") / size) + 1
+    ahead = F.coalesce(F.sum(pieces * piece_ms).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = sends.withColumn("__pieces", pieces).withColumn("__ahead", ahead)
+    start = F.col("__ahead") + F.max(F.col("at_ms") - F.col("__ahead")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    timed = placed.withColumn("starts_ms", start)
+    return timed.select(
+        "client", "seq", F.col("__pieces").alias("pieces"), (F.col("starts_ms") > F.col("at_ms")).alias("queued"), "starts_ms",
+        (F.col("starts_ms") + F.col("__pieces") * piece_ms).alias("left_ms"),
+    )
+
+
+def signed_fields(values: DataFrame, bits: int) -> DataFrame:
+    """(id, field, overflow) of each (id, value): the value as a field of ``bits`` bits holds it, and whether it lost some."""
+    held = sign_extend(F.col("value"), bits)
+    return values.select("id", held.alias("field"), (held != F.col("value")).alias("overflow"))

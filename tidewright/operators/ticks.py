@@ -61,6 +61,11 @@ def discovery(ticks: DataFrame) -> DataFrame:
     return keys.groupBy("day").agg(F.count("*").alias("streams"), F.min("skey").alias("first_key"), F.max("skey").alias("last_key"))
 
 
+def first_rows(ticks: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of the merged streams: each task keeps its own first ``n``, so nothing is sorted whole."""
+    return ticks.orderBy("ts", "skey", "seq").limit(n)
+
+
 class OrderReader:
     """One-by-one reading of merged streams, with reset. The merge runs in Spark; rows come partition by partition."""
 

@@ -43,3 +43,12 @@ def bearer_token(header: Column) -> Column:
     """The token of an ``Authorization: Bearer`` header, else null."""
     parts = F.split(F.trim(header), r"\s+")
     return F.when((F.size(parts) == 2) & (parts[0] == "Bearer"), parts[1])
+
+
+def token_state(requests: DataFrame, now: Column, renew_s: int = 3600) -> DataFrame:
+    """The state of each request (id, header, expires_at) at ``now``, in epoch seconds: ``missing`` without a bearer token,
+    ``expired``, ``renewed`` where the token ends within ``renew_s`` seconds, else ``valid``; a token without an end is expired."""
+    token = bearer_token(F.col("header"))
+    live = F.coalesce(F.col("expires_at") >= now, F.lit(False))
+    state = F.when(token.isNull(), "missing").when(~live, "expired").when(F.col("expires_at") < now + renew_s, "renewed").otherwise("valid")
+    return requests.select("id", token.alias("token"), state.alias("state"))

@@ -126,3 +126,8 @@ def report(rows: DataFrame) -> DataFrame:
 def brief(workflows: DataFrame) -> DataFrame:
     """Workflows as listed: id, name, description and latest version."""
     return workflows.select("id", "name", "description", "latest_version")
+
+
+def status_events(updates: DataFrame) -> DataFrame:
+    """Updates as the JSON texts (``value``) in which they are queued: one object of all columns; nulls are left out."""
+    return updates.select(F.to_json(F.struct(*updates.columns)).alias("value"))

@@ -18,7 +18,9 @@ from tidewright.functions import scalar
 from tidewright.operators import codecs, dag, extensions, log, workflows, sessions, snapshots, ticks, triggers
 from tidewright.registry import Registry
 from tidewright.session import scratch_folder, table
+from tidewright.sources.kvstore import KeyValueStore
 from tidewright.sources.stores import EventLog
+from tidewright.streaming import stateful
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -1027,6 +1029,176 @@ def _matrix_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.matrix_fill(spark, 100, 7).selectExpr("i", "array_join(transform(row, x -> cast(x AS string)), ',') AS row")
 
 
+# ---------------------------------------------------------------- counters, logins, downloads, tokens
+
+
+@query(
+    "sequence_counters",
+    f"""WITH {_AUDIT} SELECT channel, count(*) FILTER (verdict = 'in_order') AS ordered, count(*) FILTER (verdict = 'gap') AS after_gap,
+      count(*) FILTER (verdict = 'stale') AS stale, CAST(coalesce(sum(nack_end - nack_start + 1), 0) AS BIGINT) AS dropped FROM audit GROUP BY channel""",
+)
+def _sequence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.counters(log.sequence_audit(arrivals(spark, sf_dir)))
+
+
+@query(
+    "heartbeats",
+    """WITH s AS (SELECT event_type AS channel, (epoch_us(ts) + 59999999) // 60000000 AS slot, max(event_id + 1) AS seq FROM events GROUP BY 1, 2),
+    h AS (SELECT channel, slot, max(seq) OVER w AS newest_seq, coalesce(lead(slot) OVER w - 1, slot) AS last FROM s WINDOW w AS (PARTITION BY channel ORDER BY slot))
+    SELECT channel, unnest(generate_series(slot, last)) * 60 AS at_s, newest_seq FROM h""",
+)
+def _heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.heartbeats(_events(spark, sf_dir).selectExpr("event_type AS channel", "ts", "event_id + 1 AS seq"), 60)
+
+
+@query(
+    "login_tries",
+    """WITH c AS (SELECT c_custkey AS subscriber, c_custkey * 37 % 1500 AS ms, c_custkey % 500 AS last_recv FROM customer),
+    t AS (SELECT *, (ms + 99) // 100 + 1 AS needed FROM c)
+    SELECT subscriber, least(needed, 10) AS tries, needed <= 10 AS connected, CASE WHEN needed <= 10 THEN last_recv + 1 END AS expected_seq FROM t""",
+)
+def _login_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.login(table(spark, sf_dir, "customer").selectExpr("c_custkey AS subscriber", "c_custkey * 37 % 1500 AS answers_ms", "c_custkey % 500 AS last_recv"))
+
+
+@query(
+    "server_directory",
+    """WITH b AS (SELECT user_id AS server, ts, '10.' || user_id % 256 || '.' || event_id % 4 || '.1' AS address FROM events),
+    l AS (SELECT server, max(ts) AS last_seen FROM b GROUP BY server)
+    SELECT l.server, max(b.address) AS address, l.last_seen FROM l JOIN b ON b.server = l.server AND b.ts = l.last_seen
+    WHERE l.last_seen >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR GROUP BY l.server, l.last_seen""",
+)
+def _server_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats = _events(spark, sf_dir).selectExpr("user_id AS server", "concat('10.', user_id % 256, '.', event_id % 4, '.1') AS address", "ts AS at")
+    return sessions.directory(beats, F.expr("TIMESTAMP_NTZ '2024-01-30 12:00:00'"), "INTERVAL 6 HOURS")
+
+
+@query(
+    "block_download",
+    """WITH c AS (SELECT event_id AS client, event_id % 41 AS acked, least(40, event_id % 41 + user_id % 9) AS sent, 40 AS blocks, event_id * 7919 % 2000 AS silent_ms FROM events),
+    w AS (SELECT *, least(blocks, acked + 8) AS tail FROM c), r AS (SELECT *, sent >= tail AND acked < blocks AND silent_ms > 1000 AS rewound FROM w),
+    f AS (SELECT *, CASE WHEN rewound THEN acked + 1 WHEN sent < tail THEN sent + 1 END AS from_block FROM r)
+    SELECT client, rewound, from_block, CASE WHEN from_block IS NOT NULL THEN tail END AS to_block, acked >= blocks AS done FROM f""",
+)
+def _block_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.download(_events(spark, sf_dir).selectExpr(
+        "event_id AS client", "event_id % 41 AS acked", "least(40, event_id % 41 + user_id % 9) AS sent", "40L AS blocks", "event_id * 7919 % 2000 AS silent_ms"
+    ))
+
+
+@query(
+    "message_queue",
+    """WITH RECURSIVE o AS (SELECT user_id AS client, event_id AS seq, epoch_us(ts) // 1000 AS at_ms, (event_id * 7919 % 90000) // 1300 + 1 AS pieces,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    s AS (
+      SELECT client, seq, i, pieces, at_ms, at_ms AS starts_ms FROM o WHERE i = 1
+      UNION ALL
+      SELECT o.client, o.seq, o.i, o.pieces, o.at_ms, greatest(o.at_ms, s.starts_ms + s.pieces * 20000) FROM s JOIN o ON o.client = s.client AND o.i = s.i + 1
+    ) SELECT client, seq, pieces, starts_ms > at_ms AS queued, starts_ms, starts_ms + pieces * 20000 AS left_ms FROM s""",
+)
+def _message_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sends = _events(spark, sf_dir).selectExpr("user_id AS client", "event_id AS seq", "unix_millis(cast(ts AS timestamp)) AS at_ms", "event_id * 7919 % 90000 AS bytes")
+    return snapshots.message_queue(sends, 20_000)
+
+
+@query(
+    "token_states",
+    """WITH r AS (SELECT event_id AS id, event_id % 5 AS kind, 't' || user_id AS t, 1700000000 + event_id * 7919 % 20000 - 8000 AS expires_at FROM events)
+    SELECT id, CASE WHEN kind > 1 THEN t END AS token, CASE WHEN kind <= 1 THEN 'missing' WHEN expires_at < 1700000000 THEN 'expired'
+      WHEN expires_at < 1700003600 THEN 'renewed' ELSE 'valid' END AS state FROM r""",
+)
+def _token_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('Basic t', user_id) WHEN 2 THEN concat(' Bearer  t', user_id, ' ') ELSE concat('Bearer t', user_id) END AS header"
+    rows = _events(spark, sf_dir).selectExpr("event_id AS id", header, "1700000000 + event_id * 7919 % 20000 - 8000 AS expires_at")
+    return triggers.token_state(rows, F.lit(1_700_000_000))
+
+
+@query(
+    "first_rows",
+    "SELECT user_id AS skey, ts, event_id + 1 AS seq, value AS price, event_type AS side FROM events ORDER BY ts, skey, seq LIMIT 1000",
+)
+def _first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks.first_rows(_ticks(spark, sf_dir), 1000)
+
+
+@query(
+    "byte_order",
+    """WITH v AS (SELECT event_id AS id, event_id % 65536 AS h, event_id * 7919 % 4294967296 AS w, event_id AS q FROM events),
+    b AS (SELECT id, h % 256 * 256 + h // 256 AS swap16, w % 256 * 16777216 + w // 256 % 256 * 65536 + w // 65536 % 256 * 256 + w // 16777216 AS swap32,
+      CAST(q % 256 AS HUGEINT) * 72057594037927936 + q // 256 % 256 * 281474976710656 + q // 65536 % 256 * 1099511627776 + q // 16777216 % 256 * 4294967296 AS u FROM v)
+    SELECT id, swap16, swap32, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS swap64 FROM b""",
+)
+def _byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).selectExpr("event_id AS id", "event_id % 65536 AS h", "event_id * 7919 % 4294967296 AS w")
+    return rows.select(
+        "id", scalar.swap_bytes(F.col("h"), 2).alias("swap16"), scalar.swap_bytes(F.col("w"), 4).alias("swap32"), scalar.swap_bytes(F.col("id"), 8).alias("swap64")
+    )
+
+
+@query(
+    "signed_fields",
+    """WITH v AS (SELECT event_id AS id, event_id * 7919 % 4096 - 2048 AS v FROM events), f AS (SELECT *, ((v % 1024) + 1024) % 1024 AS m FROM v)
+    SELECT id, CASE WHEN m >= 512 THEN m - 1024 ELSE m END AS field, v NOT BETWEEN -512 AND 511 AS overflow FROM f""",
+)
+def _signed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.signed_fields(_events(spark, sf_dir).selectExpr("event_id AS id", "event_id * 7919 % 4096 - 2048 AS value"), 10)
+
+
+@query("latest_state", "SELECT user_id AS entity, arg_max(event_type || ':' || event_id, event_id) AS state, max(event_id) AS seq FROM events GROUP BY 1")
+def _latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.latest_state(_events(spark, sf_dir).selectExpr("user_id AS entity", "concat(event_type, ':', event_id) AS state", "event_id AS seq"))
+
+
+# ---------------------------------------------------------------- stores and streams
+
+
+@query(
+    "kv_roundtrip",
+    """SELECT 'doc/' || doc_id || '.txt' AS key, 'doc_' || doc_id || '.txt' AS filename, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS version, true AS intact,
+      sha256(CASE WHEN doc_id % 7 = 0 THEN 'second ' ELSE '' END || coalesce(text, '')) AS digest FROM documents""",
+)
+def _kv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents put into a new store, a seventh of them a second time, and read back."""
+    store = KeyValueStore(spark, scratch_folder(spark))
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('doc/', doc_id, '.txt') AS key", "coalesce(text, '') AS text")
+    store.put(docs.select("key", F.encode("text", "UTF-8").alias("value")), 1)
+    again = docs.where("doc_id % 7 = 0").select("key", F.encode(F.concat(F.lit("second "), "text"), "UTF-8").alias("value"))
+    store.put(again, 2)
+    return store.values().select("key", "intact", F.sha2("value", 256).alias("digest")).join(store.metadata().select("key", "filename", "version"), "key")
+
+
+@query(
+    "streamed_status",
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS execution_id, concat_ws('-', 'task', l_linenumber, l_partkey, l_suppkey) AS task_name,
+      max({_STATUS}) AS status, 2::BIGINT AS event_seq FROM lineitem GROUP BY 1, 2""",
+)
+def _streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two events of each task queued as JSON, streamed in, and the last of each kept."""
+    folder = scratch_folder(spark)
+    last = _tasks(spark, sf_dir).groupBy("execution_id", "task_name").agg(F.max("status").alias("status")).withColumn("event_seq", F.lit(2))
+    both = last.union(last.withColumn("status", F.lit("running")).withColumn("event_seq", F.lit(1)))
+    workflows.status_events(both).write.text(f"{folder}/queue")
+    events = stateful.parse_status(spark.readStream.option("maxFilesPerTrigger", 8).text(f"{folder}/queue"))
+    stateful.upsert_status(events, f"{folder}/status", f"{folder}/progress").awaitTermination()
+    kept = spark.read.parquet(f"{folder}/status")
+    return kept.where(F.col("version") == kept.agg(F.max("version")).first()[0]).drop("version")
+
+
+@query(
+    "streamed_windows",
+    """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 HOUR""",
+)
+def _streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of the events as a stream: the windows that its watermark closed."""
+    folder = scratch_folder(spark)
+    kind = _events(spark, sf_dir).schema
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stateful.windowed(stream, "1 hour", "2 hours")
+    counts.writeStream.format("parquet").option("path", f"{folder}/counts").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # ---------------------------------------------------------------- extensions
 
 

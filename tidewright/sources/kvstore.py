@@ -57,8 +57,14 @@ class KeyValueStore:
         """(key, value, intact) of the keys that are there; ``intact`` tells whether the checksum holds."""
         number = F.array(*[bucket_of(F.lit(k)) for k in keys])
         buckets = [x for (x,) in self.spark.range(1).select(F.explode(number)).distinct().collect()]
-        found = self._newest(self._rows().where(F.col("bucket").isin(buckets) & F.col("key").isin(list(keys))))
-        value = found.withColumn("value", B.decode(F.col("codec"), F.col("blob")))
+        return self._opened(self._rows().where(F.col("bucket").isin(buckets) & F.col("key").isin(list(keys))))
+
+    def values(self) -> DataFrame:
+        """(key, value, intact) of all keys."""
+        return self._opened(self._rows())
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        value = self._newest(rows).withColumn("value", B.decode(F.col("codec"), F.col("blob")))
         return value.select("key", "value", (B.checksum(F.col("value")) == F.col("checksum")).alias("intact"))
 
     def list_keys(self, prefix: str = "") -> DataFrame:
