@@ -27,8 +27,8 @@ from tidewright.llm.columns import with_arrow_columns
 NO_PAIR = np.iinfo(np.int64).max
 #: Bytes from which a pretoken gets a tree of its own.
 LONG = 64
-#: Pretokens of a cache generation; the cache has two.
-CACHE = 50_000
+#: Pretokens of a cache generation, and bytes that they may have in all; the cache has two.
+CACHE, CACHE_BYTES = 250_000, 32 << 20
 #: Distinct pretokens merged at a time.
 BLOCK = 16_384
 #: The pretoken pattern of byte-level BPE (fixed value); white space by the Unicode property.
@@ -174,12 +174,14 @@ class ByteBPE:
         #: Ids of known pretokens, joined by commas, and the bytes that these ids decode to.
         self.cache: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
 
     def _keep(self, pretokens: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
         """Cache the ids of pretokens, ``counts`` of ``flat`` each, and what they decode to."""
         names, size = list(map(self.text_of.__getitem__, flat.tolist())), self.piece_size[flat]
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.piece_start[flat], size)
         decoded, ends = self.piece_bytes[place].tobytes(), np.concatenate([[0], np.cumsum(size)])
+        self.held += len(decoded)
         last = np.cumsum(counts)
         at = zip((last - counts).tolist(), last.tolist(), ends[last - counts].tolist(), ends[last].tolist(), strict=True)
         for p, (i, j, start, end) in zip(pretokens, at, strict=True):
@@ -199,8 +201,8 @@ class ByteBPE:
 
         A full cache becomes the older one, from which pretokens that come up again are taken back.
         """
-        if len(self.cache) > CACHE:
-            self.older, self.cache = self.cache, {}
+        if len(self.cache) > CACHE or self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
         new = []
         for p in pretokens:
             if p not in self.cache:
@@ -209,6 +211,7 @@ class ByteBPE:
                     new.append(p)
                 else:
                     self.cache[p] = known
+                    self.held += len(known[1])
         raw = [p.encode() for p in new]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         for k in np.flatnonzero((size > LONG) | np.array([p in self.special for p in new], bool)).tolist():
@@ -236,7 +239,7 @@ class ByteBPE:
         """
         for k in range(0, len(texts), 256):
             split = [self.pretokenize(t) if t else [] for t in texts[k : k + 256]]
-            self.learn({p for s in split for p in s})
+            self.learn(set().union(*split))
             for s in split:
                 made = list(map(self.cache.__getitem__, s))
                 ids = ",".join([i for i, _ in made])
