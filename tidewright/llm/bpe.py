@@ -28,7 +28,7 @@ NO_PAIR = np.iinfo(np.int64).max
 #: Bytes from which a pretoken gets a tree of its own.
 LONG = 64
 #: Pretokens of a cache generation, and bytes that they may have in all; the cache has two.
-CACHE, CACHE_BYTES = 250_000, 32 << 20
+CACHE, CACHE_BYTES = 120_000, 16 << 20
 #: Distinct pretokens merged at a time.
 BLOCK = 16_384
 #: The pretoken pattern of byte-level BPE (fixed value); white space by the Unicode property.
