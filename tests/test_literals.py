@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.functions import bytes as B
+from tidewright.functions import scalar
 from tidewright.operators import codecs, dag, log, workflows, sessions, snapshots, ticks, triggers
 from tidewright.sources.kvstore import KeyValueStore
 from tidewright.sources.logsource import QUOTE, TickGenerator, definitions
@@ -339,3 +340,39 @@ def test_windows_and_spells(spark, tmp_path):
     assert len(run(stateful.distinct_messages(stream()), "distinct_rows")) == 50
     assert [r.beats for r in run(stateful.silent_spells(stream()), "spells")] == [50]
     assert sum(r.n for r in run(stateful.windowed(stream(), "1 minute", "1 minute"), "windows")) <= 100
+
+
+# ------------------------------------------------------------ logins, downloads, queues, tokens
+
+
+@pytest.mark.parametrize(("value", "width", "swapped"), [(0x1EEF, 4, 0xEF1E0000), (0xFF, 2, 0xFF00), (0x80, 8, -(2**63)), (-1, 8, -1), (0, 4, 0)])
+def test_swapped_bytes(spark, value, width, swapped):
+    assert spark.range(1).select(scalar.swap_bytes(F.lit(value).cast("long"), width)).first()[0] == swapped
+
+
+def test_login_tries(spark):
+    rows = frame(spark, [("now", 7, 0), ("late", None, 250), ("last", 0, 900), ("over", 3, 901), ("never", 3, None)], "subscriber string, last_recv long, answers_ms long")
+    assert [tuple(r)[1:] for r in sessions.login(rows).collect()] == [(1, True, 8), (4, True, 1), (10, True, 1), (10, False, None), (10, False, None)]
+
+
+def test_block_download(spark):
+    rows = [("fresh", 0, 0, 20, 0), ("waits", 4, 12, 20, 1000), ("rewinds", 4, 12, 20, 1001), ("tail", 18, 20, 20, 5000), ("done", 20, 20, 20, 9000)]
+    out = sessions.download(frame(spark, rows, "client string, acked long, sent long, blocks long, silent_ms long"))
+    assert [tuple(r)[1:] for r in out.collect()] == [(False, 1, 8, False), (False, None, None, False), (True, 5, 12, False), (True, 19, 20, False), (False, None, None, True)]
+
+
+def test_messages_do_not_mix(spark):
+    rows = frame(spark, [("c", 1, 0, 2600), ("c", 2, 10, 5), ("c", 3, 500, 1300)], "client string, seq long, at_ms long, bytes long")
+    out = snapshots.message_queue(rows, 50).orderBy("seq").collect()
+    assert [(r.pieces, r.queued, r.starts_ms, r.left_ms) for r in out] == [(3, False, 0, 150), (1, True, 150, 200), (2, False, 500, 600)]
+
+
+def test_token_states(spark):
+    rows = [(0, None, 9000), (1, "Basic x", 9000), (2, "Bearer x", 99), (3, " Bearer  x ", 100), (4, "Bearer x", 3700), (5, "Bearer x", None)]
+    out = triggers.token_state(frame(spark, rows, "id long, header string, expires_at long"), F.lit(100)).collect()
+    assert [r.state for r in out] == ["missing", "missing", "expired", "renewed", "valid", "expired"]
+
+
+def test_heartbeats_between_messages(spark):
+    rows = spark.sql("SELECT 'a' AS channel, timestamp_micros(t * 1000000) AS ts, s AS seq FROM VALUES (1, 5), (4, 9), (5, 7), (22, 12) AS v(t, s)")
+    assert sorted(map(tuple, log.heartbeats(rows).collect())) == [("a", 5, 9), ("a", 10, 9), ("a", 15, 9), ("a", 20, 9), ("a", 25, 12)]

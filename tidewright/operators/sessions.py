@@ -140,7 +140,8 @@ def login(subscribers: DataFrame, tries: int = 10, pause_ms: int = 100) -> DataF
 
     (subscriber, tries, connected, expected_seq): the tries made, and the sequence that is expected once connected.
     """
-    needed = F.greatest(F.ceil(F.col("answers_ms") / pause_ms), F.lit(0).cast("long")) + 1
+    asked = F.ceil(F.col("answers_ms") / pause_ms)
+    needed = F.when(asked > 0, asked + 1).when(asked.isNotNull(), F.lit(1).cast("long"))
     connected = F.coalesce(needed <= tries, F.lit(False))
     return subscribers.select(
         "subscriber", F.when(connected, needed).otherwise(F.lit(tries).cast("long")).alias("tries"), connected.alias("connected"),
