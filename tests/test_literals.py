@@ -1,9 +1,12 @@
 """Literal cases: the log, sessions, graphs, workflows, codecs, fragments, sources and streams."""
 
 import struct
+import time
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -376,3 +379,29 @@ def test_token_states(spark):
 def test_heartbeats_between_messages(spark):
     rows = spark.sql("SELECT 'a' AS channel, timestamp_micros(t * 1000000) AS ts, s AS seq FROM VALUES (1, 5), (4, 9), (5, 7), (22, 12) AS v(t, s)")
     assert sorted(map(tuple, log.heartbeats(rows).collect())) == [("a", 5, 9), ("a", 10, 9), ("a", 15, 9), ("a", 20, 9), ("a", 25, 12)]
+
+
+@pytest.mark.parametrize("n", [1, 4, 9, 16])
+@pytest.mark.parametrize("run", [5, 2 << 20])
+def test_ngrams_by_plain_counts(monkeypatch, n, run):
+    """Grams across runs, of any width of character, of sliced batches; none across texts."""
+    monkeypatch.setattr(codecs, "GRAM_BYTES", run)
+    rng = np.random.default_rng(n)
+    letters = "ab\0é漢𝄞" + "".join(map(chr, range(0x4E00, 0x4F00)))
+    texts = ["".join(letters[i] for i in rng.integers(0, m, k)) for m, k in ((2, 90), (6, 50), (6, 0), (1, n), (3, 3), (len(letters), 120), (4, n - 1), (6, 40))]
+    held = pa.array(["skipped", *texts[:4], None, *texts[4:]])[1:].drop_null()
+    out = Counter()
+    for grams, counts in codecs._count_grams(held, n):
+        grams.validate(full=True)
+        out.update(dict(zip(grams.to_pylist(), counts.to_pylist(), strict=True)))
+    assert out == Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    assert not list(codecs._count_grams(pa.array([], pa.string()), n)) and not list(codecs._count_grams(pa.array(["", ""]), n))
+
+
+def test_ngrams_of_a_long_text(spark):
+    """A text of half a million characters takes seconds, not the square of its length."""
+    whole = "abcdefgh" * 65_536
+    out = codecs.ngrams(frame(spark, [(1, whole), (2, None), (3, "abc"), (4, "")], "id long, text string"), 4)
+    started = time.monotonic()
+    assert {r.gram: r.freq for r in out.collect()} == Counter(whole[i : i + 4] for i in range(len(whole) - 3))
+    assert time.monotonic() - started < 60

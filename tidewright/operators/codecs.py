@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ SERIES_ITEMS, SERIES_LIMIT = 13, 10**15
 SAMPLE_BYTES, MIN_GRAM_COUNT, MIN_BYTE_COUNT = 1000, 10, 500
 #: Count from which one byte prevails so far that runs are long, whatever else the data look like.
 PREVAILING = 800
+#: Bytes of text whose n-grams are counted at a time.
+GRAM_BYTES = 2 << 20
 
 
 def delta_encode(points: DataFrame) -> DataFrame:
@@ -54,11 +59,73 @@ def top_values(runs: DataFrame, n: int = 8) -> DataFrame:
 
 
 def ngrams(texts: DataFrame, n: int, least: int = 3) -> DataFrame:
-    """Character n-grams that occur at least ``least`` times in all texts (id, text)."""
-    last = F.length("text") - n + 1
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    grams = texts.select(F.explode(F.transform(places, lambda i: F.substring("text", i, F.lit(n)))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    """Character n-grams that occur at least ``least`` times in all texts (id, text); null texts have none.
+
+    Each Arrow batch is counted in runs of bytes, so that a run's grams, not its places, are summed by key, and the time
+    does not depend on how long a text is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, counts in _count_grams(batch.column(0).drop_null(), n):
+                yield pa.RecordBatch.from_arrays([grams, counts], ["gram", "freq"])
+
+    grams = texts.select("text").mapInArrow(run, "gram string, freq long")
+    return grams.groupBy("gram").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= least)
+
+
+def _count_grams(texts: pa.Array, n: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The n-grams of runs of ``GRAM_BYTES`` of the texts and their counts; a gram belongs to the run in which it starts."""
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    ends = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    first, stop = int(ends[0]), int(ends[-1])
+    whole = np.frombuffer(data, np.uint8)[first:stop] if stop > first else np.empty(0, np.uint8)
+    ends = ends[1:] - first
+    for start in range(0, len(whole), GRAM_BYTES):
+        # The grams that start last reach n - 1 characters, of up to four bytes, into the next run.
+        part = whole[start : start + GRAM_BYTES + 4 * n]
+        at = np.flatnonzero(part & 0xC0 != 0x80)
+        if start + len(part) < len(whole):
+            at, part = at[:-1], part[: at[-1]]
+        if not len(at):
+            continue
+        letters = np.frombuffer(part[at[0] :].tobytes().decode().encode("utf-32-le"), "<u4")
+        fits = np.zeros(len(at), bool)
+        fits[: min(int(np.searchsorted(at, GRAM_BYTES)), max(0, len(at) - n + 1))] = True
+        near = ends[np.searchsorted(ends, start, "left") : np.searchsorted(ends, start + len(part), "right")]
+        over = np.searchsorted(at, near - start)[:, None] - np.arange(1, n)
+        fits[over[over >= 0]] = False
+        if not fits.any():
+            continue
+        chars, counts = _unique_grams(letters, fits, n)
+        wide = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(wide.sum(1))]).astype(np.int32)
+        packed = chars.astype("<u4").tobytes().decode("utf-32-le").encode()
+        yield pa.StringArray.from_buffers(len(chars), pa.py_buffer(offsets), pa.py_buffer(packed)), pa.array(counts)
+
+
+def _unique_grams(letters: np.ndarray, fits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams that start at the places that fit, one a row, and their counts; each gram is told by one number."""
+    alphabet = np.unique(letters)
+    rank = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    rank[alphabet] = np.arange(len(alphabet))
+    letters, at = rank[letters], np.flatnonzero(fits)
+    key, span, base, packed = letters[at], len(alphabet), len(alphabet), {}
+    for k in range(1, n):
+        if span * base >= 1 << 63:
+            # Beyond 63 bits the beginnings that occur are numbered anew.
+            packed[k], key = np.unique(key, return_inverse=True)
+            span = len(packed[k])
+        key, span = key * base + letters[at + k], span * base
+    left, counts = np.unique(key, return_counts=True)
+    chars = np.empty((len(left), n), np.uint32)
+    for k in range(n - 1, 0, -1):
+        chars[:, k] = alphabet[left % base]
+        left = left // base
+        left = packed[k][left] if k in packed else left
+    chars[:, 0] = alphabet[left]
+    return chars, counts.astype(np.int64)
 
 
 def features(blobs: DataFrame) -> DataFrame:
